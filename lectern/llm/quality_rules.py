@@ -50,6 +50,7 @@ class Features:
     n_stop: int
     n_marks: int
     n_odd: int
+    n_stutter: int
 
 
 def features(utf8: bytes) -> Features:
@@ -59,11 +60,12 @@ def features(utf8: bytes) -> Features:
     text = utf8.decode("utf-8", "replace")
     chars = len(text) - sum(text.count(c) for c in SPACES)
     lines = [x for x in utf8.split(b"\n") if x.strip()]
-    repeated = 0
+    repeated = stutter = 0
     if n > 3:
         seen: dict[bytes, int] = {}
         ids = np.fromiter((seen.setdefault(w, len(seen)) for w in words), np.int64, n)
         v = len(seen)
+        stutter = int((ids[1:] == ids[:-1]).sum())
         pair = ids[:-1] * v + ids[1:]
         if v > 2_000_000:  # keeps the triple below 2 ** 63
             pair = np.unique(pair, return_inverse=True)[1]
@@ -88,6 +90,7 @@ def features(utf8: bytes) -> Features:
         sum(map(STOP_WORDS.__contains__, low.translate(None, b".,;:!?").split())),
         utf8.count(b"!"),
         sum(utf8.count(c) for c in (b"{", b"}", b"=", b"\\", b"~", b"^", b"http")) + text.count("�"),
+        stutter,
     )
 
 
@@ -103,6 +106,7 @@ RULES = {
     "symbols": lambda f: _band(f.n_symbols / max(f.word_chars, 1), 0.02, 0.08),
     "capitals": lambda f: 0 if f.word_chars < 20 else _band(f.n_upper / max(f.word_chars, 1), 0.15, 0.4),
     "repeats": lambda f: 0 if f.n_words < 20 else _band(f.n_repeat_words / f.n_words, 0.2, 0.5),
+    "stutter": lambda f: 0 if f.n_words < 20 else _band(f.n_stutter / f.n_words, 0.03, 0.2),
     "dup_lines": lambda f: 0 if f.n_lines < 3 else _band(f.n_dup_lines / f.n_lines, 0.1, 0.4),
     "stop_words": lambda f: 0 if f.n_words < 20 else _band(f.n_stop / f.n_words, 0.12, 0.04),
     "word_length": lambda f: 0 if f.n_words < 20 else (1 if 3.0 <= f.word_chars / f.n_words <= 8.0 else -1 if not 2.0 <= f.word_chars / f.n_words <= 12.0 else 0),
@@ -129,41 +133,47 @@ def votes(code: int) -> list[int]:
 
 @dataclass(frozen=True)
 class Model:
-    """prior: share of good documents; table[c, j, v]: P(rule j votes v - 1 | class c), class 1 good."""
+    """prior: share of good documents; table[c, j, v]: P(rule j votes v - 1 | class c, it votes), class 1 good.
+
+    An abstention says nothing about the class.
+    """
 
     prior: float
     table: np.ndarray
 
     def posterior(self, code: int) -> float:
         v = np.asarray(votes(code)) + 1
-        j = np.arange(len(v))
+        j = np.flatnonzero(v != 1)
+        v = v[j]
         bad = math.log1p(-self.prior) + np.log(self.table[0, j, v]).sum()
         good = math.log(self.prior) + np.log(self.table[1, j, v]).sum()
         return float(1 / (1 + math.exp(min(700.0, max(-700.0, bad - good)))))
 
 
 def em(counts: dict[int, int], rounds: int = 200, tolerance: float = 1e-9) -> Model:
-    """Expectation-maximisation over weighted vote patterns, started from the majority vote.
+    """Expectation-maximisation over weighted vote patterns.
 
-    Pseudo-counts state the prior belief that a rule is right more often than
-    wrong; they fix which class is called good and keep empty tables defined.
+    It starts from the belief that a rule seldom votes bad without reason, so a
+    document is the more doubtful the more rules do; the same belief, as
+    pseudo-counts, fixes which class is called good and keeps empty tables
+    defined.  A document on which all rules abstain keeps the prior.
     """
     m = len(RULES)
-    belief = np.array([[[2.0, 2.0, 1.0]] * m, [[1.0, 2.0, 2.0]] * m])
+    belief = np.array([[[2.0, 0.0, 3.0]] * m, [[1.0, 0.0, 50.0]] * m])
     if not counts:
-        return Model(0.5, belief / belief.sum(axis=2, keepdims=True))
+        return Model(0.9, belief / belief.sum(axis=2, keepdims=True))
     codes = sorted(counts)
     w = np.array([counts[c] for c in codes], float)
-    V = np.array([votes(c) for c in codes]) + 1
-    total = V.sum(axis=1) - m
-    p = np.where(total > 0, 0.9, np.where(total < 0, 0.1, 0.5))
-    hot = np.eye(3)[V]
+    V = np.array([votes(c) for c in codes])
+    p = 0.95 * 0.3 ** (V < 0).sum(axis=1)
+    hot = np.eye(3)[V + 1]
+    hot[:, :, 1] = 0
     last = -np.inf
     for _ in range(rounds):
-        prior = float((w @ p + 2.0) / (w.sum() + 4.0))
+        prior = float((w @ p + 9.0) / (w.sum() + 10.0))
         table = belief + np.stack([np.einsum("i,ijv->jv", w * (1 - p), hot), np.einsum("i,ijv->jv", w * p, hot)])
         table /= table.sum(axis=2, keepdims=True)
-        logs = np.einsum("ijv,cjv->ic", hot, np.log(table)) + np.log([1 - prior, prior])
+        logs = np.einsum("ijv,cjv->ic", hot, np.log(np.maximum(table, 1e-300))) + np.log([1 - prior, prior])
         top = logs.max(axis=1, keepdims=True)
         z = np.exp(logs - top)
         p = z[:, 1] / z.sum(axis=1)
