@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_extract, line_dedup, packing, quality_rules, warc
+from . import decontaminate, html_extract, line_dedup, packing, pii, quality_rules, secrets, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op4_warc(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages")).drop("url")
 
 
+def op5_pii(spark, sf_dir):
+    return pii.find_pii(table(spark, sf_dir, "documents")).drop("found")
+
+
 def op6_decontamination(spark, sf_dir):
     return decontaminate.scan_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("hit_spans")
 
@@ -39,12 +43,16 @@ def op7_html_extraction(spark, sf_dir):
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op8_secret_scans(spark, sf_dir):
+    return secrets.find_secrets(table(spark, sf_dir, "documents")).drop("found")
+
+
 def op9_line_dedup(spark, sf_dir):
     return line_dedup.digests(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_best_fit_packing, op4_warc, op6_decontamination, op7_html_extraction, op9_line_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op3_best_fit_packing, op4_warc, op5_pii, op6_decontamination, op7_html_extraction, op8_secret_scans, op9_line_dedup)}
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
