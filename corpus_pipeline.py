@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import decontaminate, line_dedup, packing, quality_rules
+from lectern.llm import decontaminate, line_dedup, ngram_join, packing, quality_rules
 from lectern.llm.common import materialize
 from lectern.llm.queries import table, tokenizer_path
 
@@ -24,6 +24,11 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return line_dedup.rewrite(docs)
 
 
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return ngram_join.keep_one(docs)
+
+
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without two or more benchmark items."""
     return decontaminate.keep(docs, table(spark, sf_dir, "benchmark"))
@@ -34,7 +39,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer_path())
 
 
-STAGES = [("quality_rules", quality), ("line_dedup", lines), ("decontamination", decontaminated), ("best_fit_packing", packed)]
+STAGES = [("quality_rules", quality), ("line_dedup", lines), ("ngram_jaccard_join", distinct), ("decontamination", decontaminated), ("best_fit_packing", packed)]
 
 # Expectation-maximisation, the similarity join and packing are beyond SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_extract, line_dedup, packing, pii, quality_rules, secrets, warc
+from . import decontaminate, html_extract, line_dedup, ngram_join, packing, pii, quality_rules, secrets, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,8 +51,12 @@ def op9_line_dedup(spark, sf_dir):
     return line_dedup.digests(table(spark, sf_dir, "documents"))
 
 
+def op10_ngram_jaccard_join(spark, sf_dir):
+    return ngram_join.classes(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_best_fit_packing, op4_warc, op5_pii, op6_decontamination, op7_html_extraction, op8_secret_scans, op9_line_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op3_best_fit_packing, op4_warc, op5_pii, op6_decontamination, op7_html_extraction, op8_secret_scans, op9_line_dedup, op10_ngram_jaccard_join)}
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
