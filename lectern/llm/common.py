@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,6 +61,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of jobs that are done and no longer referenced."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema) -> DataFrame:
     """mapInArrow for functions of one batch."""
 
@@ -73,3 +81,34 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
 def texts(docs: DataFrame, text: str = "text"):
     """Column of the whole text as UTF-8 bytes; null reads as empty."""
     return F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("__utf8")
+
+
+def runs(batches: Iterator[pa.RecordBatch], columns: int, widths: dict[int, int] | None = None) -> Iterator[list[np.ndarray]]:
+    """Batches of sorted rows, cut so that a first-column value is never split.
+
+    widths: columns of byte strings of one length, given as matrices of bytes.
+    """
+    widths = widths or {}
+
+    def read(col: pa.Array, k: int) -> np.ndarray:
+        if k in widths:
+            return np.frombuffer(b"".join(col.to_pylist()), np.uint8).reshape(len(col), widths[k])
+        return col.to_numpy(zero_copy_only=False)
+
+    left: list[list[np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [read(batch.column(k), k) for k in range(columns)]
+        if cols[0][0] == cols[0][-1]:
+            if left and left[-1][0][-1] != cols[0][0]:
+                yield [np.concatenate(x) for x in zip(*left)]
+                left = []
+            left.append(cols)
+            continue
+        cut = int(np.searchsorted(cols[0], cols[0][-1], "left"))
+        left.append([c[:cut] for c in cols])
+        yield [np.concatenate(x) for x in zip(*left)]
+        left = [[c[cut:] for c in cols]]
+    if left:
+        yield [np.concatenate(x) for x in zip(*left)]

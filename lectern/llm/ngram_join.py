@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize, texts
+from .common import map_arrow, materialize, runs, texts
 from .components import connected
 
 _CELLS = 1 << 20
@@ -157,7 +157,7 @@ def _lists(docs: DataFrame, levels, text: str, width: int, percent: int) -> Data
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tok, key, size, pos)], ["token", "key", "n", "pos"])
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cols in _runs(batches, 4):
+        for cols in runs(batches, 4):
             tok, key = cols[0], cols[1]
             fresh = np.ones(len(tok), bool)
             fresh[1:] = (tok[1:] != tok[:-1]) | (key[1:] != key[:-1])
@@ -175,27 +175,6 @@ def _lists(docs: DataFrame, levels, text: str, width: int, percent: int) -> Data
     return out.repartition("token").sortWithinPartitions("token", "key").mapInArrow(shared, schema)
 
 
-def _runs(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[list[np.ndarray]]:
-    """Batches of sorted rows, cut so that a first-column value is never split."""
-    left: list[list[np.ndarray]] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(columns)]
-        if cols[0][0] == cols[0][-1]:
-            if left and left[-1][0][-1] != cols[0][0]:
-                yield [np.concatenate(x) for x in zip(*left)]
-                left = []
-            left.append(cols)
-            continue
-        cut = int(np.searchsorted(cols[0], cols[0][-1], "left"))
-        left.append([c[:cut] for c in cols])
-        yield [np.concatenate(x) for x in zip(*left)]
-        left = [[c[cut:] for c in cols]]
-    if left:
-        yield [np.concatenate(x) for x in zip(*left)]
-
-
 def _possible(n1, p1, n2, p2, percent: int):
     """Whether two sets that first meet at these positions can still be similar enough."""
     need = (percent * (n1 + n2) + 99 + percent) // (100 + percent)
@@ -216,7 +195,7 @@ def _leader_pairs(lists: DataFrame, percent: int, leaders: int) -> DataFrame:
     """Each list's sets with its leaders: linear in the list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for tok, _, key, n, pos in _runs(batches, 5):
+        for tok, _, key, n, pos in runs(batches, 5):
             a, b = [], []
             edge = _starts(tok)
             for lo, hi in zip(edge[:-1], edge[1:]):
@@ -237,7 +216,7 @@ def _open_pairs(lists: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
     """All pairs of a list that may be similar and are not yet in one component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for tok, n, key, pos, comp in _runs(batches, 5):
+        for tok, n, key, pos, comp in runs(batches, 5):
             a, b, held = [], [], 0
             edge = _starts(tok)
             for lo, hi in zip(edge[:-1], edge[1:]):

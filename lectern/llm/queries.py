@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_extract, line_dedup, ngram_join, packing, pii, quality_rules, secrets, warc
+from . import decontaminate, html_extract, line_dedup, ngram_join, packing, pii, quality_rules, secrets, suffix_dedup, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op1_quality_rules(spark, sf_dir):
     return quality_rules.score(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_array_dedup(spark, sf_dir):
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"), keep_bytes=False).drop("removed")
+
+
 def op3_best_fit_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -56,7 +60,7 @@ def op10_ngram_jaccard_join(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_best_fit_packing, op4_warc, op5_pii, op6_decontamination, op7_html_extraction, op8_secret_scans, op9_line_dedup, op10_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_suffix_array_dedup, op3_best_fit_packing, op4_warc, op5_pii, op6_decontamination, op7_html_extraction, op8_secret_scans, op9_line_dedup, op10_ngram_jaccard_join)}
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
