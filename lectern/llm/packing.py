@@ -20,7 +20,7 @@ nothing; other columns are ignored.
 
 from __future__ import annotations
 
-import re
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -35,53 +35,62 @@ from .common import map_arrow, materialize
 _tokenizers: dict[str, _Encoder] = {}
 
 
+# The split pattern and the printable bytes of byte-level BPE.
+_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+
+
 class _Encoder:
-    """Token ids of a text as little-endian bytes, with a bounded memo of its words.
+    """Token ids of a text as little-endian bytes.
 
-    Byte-level BPE never joins across a single space between two characters
-    that are no white space: the space opens the next word.  Such texts are
-    encoded word by word; any other text goes to the tokenizer whole.
+    A byte-level BPE tokenizer whose ids follow its merges is run by tiktoken
+    from the same vocabulary, which gives the same ids several times faster.
+    Texts that name one of its added tokens, and any other kind of tokenizer,
+    go through tokenizers itself.
     """
 
-    odd_space = re.compile(r"\s | \s|\A | \Z|<\|")
-
-    def __init__(self, path: str, memo: int = 400_000):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo, self.most = {}, memo
-
-    def plain(self, text: str) -> bytes:
+        spec = json.loads(self.tokenizer.to_str())
+        self.added = [x["content"] for x in spec["added_tokens"]]
+        self.fast = _same_in_tiktoken(spec)
+
+    def encode(self, text: str) -> bytes:
+        if self.fast is not None and not any(x in text for x in self.added):
+            try:
+                return np.asarray(self.fast.encode_ordinary(text), "<u4").tobytes()
+            except (KeyboardInterrupt, SystemExit):
+                raise
+            except BaseException:  # its regex engine gives up on very long runs of white space
+                pass
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        memo = self.memo
-        split = [None if self.odd_space.search(t) else t.split(" ") for t in texts]
-        new: set[str] = set()
-        for words in split:
-            if words:
-                new.update(w for w in words[1:] if w not in memo)
-        if new:
-            if len(memo) + len(new) > self.most:
-                memo.clear()
-                new = {w for words in split if words for w in words[1:]}
-            todo = list(new)
-            for at in range(0, len(todo), 20_000):
-                part = todo[at : at + 20_000]
-                for w, e in zip(part, self.tokenizer.encode_batch_fast([" " + w for w in part], add_special_tokens=False)):
-                    memo[w] = np.asarray(e.ids, "<u4").tobytes()
-        out = [self.plain(t) if words is None else b"".join([self.plain(words[0]), *map(memo.__getitem__, words[1:])]) for t, words in zip(texts, split)]
-        for w in new:
-            if len(w) > 64:  # long words hardly repeat, and would unbound the memo
-                del memo[w]
-        return out
+
+def _same_in_tiktoken(spec: dict):
+    """The tokenizer as a tiktoken encoding, or None where that would not be the same."""
+    model, split = spec["model"], spec.get("pre_tokenizer") or {}
+    if model.get("type") != "BPE" or spec.get("normalizer") or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+        return None
+    if model.get("dropout") or model.get("byte_fallback") or model.get("ignore_merges"):
+        return None
+    import tiktoken
+
+    byte_of = {chr(b): b for b in _PRINTABLE}
+    byte_of |= {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+    added = {x["content"] for x in spec["added_tokens"]}
+    vocab = {k: v for k, v in model["vocab"].items() if k not in added}
+    merges = ["".join(x) if isinstance(x, list) else x.replace(" ", "") for x in model["merges"]]
+    ids = [vocab[x] for x in merges]
+    if sorted(vocab.values()) != list(range(len(vocab))) or ids != sorted(ids) or len(ids) + 256 != len(vocab):
+        return None
+    ranks = {bytes(byte_of[c] for c in k): v for k, v in vocab.items()}
+    return tiktoken.Encoding("byte-level", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
 
 
 def encoder(path: str) -> _Encoder:
     if path not in _tokenizers:
-        import os
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         _tokenizers[path] = _Encoder(path)
     return _tokenizers[path]
 
@@ -98,7 +107,7 @@ def tokenize(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text: s
             for at in range(0, whole.num_rows, chunk):
                 batch = whole.slice(at, chunk)
                 rows, cols = [], ([], [], [], [], [])
-                for k, ids in enumerate(enc.encode([x or "" for x in batch.column(1).to_pylist()])):
+                for k, ids in enumerate(map(enc.encode, (x or "" for x in batch.column(1).to_pylist()))):
                     ids += end
                     n = len(ids) // 4
                     first = n % limit or limit
@@ -106,7 +115,7 @@ def tokenize(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text: s
                     piece = 0
                     while start < n:
                         rows.append(k)
-                        for c, v in zip(cols, (piece, start, size, zlib.crc32(memoryview(ids)[4 * start : 4 * (start + size)]), ranks[size])):
+                        for c, v in zip(cols, (piece, start, size, zlib.crc32(ids[4 * start : 4 * (start + size)]), ranks[size])):
                             c.append(v)
                         ranks[size] += 1
                         start, size, piece = start + size, limit, piece + 1
