@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,7 +16,7 @@ _scratch: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share.
+    """Folder that driver and executors share, as a full URI.
 
     A cluster names it in spark.checkpoint.dir; where that is unset (tests on
     one machine) a local temporary folder is made and set.
@@ -27,7 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
         base = _scratch.get("base") or "file://" + tempfile.mkdtemp(prefix="lectern-")
         _scratch["base"] = base
         spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -50,23 +50,26 @@ def drop_scratch(spark: SparkSession, path: str) -> None:
     _remove(spark, path)
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write df once as Parquet in the shared folder and reread it.
 
     Unlike a cache it survives lost executors, and later stages prune columns.
+    Shuffle files of the write go when it is done; nothing refers to them.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of jobs that are done and no longer referenced."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema) -> DataFrame:
     """mapInArrow for functions of one batch."""
 

@@ -2,20 +2,21 @@
 
 Sets that are equal count once (a class).  Tokens get one global order, rare
 ones first: a fixed-size counting sketch over all documents finds the frequent
-ones.  Two sets of similarity t share a token among the first
-n - ceil(t * n) + 1 of each, so only these go to the index lists, with size and
-position.
+ones.  Two sets of similarity t share `shared` tokens (or all they have in
+common) among the first n - ceil(t * n) + shared of each, so only these go to
+the index lists, with size and position.
 
 Index-level skipping: a list is sorted by size, a set's partners lie in one
 block of it, and what its position rules out is skipped as a block.
-Answer-level skipping: each list first pairs its sets with a leader, the set
-whose own prefix is shared most, and the answers found there (who is already
-joined to whom) are what the second round derives the rest from: only pairs of
-sets whose components still differ are candidates then.  All of those are
-checked, so no link between components is lost; pairs that would only repeat
-what is known are never formed.
-
-Sets travel for the check only if they share an index list with another.
+Answer-level skipping: each list first meets its leader, the set whose own
+prefix is shared most, and each set is checked against the leader it meets
+most often.  The answers found there, who is already joined to whom, are what
+the second round derives the rest from: only pairs whose components still
+differ are candidates then.  All of those are checked, so no link between
+components is lost; pairs that would only repeat what is known are never
+formed.
+
+Sets travel for the check only if they share enough index lists for a link.
 Tokens and classes are 64-bit hashes.
 
 Defined results: null, empty and blank texts have no shingle and link with
@@ -37,40 +38,78 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, materialize, runs, texts
 from .components import connected
+from .hashing import Sums, mix
 
 _CELLS = 1 << 20
 _PART = 1 << 16
+_PIECE = 1 << 20
 _MIX = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
-class _Words(dict):
-    """Word to 64-bit hash, with a bounded memo."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_words = _Words()
-
-
-def shingles(utf8: bytes, width: int = 5) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's shingles."""
-    words = utf8.lower().split()
-    n = len(words)
-    if not n:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, n)
-    size = min(width, n)
-    s = np.full(n - size + 1, np.uint64(size), np.uint64)
-    for k in range(size):
-        s += h[k : n - size + 1 + k] * _MIX[k % len(_MIX)]
-        s ^= s >> np.uint64(31)
-        s *= _MIX[(k + 2) % len(_MIX)]
-    s ^= s >> np.uint64(29)
-    return np.unique(s)
+_SPACE = np.isin(np.arange(256), [0x20, 9, 10, 11, 12, 13])
+_LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
+
+
+def _word_hashes(utf8: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and start of each word."""
+    a = np.frombuffer(utf8, np.uint8)
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], _SPACE[a], [True]]).view(np.int8)))
+    starts, ends = edge[::2], edge[1::2]
+    h = Sums(_LOWER[a]).of(starts, ends)
+    return mix(h ^ (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), starts
+
+
+def shingle_sets(texts_: list[bytes], width: int = 5) -> list[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its shingles.
+
+    Texts are hashed about a megabyte at a time; of a longer one, pieces that
+    end at white space.
+    """
+    out: list[np.ndarray] = []
+    at = 0
+    while at < len(texts_):
+        last, size = at + 1, len(texts_[at])
+        while last < len(texts_) and size + len(texts_[last]) < _PIECE:
+            size += len(texts_[last])
+            last += 1
+        part = texts_[at:last]
+        if last == at + 1 and size > _PIECE:
+            hashes, cuts = [], [0]
+            while cuts[-1] < size:
+                end = min(cuts[-1] + _PIECE, size)
+                while end < size and not _SPACE[part[0][end]]:
+                    end += 1
+                hashes.append(_word_hashes(part[0][cuts[-1] : end])[0])
+                cuts.append(end)
+            h = np.concatenate(hashes)
+            bounds = np.array([0, len(h)])
+        else:
+            h, starts = _word_hashes(b"\n".join(part))
+            bounds = np.searchsorted(starts, np.cumsum([0, *(len(x) + 1 for x in part)]))
+        whole = _combine(h, width)
+        for lo, hi in zip(bounds[:-1], bounds[1:]):
+            if hi - lo >= width:
+                s = np.sort(whole[lo : hi - width + 1])
+                fresh = np.ones(len(s), bool)
+                np.not_equal(s[1:], s[:-1], out=fresh[1:])
+                out.append(s[fresh])
+            else:
+                out.append(_combine(h[lo:hi], hi - lo) if hi > lo else np.zeros(0, np.uint64))
+        at = last
+    return out
+
+
+def _combine(h: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of runs of `size` word hashes."""
+    n = len(h) - size + 1
+    s = np.full(max(n, 0), np.uint64(size), np.uint64)
+    if n > 0:
+        for k in range(size):
+            s += h[k : k + n] * _MIX[k % len(_MIX)]
+            s ^= s >> np.uint64(31)
+            s *= _MIX[(k + 2) % len(_MIX)]
+        s ^= s >> np.uint64(29)
+    return s
 
 
 def class_key(tokens: np.ndarray) -> int:
@@ -83,8 +122,14 @@ def in_order(tokens: np.ndarray, levels: np.ndarray) -> np.ndarray:
     return tokens[np.argsort(level, kind="stable")] if level.any() else tokens
 
 
-def prefix_size(n: int, percent: int) -> int:
-    return n - (percent * n + 99) // 100 + 1
+def prefix_size(n: int, percent: int, shared: int) -> int:
+    """Tokens to index so that two sets similar enough share `shared` of them, or all they share."""
+    return min(n, n - (percent * n + 99) // 100 + shared)
+
+
+def _need(n1, n2, percent: int):
+    """Common tokens that two sets of these sizes need."""
+    return (percent * (n1 + n2) + 99 + percent) // (100 + percent)
 
 
 def _sets(docs: DataFrame, id_col: str, text: str, width: int) -> tuple[DataFrame, np.ndarray]:
@@ -95,8 +140,7 @@ def _sets(docs: DataFrame, id_col: str, text: str, width: int) -> tuple[DataFram
         counts, waiting, held = np.zeros(_CELLS, np.int64), [], 0
         for batch in batches:
             sizes, keys = [], []
-            for utf8 in batch.column(1).to_pylist():
-                t = shingles(utf8, width)
+            for t in shingle_sets(batch.column(1).to_pylist(), width):
                 sizes.append(len(t))
                 keys.append(class_key(t) if len(t) else None)
                 waiting.append((t >> np.uint64(44)).astype(np.int64))
@@ -133,7 +177,7 @@ def _sets(docs: DataFrame, id_col: str, text: str, width: int) -> tuple[DataFram
     return both.where("part is null").select("id", "n", "key"), levels
 
 
-def _lists(docs: DataFrame, levels, text: str, width: int, percent: int) -> DataFrame:
+def _lists(docs: DataFrame, levels, text: str, width: int, percent: int, shared: int) -> DataFrame:
     """Index lists that hold two sets at least: token, key, n, pos."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,14 +185,13 @@ def _lists(docs: DataFrame, levels, text: str, width: int, percent: int) -> Data
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 tok, key, size, pos = [], [], [], []
-                for utf8 in whole.column(0).slice(at, 512).to_pylist():
-                    t = shingles(utf8, width)
+                for t in shingle_sets(whole.column(0).slice(at, 512).to_pylist(), width):
                     k = class_key(t) if len(t) else None
                     if k is None or k in seen:
                         continue
                     if len(seen) < 1_000_000:
                         seen.add(k)
-                    p = prefix_size(len(t), percent)
+                    p = prefix_size(len(t), percent, shared)
                     tok.append(in_order(t, levels.value)[:p].view(np.int64))
                     key.append(np.full(p, k, np.int64))
                     size.append(np.full(p, len(t), np.int32))
@@ -156,7 +199,7 @@ def _lists(docs: DataFrame, levels, text: str, width: int, percent: int) -> Data
                 if tok:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tok, key, size, pos)], ["token", "key", "n", "pos"])
 
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols in runs(batches, 4):
             tok, key = cols[0], cols[1]
             fresh = np.ones(len(tok), bool)
@@ -172,52 +215,55 @@ def _lists(docs: DataFrame, levels, text: str, width: int, percent: int) -> Data
 
     schema = "token long, key long, n int, pos int"
     out = docs.select(texts(docs, text)).mapInArrow(run, schema)
-    return out.repartition("token").sortWithinPartitions("token", "key").mapInArrow(shared, schema)
+    return out.repartition("token").sortWithinPartitions("token", "key").mapInArrow(keep, schema)
 
 
-def _possible(n1, p1, n2, p2, percent: int):
-    """Whether two sets that first meet at these positions can still be similar enough."""
-    need = (percent * (n1 + n2) + 99 + percent) // (100 + percent)
-    return (np.minimum(n1, n2) * 100 >= percent * np.maximum(n1, n2)) & (np.minimum(n1 - p1, n2 - p2) >= need)
+def _possible(n1, p1, n2, p2, percent: int, shared: int):
+    """Whether sets that share these tokens, one of their first `shared` common ones, can be similar enough."""
+    return (np.minimum(n1, n2) * 100 >= percent * np.maximum(n1, n2)) & (np.minimum(n1 - p1, n2 - p2) + shared - 1 >= _need(n1, n2, percent))
 
 
 def _starts(token: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
 
 
-def _pairs_frame(a: list, b: list) -> pa.RecordBatch:
-    a, b = np.concatenate(a), np.concatenate(b)
-    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+def _counted(a: list, b: list, least: list) -> pa.RecordBatch:
+    """Distinct pairs with their number of lists and the number they need."""
+    pairs = np.stack([np.concatenate(a), np.concatenate(b)], 1)
+    pairs, first, count = np.unique(pairs, axis=0, return_index=True, return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), pa.array(count.astype(np.int64)), pa.array(np.concatenate(least)[first].astype(np.int64))], ["a", "b", "lists", "least"])
+
 
+_PAIRS = "a long, b long, lists long, least long"
 
-def _leader_pairs(lists: DataFrame, percent: int, leaders: int) -> DataFrame:
-    """Each list's sets with its leaders: linear in the list."""
+
+def _leader_pairs(lists: DataFrame, percent: int, shared: int) -> DataFrame:
+    """Each set with the leader it meets in most lists: one pair a set, linear in the lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tok, _, key, n, pos in runs(batches, 5):
-            a, b = [], []
+            a, b, least = [], [], []
             edge = _starts(tok)
             for lo, hi in zip(edge[:-1], edge[1:]):
-                for k in range(lo, min(lo + leaders, hi - 1)):
-                    ok = _possible(n[k], pos[k], n[k + 1 : hi], pos[k + 1 : hi], percent)
-                    if ok.any():
-                        b.append(key[k + 1 : hi][ok])
-                        a.append(np.full(len(b[-1]), key[k]))
+                ok = np.flatnonzero(_possible(n[lo], pos[lo], n[lo + 1 : hi], pos[lo + 1 : hi], percent, shared)) + lo + 1
+                if len(ok):
+                    a.append(key[ok])
+                    b.append(np.full(len(ok), key[lo]))
+                    least.append(np.minimum(shared, _need(n[lo], n[ok], percent)))
             if a:
-                yield _pairs_frame(a, b)
+                yield _counted(a, b, least)
 
-    lead = lists.groupBy("key", "n").agg(F.count("*").alias("c")).select("key", (-F.col("c") / F.col("n")).alias("lead"))
-    ranked = lists.join(lead, "key").select("token", "lead", "key", F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos"))
-    return ranked.repartition("token").sortWithinPartitions("token", "lead", "key").mapInArrow(run, "a long, b long").distinct()
+    ranked = lists.select("token", (-F.col("c") / F.col("n")).alias("lead"), "key", F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos"))
+    pairs = ranked.repartition("token").sortWithinPartitions("token", "lead", "key").mapInArrow(run, _PAIRS)
+    return pairs.groupBy("a", "b").agg(F.sum("lists").alias("lists")).groupBy("a").agg(F.max_by("b", F.struct("lists", "b")).alias("b"))
 
 
-def _open_pairs(lists: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
-    """All pairs of a list that may be similar and are not yet in one component."""
+def _open_pairs(lists: DataFrame, comps: DataFrame, percent: int, shared: int) -> DataFrame:
+    """All pairs that share enough lists to be similar and are not yet in one component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tok, n, key, pos, comp in runs(batches, 5):
-            a, b, held = [], [], 0
+            a, b, least, held = [], [], [], 0
             edge = _starts(tok)
             for lo, hi in zip(edge[:-1], edge[1:]):
                 if (comp[lo:hi] == comp[lo]).all():
@@ -225,20 +271,22 @@ def _open_pairs(lists: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
                 most = np.searchsorted(n[lo:hi], n[lo:hi] * 100 // percent, "right") + lo  # sizes ascend: the block of partners
                 for k in range(lo, hi - 1):
                     block = slice(k + 1, most[k - lo])
-                    ok = (comp[block] != comp[k]) & _possible(n[k], pos[k], n[block], pos[block], percent)
-                    if ok.any():
-                        b.append(key[block][ok])
-                        a.append(np.full(len(b[-1]), key[k]))
-                        held += len(b[-1])
+                    ok = np.flatnonzero((comp[block] != comp[k]) & _possible(n[k], pos[k], n[block], pos[block], percent, shared)) + k + 1
+                    if len(ok):
+                        a.append(np.minimum(key[ok], key[k]))
+                        b.append(np.maximum(key[ok], key[k]))
+                        least.append(np.minimum(shared, _need(n[k], n[ok], percent)))
+                        held += len(ok)
                         if held > 1_000_000:
-                            yield _pairs_frame(a, b)
-                            a, b, held = [], [], 0
+                            yield _counted(a, b, least)
+                            a, b, least, held = [], [], [], 0
             if a:
-                yield _pairs_frame(a, b)
+                yield _counted(a, b, least)
 
     known = lists.join(comps.select(F.col("node").alias("key"), "comp"), "key", "left")
     rows = known.select("token", F.col("n").cast("long").alias("n"), "key", F.col("pos").cast("long").alias("pos"), F.coalesce("comp", "key").alias("comp"))
-    return rows.repartition("token").sortWithinPartitions("token", "n", "key").mapInArrow(run, "a long, b long").distinct()
+    pairs = rows.repartition("token").sortWithinPartitions("token", "n", "key").mapInArrow(run, _PAIRS)
+    return pairs.groupBy("a", "b").agg(F.sum("lists").alias("lists"), F.max("least").alias("least")).where("lists >= least").select("a", "b")
 
 
 def _check(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -259,33 +307,37 @@ def _check(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), run, "a long, b long")
 
 
-def link(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, leaders: int = 2) -> tuple[DataFrame, DataFrame]:
+def link(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, shared: int = 3) -> tuple[DataFrame, DataFrame]:
     """(members, links): rows (id, n, key) of all documents; verified pairs (a, b) of class keys that join the components."""
     spark = docs.sparkSession
     members, levels = _sets(docs, id_col, text, width)
     with_id = docs.where(F.col(id_col).isNotNull())
-    lists = materialize(_lists(with_id, spark.sparkContext.broadcast(levels), text, width, percent), "lists")
+    raw = materialize(_lists(with_id, spark.sparkContext.broadcast(levels), text, width, percent, shared), "lists")
+
+    # A set that shares fewer tokens than a link needs has no link.
+    often = raw.groupBy("key", "n").agg(F.count("*").alias("c")).where(F.col("c") >= F.least(F.lit(shared), F.ceil(F.col("n") * percent / 100))).select("key", "c")
+    often = materialize(often, "candidates")
+    lists = materialize(raw.join(often, "key"), "candidate-lists")
 
     first = members.where("id is not null and key is not null").groupBy("key").agg(F.min("id").alias("id"))
-    needed = first.join(lists.select("key").distinct(), "key", "left_semi").select(F.col("id").alias("__id"), F.col("key").alias("__key"))
+    needed = first.join(often, "key", "left_semi").select(F.col("id").alias("__id"))
 
     def tokens(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [(k, t) for k, t in ((class_key(t), t) for t in (shingles(x, width) for x in batch.column(0).to_pylist()) if len(t))]
-        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([t.tobytes() for _, t in found], pa.binary())], ["key", "tokens"])
+        found = [t for t in shingle_sets(batch.column(0).to_pylist(), width) if len(t)]
+        return pa.RecordBatch.from_arrays([pa.array(map(class_key, found), pa.int64()), pa.array([t.tobytes() for t in found], pa.binary())], ["key", "tokens"])
 
-    chosen = with_id.select(F.col(id_col).alias("__id"), texts(docs, text)).join(needed.select("__id"), "__id", "left_semi").select("__utf8")
+    chosen = with_id.select(F.col(id_col).alias("__id"), texts(docs, text)).join(needed, "__id", "left_semi").select("__utf8")
     sets = materialize(map_arrow(chosen, tokens, "key long, tokens binary"), "tokens")
 
-    starred = materialize(_leader_pairs(lists, percent, leaders), "leader-pairs")
-    links = materialize(_check(starred, sets, percent), "links")
-    comps = connected(links)
-    rest = materialize(_open_pairs(lists, comps, percent).join(starred, ["a", "b"], "left_anti"), "open-pairs")
-    return members, links.unionByName(_check(rest, sets, percent))
+    links = materialize(_check(_leader_pairs(lists, percent, shared), sets, percent), "links")
+    rest = materialize(_open_pairs(lists, connected(links), percent, shared), "open-pairs")
+    links = materialize(links.unionByName(_check(rest, sets, percent)), "links")
+    return members, links
 
 
-def classes(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, leaders: int = 2) -> DataFrame:
+def classes(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, shared: int = 3) -> DataFrame:
     """One row per document: id, shingles, and the smallest id its links reach."""
-    members, links = link(docs, id_col=id_col, text=text, width=width, percent=percent, leaders=leaders)
+    members, links = link(docs, id_col=id_col, text=text, width=width, percent=percent, shared=shared)
     comps = connected(links).select(F.col("node").alias("key"), "comp")
     rep = members.where("id is not null and key is not null").groupBy("key").agg(F.min("id").alias("rep"))
     placed = rep.join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))

@@ -41,33 +41,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize, release, runs, texts
+from .common import materialize, runs, texts
+from .hashing import Sums, mix
 
 _NULL = (1 << 63) - 1  # stands for a null id, so that it orders last
 _PIECE = 1 << 20
-_P = 0x9E3779B97F4A7C15
-_powers: list[np.ndarray] = []
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse modulo 2 ** 64."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 17)
-        made = [np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(size - 1, np.uint64(p))])) for p in (_P, pow(_P, -1, 1 << 64))]
-        _powers[:] = made
-    return _powers[0], _powers[1]
-
-
-_BYTES = np.random.default_rng(20).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(32)
-    return h
-
-
 def _window_min(x: np.ndarray, w: int) -> np.ndarray:
     """Minimum of each w consecutive values."""
     n = len(x)
@@ -85,10 +63,8 @@ def anchors(utf8: bytes, length: int = 100, gram: int = 32) -> tuple[np.ndarray,
         lo, hi = max(0, core - reach), min(len(utf8), core + _PIECE + length + reach)
         a = np.frombuffer(utf8, np.uint8, hi - lo, lo)
         n = len(a)
-        up, down = _power_tables(n + 1)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTES[a] * up[:n], out=sums[1:])
-        h = _mix((sums[gram:] - sums[:-gram]) * down[: n - gram + 1])
+        sums = Sums(a)
+        h = mix((sums.sums[gram:] - sums.sums[:-gram]) * sums.down[: n - gram + 1])
         m = len(h)
         # Ties fall to the rightmost place, which equal strings share.
         keyed = (h & np.uint64(0xFFFFFFFFFF000000)) | (np.uint64(0xFFFFFF) - np.arange(m, dtype=np.uint64))
@@ -99,9 +75,9 @@ def anchors(utf8: bytes, length: int = 100, gram: int = 32) -> tuple[np.ndarray,
         chosen[(np.uint64(0xFFFFFF) - (least & np.uint64(0xFFFFFF))).astype(np.int64)] = True
         at = np.flatnonzero(chosen)
         left, right = np.maximum(at - reach, 0), np.minimum(at + length, n)
-        ctx = (sums[right] - sums[left]) * down[left]
+        ctx = sums.of(left, right)
         ctx ^= ((at - left) * 1009 + (right - at)).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-        out.append((at + lo, h[at].view(np.int64), _mix(ctx).view(np.int64)))
+        out.append((at + lo, h[at].view(np.int64), mix(ctx).view(np.int64)))
     if not out:
         return tuple(np.zeros(0, np.int64) for _ in range(3))
     pos, h, ctx = (np.concatenate(x) for x in zip(*out))
@@ -269,9 +245,7 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", length
         raise TypeError(f"{id_col} is {kind}; document ids order by number")
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL)).alias("id"), texts(docs, text))
     found = materialize(_found(source, length, gram), "anchors")
-    release(spark)
     bits = materialize(_compare(_contexts(source, found.where("need").select("id", "pos"), length, gram), length, gram), "repeats")
-    release(spark)
     all_places = found.where("not need").select("id", "pos", F.lit(None).cast("binary").alias("bits")).unionByName(bits)
     lists = all_places.groupBy("id").agg(F.collect_list(F.struct("pos", "bits")).alias("places"))
 
