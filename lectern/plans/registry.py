@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import q_interactions, q_signals  # noqa: F401
+from . import q_content, q_hybrid, q_interactions, q_signals  # noqa: F401
 from .base import ORACLES, QUERIES
 
 
