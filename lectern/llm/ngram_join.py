@@ -36,13 +36,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize, runs, texts
+from .common import discard, map_arrow, materialize, runs, texts
 from .components import connected
 from .hashing import Sums, mix
 
 _CELLS = 1 << 20
 _PART = 1 << 16
 _PIECE = 1 << 20
+_BITS = 1 << 10
 _MIX = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -258,20 +259,31 @@ def _leader_pairs(lists: DataFrame, percent: int, shared: int) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.sum("lists").alias("lists")).groupBy("a").agg(F.max_by("b", F.struct("lists", "b")).alias("b"))
 
 
-def _open_pairs(lists: DataFrame, comps: DataFrame, percent: int, shared: int) -> DataFrame:
+def parity(tokens: np.ndarray) -> bytes:
+    """Bitmap of _BITS cells, each the parity of the tokens that fall there.
+
+    Two sets differ in at least as many tokens as their bitmaps differ in cells.
+    """
+    cells = np.bincount(((tokens >> np.uint64(20)) & np.uint64(_BITS - 1)).astype(np.int64), minlength=_BITS)
+    return np.packbits((cells & 1).astype(bool)).tobytes()
+
+
+def _open_pairs(lists: DataFrame, comps: DataFrame, sets: DataFrame, percent: int, shared: int) -> DataFrame:
     """All pairs that share enough lists to be similar and are not yet in one component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for tok, n, key, pos, comp in runs(batches, 5):
+        for tok, n, key, pos, comp, bits in runs(batches, 6, {5: _BITS // 8}):
+            cells = bits.view(np.uint64)
             a, b, least, held = [], [], [], 0
             edge = _starts(tok)
             for lo, hi in zip(edge[:-1], edge[1:]):
-                if (comp[lo:hi] == comp[lo]).all():
-                    continue
                 most = np.searchsorted(n[lo:hi], n[lo:hi] * 100 // percent, "right") + lo  # sizes ascend: the block of partners
                 for k in range(lo, hi - 1):
                     block = slice(k + 1, most[k - lo])
                     ok = np.flatnonzero((comp[block] != comp[k]) & _possible(n[k], pos[k], n[block], pos[block], percent, shared)) + k + 1
+                    if len(ok):  # set relation: what differs between the bitmaps differs between the sets
+                        apart = np.bitwise_count(cells[ok] ^ cells[k]).sum(axis=1, dtype=np.int64)
+                        ok = ok[n[ok] + n[k] - apart >= 2 * _need(n[k], n[ok], percent)]
                     if len(ok):
                         a.append(np.minimum(key[ok], key[k]))
                         b.append(np.maximum(key[ok], key[k]))
@@ -283,8 +295,10 @@ def _open_pairs(lists: DataFrame, comps: DataFrame, percent: int, shared: int) -
             if a:
                 yield _counted(a, b, least)
 
-    known = lists.join(comps.select(F.col("node").alias("key"), "comp"), "key", "left")
-    rows = known.select("token", F.col("n").cast("long").alias("n"), "key", F.col("pos").cast("long").alias("pos"), F.coalesce("comp", "key").alias("comp"))
+    known = lists.join(comps.select(F.col("node").alias("key"), "comp"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+    still = known.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
+    rows = known.join(still, "token", "left_semi").join(sets.select("key", "bits"), "key")
+    rows = rows.select("token", F.col("n").cast("long").alias("n"), "key", F.col("pos").cast("long").alias("pos"), "comp", "bits")
     pairs = rows.repartition("token").sortWithinPartitions("token", "n", "key").mapInArrow(run, _PAIRS)
     return pairs.groupBy("a", "b").agg(F.sum("lists").alias("lists"), F.max("least").alias("least")).where("lists >= least").select("a", "b")
 
@@ -318,20 +332,23 @@ def link(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", width:
     often = raw.groupBy("key", "n").agg(F.count("*").alias("c")).where(F.col("c") >= F.least(F.lit(shared), F.ceil(F.col("n") * percent / 100))).select("key", "c")
     often = materialize(often, "candidates")
     lists = materialize(raw.join(often, "key"), "candidate-lists")
+    discard(raw)
 
     first = members.where("id is not null and key is not null").groupBy("key").agg(F.min("id").alias("id"))
     needed = first.join(often, "key", "left_semi").select(F.col("id").alias("__id"))
 
     def tokens(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [t for t in shingle_sets(batch.column(0).to_pylist(), width) if len(t)]
-        return pa.RecordBatch.from_arrays([pa.array(map(class_key, found), pa.int64()), pa.array([t.tobytes() for t in found], pa.binary())], ["key", "tokens"])
+        return pa.RecordBatch.from_arrays([pa.array(map(class_key, found), pa.int64()), pa.array([t.tobytes() for t in found], pa.binary()), pa.array(map(parity, found), pa.binary())], ["key", "tokens", "bits"])
 
     chosen = with_id.select(F.col(id_col).alias("__id"), texts(docs, text)).join(needed, "__id", "left_semi").select("__utf8")
-    sets = materialize(map_arrow(chosen, tokens, "key long, tokens binary"), "tokens")
+    sets = materialize(map_arrow(chosen, tokens, "key long, tokens binary, bits binary"), "tokens")
 
     links = materialize(_check(_leader_pairs(lists, percent, shared), sets, percent), "links")
-    rest = materialize(_open_pairs(lists, connected(links), percent, shared), "open-pairs")
+    rest = materialize(_open_pairs(lists, connected(links), sets, percent, shared), "open-pairs")
+    discard(lists)
     links = materialize(links.unionByName(_check(rest, sets, percent)), "links")
+    discard(sets)
     return members, links
 
 
