@@ -91,8 +91,10 @@ def _confirmed(kind: str, text: Column) -> Column:
 
 
 def context_score(text: Column, span: Column, kind: str) -> Column:
-    near = around(text, span, 40, 20)
-    return F.lit(PRIOR[kind]) + F.when(near.rlike(HELPS[kind]), RAISE).otherwise(0.0) - F.when(near.rlike(HURTS), LOWER).otherwise(0.0)
+    """Prior of the kind, more with a telling word on either side, less with a contrary one before."""
+    helps = around(text, span, 40, 20).rlike(HELPS[kind])
+    hurts = around(text, span, 40, 0).rlike(HURTS)
+    return F.lit(PRIOR[kind]) + F.when(helps, RAISE).otherwise(0.0) - F.when(hurts, LOWER).otherwise(0.0)
 
 
 def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text") -> DataFrame:
