@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from .common import map_arrow, materialize, texts
 
 _CELLS = 1 << 19  # bits of a filter that are merged as one row
+_SALTS = 16
 
 
 def line_key(line: bytes, min_chars: int) -> bytes | None:
@@ -120,8 +121,11 @@ def drops(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", min_ch
     # A null id orders after all others.
     order = F.struct(F.col("id").isNull().alias("n"), F.col("id").alias("v"))
     repeated = found.groupBy("key").agg(F.min(order).alias("first"), F.max(order).alias("last")).where("first < last").select("key", F.col("first.v").alias("first_id"))
+    # A line that very many documents share meets its first document in _SALTS tasks.
+    salted = repeated.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
     return (
-        found.join(repeated, "key")
+        found.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(_SALTS)).cast("int"))
+        .join(salted, ["key", "salt"])
         .where(~F.col("id").eqNullSafe(F.col("first_id")))
         .groupBy("id")
         .agg(F.collect_set("key").alias("drop_keys"))
