@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import catalog, evaluate, item_cf, ncf, prep, signals, split, store, text
 from ..sources import files, views
+from ..sources.scratch import scratch
 from ..sources.views import SQL_DENSE, SQL_WORKS
 from ..streaming import likes
 from .base import query, r6, with_
@@ -434,16 +435,10 @@ def tx_27(spark, sf):
 # ---- files and stores -----------------------------------------------------------------------
 
 
-def _scratch(spark, name):
-    import uuid
-
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/lectern').rstrip('/')}/files-{name}-{uuid.uuid4().hex}"
-
-
 @query("src_01_typed_csv", with_(SQL_DENSE, select="SELECT user_id, count(*) AS n, sum(rating)::BIGINT AS ratings FROM dense GROUP BY 1"))
 def src_01(spark, sf):
     """SRC-01 and SNK-01: rows written as CSV and scanned back typed, three columns of five."""
-    path = _scratch(spark, "csv")
+    path = scratch(spark, "csv")
     files.write_csv(views.interactions_dense(spark, sf).select("user_id", "book_id", "is_read", "rating", "is_reviewed"), path)
     return files.read_csv(spark, path, files.INTERACTIONS, ["user_id", "rating"]).groupBy("user_id").agg(F.count("*").alias("n"), F.sum("rating").alias("ratings"))
 
@@ -456,14 +451,14 @@ def src_02(spark, sf):
 
 @query("src_03_json_lines", "SELECT p_partkey AS book_id, p_name AS title FROM part")
 def src_03(spark, sf):
-    path = _scratch(spark, "json")
+    path = scratch(spark, "json")
     views.table(spark, sf, "part").select(F.col("p_partkey").alias("book_id"), F.col("p_name").alias("title")).write.option("compression", "gzip").json(path)
     return files.read_json(spark, path, "book_id long, title string")
 
 
 @query("src_04_json_array", "SELECT r_regionkey::BIGINT AS id, r_name AS name FROM region")
 def src_04(spark, sf):
-    path = _scratch(spark, "array")
+    path = scratch(spark, "array")
     rows = views.table(spark, sf, "region").select(F.struct(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name")).alias("r"))
     rows.agg(F.to_json(F.collect_list("r")).alias("value")).coalesce(1).write.text(path)
     return files.read_json(spark, path, "id long, name string")
@@ -471,7 +466,7 @@ def src_04(spark, sf):
 
 @query("src_05_rows_as_strings", "SELECT n_nationkey::VARCHAR AS n_nationkey, n_name FROM nation")
 def src_05(spark, sf):
-    path = _scratch(spark, "rows")
+    path = scratch(spark, "rows")
     files.write_csv(views.table(spark, sf, "nation").select("n_nationkey", "n_name"), path, "n_nationkey")
     return files.read_csv(spark, path)
 
@@ -479,7 +474,7 @@ def src_05(spark, sf):
 @query("src_06_model_round_trip", "SELECT vec_id AS id, round(list_sum(embedding::DOUBLE[]), 4) AS total FROM embeddings")
 def src_06(spark, sf):
     """SRC-06, SRC-07 and SNK-05: factor tables saved and loaded."""
-    path = _scratch(spark, "model")
+    path = scratch(spark, "model")
     e = views.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("factor"))
     files.save_model(path, e.limit(1), e, {"k": 64})
     _, items, meta = files.load_model(spark, path)
@@ -494,14 +489,14 @@ def src_12(spark, sf):
 
 @query("src_13_sparse_matrix", with_(SQL_DENSE, select="SELECT count(DISTINCT user_id) AS users, count(DISTINCT book_id) AS items, count(*) AS nnz FROM (SELECT DISTINCT user_id, book_id FROM dense WHERE rating >= 4)"))
 def src_13(spark, sf):
-    path = _scratch(spark, "coo")
+    path = scratch(spark, "coo")
     files.write_parquet(prep.liked(views.interactions_dense(spark, sf), 4).select("user_id", "book_id").distinct(), path)
     return spark.read.parquet(path).agg(F.countDistinct("user_id").alias("users"), F.countDistinct("book_id").alias("items"), F.count("*").alias("nnz"))
 
 
 @query("snk_03_summary", "SELECT count(*) AS rows FROM lineitem")
 def snk_03(spark, sf):
-    path = _scratch(spark, "summary")
+    path = scratch(spark, "summary")
     files.write_summary(views.table(spark, sf, "lineitem").agg(F.count("*").alias("rows")), path)
     return spark.read.json(path)
 
@@ -513,7 +508,7 @@ def snk_04(spark, sf):
 
 @query("snk_07_run_log", "SELECT * FROM (VALUES ('a', 1), ('b', 2), ('c', 3)) t(name, step)")
 def snk_07(spark, sf):
-    path = _scratch(spark, "log")
+    path = scratch(spark, "log")
     files.append_log(spark, path, [{"name": "a", "step": 1}, {"name": "b", "step": 2}], "name string, step int")
     files.append_log(spark, path, [{"name": "c", "step": 3}], "name string, step int")
     return spark.read.schema("name string, step int").json(path)
@@ -542,7 +537,7 @@ def xp_01(spark, sf):
     """XP-01..05: a grid with finished configs skipped; the second pass runs nothing."""
     from . import experiments
 
-    out = _scratch(spark, "grid")
+    out = scratch(spark, "grid")
     df = views.interactions_dense(spark, sf)
     run = lambda c: item_cf.neighbors(df, threshold=c["threshold"]).agg(F.count("*").alias("edges"), r6(F.avg("score")).alias("mrr_at_50"))
     experiments.run_grid(spark, out, experiments.ITEM_CF_GRID, run)
