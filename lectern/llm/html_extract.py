@@ -36,12 +36,13 @@ _BLOCK = frozenset(
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style noscript template svg iframe object canvas math title textarea select".split())
 _FURNITURE = frozenset("nav footer aside form menu button dialog header".split())
-_CLOSED_BY_P = frozenset("p".split())
 _NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|copyright|disclaimer|disqus|footer|header|login|masthead|"
     r"menu|nav\w*|newsletter|notices?|pagination|popup|promo\w*|related|replies|responses|share|sharing|sidebar|signup|skip|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])",
     re.I,
 )
+# An article's own heading block is often named after headers.
+_OF_ARTICLE = re.compile(r"(?:^|[\s_-])(?:header|masthead|banner)(?:$|[\s_-])", re.I)
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
@@ -61,8 +62,9 @@ def _is_furniture(tag: str, attrs: str, inside: bool) -> bool:
         return False
     for m in _ATTR.finditer(attrs):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if key in ("class", "id") and _NAMES.search(value):
-            return True
+        if key in ("class", "id"):
+            if _NAMES.search(_OF_ARTICLE.sub(" ", value) if inside else value):
+                return True
         if key == "role" and value.strip().lower() in _ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
             return True
     return False

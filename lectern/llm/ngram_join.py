@@ -366,6 +366,9 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", widt
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """docs with one document of each group, the one with the smallest id; all columns stay."""
+    """docs with one document of each group, the one with the smallest id; all columns stay.
+
+    A document is an id: rows that repeat a kept id stay together.
+    """
     kept = classes(docs, id_col=id_col, text=text, **options).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__id")).distinct()
     return docs.join(kept, docs[id_col].eqNullSafe(kept["__id"]), "left_semi")

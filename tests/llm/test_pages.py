@@ -66,6 +66,12 @@ def test_markup_decides_where_it_speaks(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_an_articles_own_header_stays(spark):
+    page = "<body><div class='site-header'>Site</div><article><div class='entry-header'><h1>Name</h1></div><p>Text</p><div class='share-header'>Share</div></article></body>"
+    df = spark.createDataFrame([(1, "http://h.org/a", page)], "page_id long, url string, html string")
+    assert html_extract.extract(df).first().text == "Name Text"
+
+
 def test_neighbours_shared_lines_go(spark):
     """Pages without a telling markup: lines shared with the nearest URL are furniture."""
     plain = lambda k: f"<body><div>Our great site</div><div>Menu one two three</div><p>Body {k} says {'something new ' * (k + 3)}</p><p>More of {k}</p><div>All rights reserved</div></body>"
