@@ -253,7 +253,7 @@ def _epub_files(spark, sf):
                 out.append(buf.getvalue())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["path", "content"])
 
-    return _pages(spark, sf).where("page_id < 100").select(F.col("page_id").cast("string").alias("path"), "html").mapInArrow(run, "path string, content binary")
+    return _pages(spark, sf).select(F.col("page_id").cast("string").alias("path"), "html").mapInArrow(run, "path string, content binary")
 
 
 @query("tx_02_epub_chapters")
@@ -307,9 +307,9 @@ def tx_10(spark, sf):
     return _docs(spark, sf).select("doc_id", text.first_title(F.col("text"), F.col("doc_id"), 180).alias("title"))
 
 
-@query("tx_11_between", "WITH d AS (SELECT doc_id, text, instr(lower(text), 'the ') AS a FROM documents WHERE lang = 'en'), e AS (SELECT *, instr(substr(lower(text), a + 4), 'and ') AS b FROM d) SELECT doc_id, md5(CASE WHEN a = 0 THEN '' ELSE regexp_replace(CASE WHEN b > 0 THEN substr(text, a, b + 3) ELSE substr(text, a) END, '^\\s+|\\s+$', '', 'g') END) AS text_md5 FROM e")
+@query("tx_11_between", "WITH d AS (SELECT doc_id, text, instr(lower(text), 'the ') AS a FROM documents), e AS (SELECT *, instr(substr(lower(text), a + 4), 'and ') AS b FROM d) SELECT doc_id, md5(CASE WHEN a = 0 THEN '' ELSE regexp_replace(CASE WHEN b > 0 THEN substr(text, a, b + 3) ELSE substr(text, a) END, '^\\s+|\\s+$', '', 'g') END) AS text_md5 FROM e")
 def tx_11(spark, sf):
-    return _docs(spark, sf).where("lang = 'en'").select("doc_id", F.md5(text.between(F.col("text"), "The ", "And ")).alias("text_md5"))
+    return _docs(spark, sf).select("doc_id", F.md5(text.between(F.col("text"), "The ", "And ")).alias("text_md5"))
 
 
 @query("tx_14_strip_page")

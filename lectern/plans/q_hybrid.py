@@ -354,7 +354,7 @@ def ev_12(spark, sf):
 # ---- serving --------------------------------------------------------------------------------
 
 _REQ = """req AS (SELECT user_id, l.book_id, rating, CASE is_read WHEN 1 THEN 'finished' ELSE 'reading' END AS status, is_reviewed = 1 AS bookmarked FROM
-  (SELECT *, row_number() OVER (PARTITION BY user_id, book_id ORDER BY rating DESC, is_read DESC, is_reviewed DESC) AS rn FROM sparse WHERE user_id % 50 = 0) l WHERE rn = 1),
+  (SELECT *, row_number() OVER (PARTITION BY user_id, book_id ORDER BY rating DESC, is_read DESC, is_reviewed DESC) AS rn FROM sparse WHERE user_id % 20 = 0) l WHERE rn = 1),
 mrc AS (SELECT book_id AS m_id, work_id, coalesce(ratings_count, 0) AS rc FROM works JOIN meta USING (book_id) WHERE book_id % 2 = 0),
 wbest AS (SELECT work_id, m_id AS wm FROM (SELECT *, row_number() OVER (PARTITION BY work_id ORDER BY rc DESC, m_id) AS rn FROM mrc WHERE work_id IS NOT NULL) WHERE rn = 1),
 res AS (SELECT req.*, work_id, CASE WHEN book_id % 2 = 0 THEN book_id ELSE wm END AS model_id FROM req LEFT JOIN works USING (book_id) LEFT JOIN wbest USING (work_id))"""
@@ -366,12 +366,12 @@ _SV = (SQL_SPARSE, SQL_META, SQL_WORKS, _REQ, _SRC)
 
 
 class Serving:
-    """Requests of some users, resolved against a model that knows every even book."""
+    """Requests of the users whose id is divisible by 20, resolved against a model that knows every even book."""
 
     def __init__(self, spark, sf):
         from pyspark.sql import Window
 
-        rows = views.interactions_sparse(spark, sf).where("user_id % 50 = 0")
+        rows = views.interactions_sparse(spark, sf).where("user_id % 20 = 0")
         order = Window.partitionBy("user_id", "book_id").orderBy(F.col("rating").desc(), F.col("is_read").desc(), F.col("is_reviewed").desc())
         self.requests = rows.withColumn("rn", F.row_number().over(order)).where("rn = 1").select("user_id", "book_id", "rating", F.when(F.col("is_read") == 1, "finished").otherwise("reading").alias("status"), (F.col("is_reviewed") == 1).alias("bookmarked"))
         self.meta = hybrid.with_popularity(views.book_meta(spark, sf))
@@ -431,10 +431,10 @@ def sv_08(spark, sf):
     return serve.similar_to(seeds, s.model_books, s.items, s.works, s.meta, 10)
 
 
-@query("sv_09_reasons", with_(*_SV, """cand AS (SELECT u.user_id, book_id FROM (SELECT DISTINCT user_id FROM src) u CROSS JOIN meta WHERE book_id <= 100)""", select="""SELECT c.user_id, c.book_id, CASE WHEN EXISTS (SELECT 1 FROM src s JOIN meta ms ON ms.book_id = s.book_id WHERE s.user_id = c.user_id AND s.source_rank <= 3 AND list_has_any(ms.authors, m.authors)) THEN 'author'
+@query("sv_09_reasons", with_(*_SV, """cand AS (SELECT u.user_id, book_id FROM (SELECT DISTINCT user_id FROM src) u CROSS JOIN meta)""", select="""SELECT c.user_id, c.book_id, CASE WHEN EXISTS (SELECT 1 FROM src s JOIN meta ms ON ms.book_id = s.book_id WHERE s.user_id = c.user_id AND s.source_rank <= 3 AND list_has_any(ms.authors, m.authors)) THEN 'author'
   WHEN len(m.genres) > 0 THEN 'genre' ELSE 'collaborative' END AS reason FROM cand c JOIN meta m USING (book_id)"""))
 def sv_09(spark, sf):
     s = Serving(spark, sf)
     sources = serve.normalize(s.resolved)[0]
-    candidates = sources.select("user_id").distinct().crossJoin(s.meta.where("book_id <= 100").select("book_id"))
+    candidates = sources.select("user_id").distinct().crossJoin(s.meta.select("book_id"))
     return serve.reasons(candidates, sources, s.meta, 3)

@@ -341,23 +341,23 @@ def cf_10(spark, sf):
 
 
 _RECW = """reach AS (SELECT l.user_id, nb.similar_id AS book_id, sum(score * greatest(rating - 3, 0.5::DOUBLE)) AS score, count(*) AS evidence, max(co_likes) AS max_co_likes
-  FROM (SELECT user_id, book_id, max(rating) AS rating FROM dense WHERE rating >= 4 AND user_id <= {u} GROUP BY 1, 2) l JOIN nb USING (book_id) GROUP BY 1, 2),
+  FROM (SELECT user_id, book_id, max(rating) AS rating FROM dense WHERE rating >= 4 GROUP BY 1, 2) l JOIN nb USING (book_id) GROUP BY 1, 2),
 rec AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, evidence DESC, {more} book_id) AS rank FROM reach ANTI JOIN (SELECT DISTINCT user_id, book_id FROM dense) USING (user_id, book_id))"""
 
 
-@query("cf_11_recommend_weighted", with_(*_CF, _RECW.format(u=200, more="max_co_likes DESC,"), select="SELECT user_id, book_id, round(score, 6) AS score, evidence, max_co_likes, rank FROM rec WHERE rank <= 20"))
+@query("cf_11_recommend_weighted", with_(*_CF, _RECW.format(more="max_co_likes DESC,"), select="SELECT user_id, book_id, round(score, 6) AS score, evidence, max_co_likes, rank FROM rec WHERE rank <= 20"))
 def cf_11(spark, sf):
     df = _dense(spark, sf)
     read, likes = item_cf.histories(df)
-    out = item_cf.recommend(item_cf.neighbors(df), likes.where("user_id <= 200"), read, n=20)
+    out = item_cf.recommend(item_cf.neighbors(df), likes, read, n=20)
     return out.withColumn("score", r6("score")).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query("cf_12_recommend_unweighted", with_(*_CF, _RECW.format(u=200, more="").replace("greatest(rating - 3, 0.5::DOUBLE)", "1.0::DOUBLE"), select="SELECT user_id, book_id, round(score, 6) AS score, evidence, rank FROM rec WHERE rank <= 20"))
+@query("cf_12_recommend_unweighted", with_(*_CF, _RECW.format(more="").replace("greatest(rating - 3, 0.5::DOUBLE)", "1.0::DOUBLE"), select="SELECT user_id, book_id, round(score, 6) AS score, evidence, rank FROM rec WHERE rank <= 20"))
 def cf_12(spark, sf):
     df = _dense(spark, sf)
     read, likes = item_cf.histories(df)
-    out = item_cf.recommend(item_cf.neighbors(df), likes.where("user_id <= 200"), read, weighted=False, n=20)
+    out = item_cf.recommend(item_cf.neighbors(df), likes, read, weighted=False, n=20)
     return out.select("user_id", "book_id", r6("score").alias("score"), "evidence", F.col("rank").cast("long").alias("rank"))
 
 

@@ -140,19 +140,19 @@ def al_16(spark, sf):
 
 
 def _vectors(spark, sf):
-    """User and item factors from the embeddings table."""
+    """User and item factors from the embeddings table: ids divisible by 20 are the users asked for."""
     e = views.table(spark, sf, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 16), lambda x: x.cast("double")).alias("factor"))
-    return e.where("vec_id % 10 = 1").select(F.col("vec_id").alias("user_id"), "factor"), e.where("vec_id % 10 <> 1").select(F.col("vec_id").alias("book_id"), "factor")
+    return e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("user_id"), "factor"), e.select(F.col("vec_id").alias("book_id"), "factor")
 
 
-_VEC = """vu AS (SELECT vec_id AS user_id, embedding[1:16]::DOUBLE[] AS f FROM embeddings WHERE vec_id % 10 = 1),
-vi AS (SELECT vec_id AS book_id, embedding[1:16]::DOUBLE[] AS f FROM embeddings WHERE vec_id % 10 <> 1),
+_VEC = """vu AS (SELECT vec_id AS user_id, embedding[1:16]::DOUBLE[] AS f FROM embeddings WHERE vec_id % 20 = 0),
+vi AS (SELECT vec_id AS book_id, embedding[1:16]::DOUBLE[] AS f FROM embeddings),
 vs AS (SELECT vu.user_id, vi.book_id, round(list_inner_product(vu.f, vi.f), 9) AS score FROM vu CROSS JOIN vi {allowed}),
-vt AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, book_id) AS rank FROM vs ANTI JOIN (SELECT vec_id - vec_id % 10 + 1 AS user_id, vec_id AS book_id FROM embeddings WHERE vec_id % 3 = 0) USING (user_id, book_id))"""
+vt AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, book_id) AS rank FROM vs ANTI JOIN (SELECT vec_id - vec_id % 20 AS user_id, vec_id AS book_id FROM embeddings WHERE vec_id % 3 = 0) USING (user_id, book_id))"""
 
 
 def _stored(spark, sf):
-    return views.table(spark, sf, "embeddings").where("vec_id % 3 = 0").select((F.col("vec_id") - F.col("vec_id") % 10 + 1).alias("user_id"), F.col("vec_id").alias("book_id"))
+    return views.table(spark, sf, "embeddings").where("vec_id % 3 = 0").select((F.col("vec_id") - F.col("vec_id") % 20).alias("user_id"), F.col("vec_id").alias("book_id"))
 
 
 @query("al_17_top_items", with_(_VEC.format(allowed=""), select="SELECT user_id, book_id, round(score, 6) AS score, rank FROM vt WHERE rank <= 10"))
@@ -176,7 +176,7 @@ def _embedded_items(spark, sf, k=8):
 @query("al_19_fold_in")
 def al_19(spark, sf):
     items = _embedded_items(spark, sf)
-    rows = _signals(spark, sf).join(items, "book_id", "left_semi").where("user_id % 50 = 0")
+    rows = _signals(spark, sf).join(items, "book_id", "left_semi").where("user_id % 20 = 0")
     return als.fold_in(rows, items, 1.0)
 
 
