@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import als, evaluate, hybrid, serve, signals, split
 from ..sources import views
+from ..sources.scratch import written
 from ..sources.views import SQL_META, SQL_SPARSE, SQL_WORKS
 from .base import query, r6, with_
 
@@ -80,10 +81,13 @@ class Setup:
     def __init__(self, spark, sf):
         self.spark = spark
         df = views.interactions_sparse(spark, sf)
-        self.meta = hybrid.with_popularity(views.book_meta(spark, sf))
-        train, self.hidden = split.leave_one_liked_out(df, max_users=40)
+        self.meta = written(hybrid.with_popularity(views.book_meta(spark, sf)), "meta")
+        train, hidden = split.leave_one_liked_out(df, max_users=40)
+        self.hidden = written(hidden, "hidden")
+        train = df.join(self.hidden, ["user_id", "book_id"], "left_anti")
         mine = train.join(self.hidden.select("user_id"), "user_id", "left_semi")
-        self.signals = signals.dedup_signals(signals.centered_signals(mine, signals.user_means(train).join(self.hidden.select("user_id"), "user_id", "left_semi"), signals.global_mean(train))).select("user_id", "book_id", "signal")
+        self.signals = written(signals.dedup_signals(signals.centered_signals(mine, signals.user_means(train).join(self.hidden.select("user_id"), "user_id", "left_semi"), signals.global_mean(train))).select("user_id", "book_id", "signal"), "signals")
+        self._als = None
         self.sources = hybrid.profile(self.signals, self.meta)
         e = views.table(spark, sf, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double")).alias("factor"))
         n = e.agg(F.count("*").alias("n"))
@@ -92,7 +96,9 @@ class Setup:
 
     @property
     def als(self):
-        return als.top_items(self.users, self.items, self.signals, _POOL)
+        if self._als is None:
+            self._als = written(als.top_items(self.users, self.items, self.signals, _POOL), "candidates")
+        return self._als
 
     def components(self):
         return hybrid.components(self.als, self.sources, self.meta)
@@ -374,10 +380,10 @@ class Serving:
         rows = views.interactions_sparse(spark, sf).where("user_id % 20 = 0")
         order = Window.partitionBy("user_id", "book_id").orderBy(F.col("rating").desc(), F.col("is_read").desc(), F.col("is_reviewed").desc())
         self.requests = rows.withColumn("rn", F.row_number().over(order)).where("rn = 1").select("user_id", "book_id", "rating", F.when(F.col("is_read") == 1, "finished").otherwise("reading").alias("status"), (F.col("is_reviewed") == 1).alias("bookmarked"))
-        self.meta = hybrid.with_popularity(views.book_meta(spark, sf))
+        self.meta = written(hybrid.with_popularity(views.book_meta(spark, sf)), "meta")
         self.works = views.book_works(spark, sf)
         self.model_books = self.meta.where("book_id % 2 = 0").select("book_id")
-        self.resolved = serve.resolve_editions(self.requests, self.model_books, self.works, self.meta)
+        self.resolved = written(serve.resolve_editions(self.requests, self.model_books, self.works, self.meta), "requests")
         e = views.table(spark, sf, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double")).alias("factor"))
         n = e.agg(F.count("*").alias("n"))
         self.items = self.model_books.crossJoin(F.broadcast(n)).withColumn("vec_id", F.col("book_id") % F.col("n")).join(e, "vec_id").select("book_id", "factor")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import canonical, evaluate, item_cf, prep, split
 from ..sources import views
+from ..sources.scratch import written
 from ..sources.views import SQL_DENSE, SQL_EVENTS, SQL_SPARSE, SQL_WORKS
 from .base import query, r6, with_
 
@@ -378,11 +379,11 @@ ranks AS (SELECT hid.user_id, hid.book_id, CASE WHEN rank <= 50 THEN rank END AS
 def _cf_eval(spark, sf):
     """Leave one liked book out for 300 users; the graph was built with it, as the plan's name says."""
     df = _dense(spark, sf)
-    edges = item_cf.neighbors(df)
+    edges = written(item_cf.neighbors(df), "edges")
     books = item_cf.universe(edges)
     users = split.first_eligible(df, books, max_users=300)
     mine = prep.liked(df, 4).join(users, "user_id", "left_semi").select("user_id", "book_id").distinct()
-    hidden = split.pick_one(mine.join(books, "book_id", "left_semi"))
+    hidden = written(split.pick_one(mine.join(books, "book_id", "left_semi")), "hidden")
     rest = mine.join(hidden, ["user_id", "book_id"], "left_anti")
     ranked = item_cf.recommend(edges, rest.withColumn("rating", F.lit(5)), rest, weighted=False)
     return ranked, hidden

@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -21,3 +21,10 @@ def scratch(spark: SparkSession, name: str) -> str:
     path = f"{spark.conf.get('spark.checkpoint.dir', '/tmp/checkpoints').rstrip('/')}/{name}-{uuid.uuid4().hex}"
     atexit.register(_remove, spark, path)
     return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet artefact that several later steps read instead of computing it again."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
