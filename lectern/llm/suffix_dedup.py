@@ -19,9 +19,16 @@ rounds are therefore run on aligned contexts:
    which strings are equal, the earliest of each stays.
 4. Documents meet the findings and lose the bytes.
 
+Hot groups: a copied text's anchors meet in the block of documents that is read
+together, and only the first of each kind is shuffled.  An anchor with many
+contexts in one block is crowded (the edge of a passage that many documents
+share).  Crowded anchors are dealt by context in step 2, and in step 3 by salts
+that hold `crowd_rows` contexts on average; the strings that stay in one salt
+meet those of the others by 128-bit hashes.
+
 Rounds are bounded by `length`, whatever the documents' sizes.  Hashes only
 choose candidates for step 3, which compares bytes; step 2 trusts 64 bits of
-anchor and 64 of context.
+anchor and 64 of context, crowded anchors 128 bits of a string.
 
 Defined results: ids are integers, null the largest; null text is empty;
 repeated rows with equal ids are one document (equal ids with unequal texts
@@ -41,11 +48,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, runs, texts
+from .common import map_arrow, materialize, runs, texts
 from .hashing import Sums, mix
 
 _NULL = (1 << 63) - 1  # stands for a null id, so that it orders last
 _PIECE = 1 << 20
+_BLOCK = 1 << 20  # anchors that are looked at together before the shuffle
+_CELLS = 1 << 22  # cells that crowded anchors are marked in
+
+
 def _window_min(x: np.ndarray, w: int) -> np.ndarray:
     """Minimum of each w consecutive values."""
     n = len(x)
@@ -87,60 +98,110 @@ def anchors(utf8: bytes, length: int = 100, gram: int = 32) -> tuple[np.ndarray,
     return pos, h, ctx
 
 
-def _found(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """Anchors that repeat (id, pos, need): need where contexts differ and bytes must be compared."""
+def _blocks(docs: DataFrame, length: int, gram: int, crowd: int, firsts: bool, schema: str) -> DataFrame:
+    """Anchors of blocks of documents, either the first of each (h, ctx) in its block, or what a block settles by itself:
+    later ones (id, pos) and the cells of crowded anchors (cell)."""
+
+    def settle(parts: list) -> pa.RecordBatch:
+        h, ctx, ident, pos = (np.concatenate(c) for c in zip(*parts))
+        order = np.lexsort((pos, ident, ctx, h))
+        h, ctx, ident, pos = h[order], ctx[order], ident[order], pos[order]
+        new_h = np.concatenate([[True], h[1:] != h[:-1]])
+        new_ctx = new_h.copy()
+        new_ctx[1:] |= ctx[1:] != ctx[:-1]
+        if firsts:
+            return pa.RecordBatch.from_arrays([pa.array(c[new_ctx]) for c in (h, ctx, ident, pos)], ["h", "ctx", "id", "pos"])
+        later = ~new_ctx
+        later[1:] &= (ident[1:] != ident[:-1]) | (pos[1:] != pos[:-1])  # a row that repeats is the same document
+        kinds = np.add.reduceat(new_ctx.astype(np.int64), np.flatnonzero(new_h))
+        cells = np.unique(_cell(h[new_h][kinds >= crowd]))
+        none = lambda n, kind: pa.nulls(n, kind)
+        n, m = int(later.sum()), len(cells)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([*ident[later].tolist(), *[None] * m], pa.int64()), pa.array([*pos[later].tolist(), *[None] * m], pa.int32()), pa.concat_arrays([none(n, pa.int64()), pa.array(cells, pa.int64())])],
+            ["id", "pos", "cell"],
+        )
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                part = whole.slice(at, 512)
-                cols = ([], [], [], [])
-                for ident, utf8 in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    pos, h, ctx = anchors(utf8, length, gram)
-                    for c, v in zip(cols, (h, ctx, np.full(len(pos), ident, np.int64), pos.astype(np.int32))):
-                        c.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["h", "ctx", "id", "pos"])
+            for ident, utf8 in zip(whole.column(0).to_pylist(), whole.column(1)):
+                pos, h, ctx = anchors(utf8.as_py(), length, gram)
+                if len(pos):
+                    parts.append((h, ctx, np.full(len(pos), ident, np.int64), pos.astype(np.int32)))
+                    held += len(pos)
+                if held >= _BLOCK:
+                    yield settle(parts)
+                    parts, held = [], 0
+        if parts:
+            yield settle(parts)
+
+    return docs.mapInArrow(run, schema)
+
+
+def _cell(h: np.ndarray) -> np.ndarray:
+    return h & (_CELLS - 1)
+
+
+def _found(docs: DataFrame, length: int, gram: int, crowd: int) -> DataFrame:
+    """Anchors that repeat (id, pos, need, crowded): need where contexts differ and bytes must be compared."""
+    spark = docs.sparkSession
+    local = materialize(_blocks(docs, length, gram, crowd, False, "id long, pos int, cell long"), "block-repeats")
+    marks = np.zeros(_CELLS, bool)
+    for (cell,) in local.where("cell is not null").select("cell").distinct().collect():  # at most _CELLS
+        marks[cell] = True
+    shared = spark.sparkContext.broadcast(np.packbits(marks))
+
+    def deal(batch: pa.RecordBatch) -> pa.RecordBatch:
+        h, ctx = (np.asarray(batch.column(k)) for k in (0, 1))
+        cell = _cell(h)
+        crowded = ((shared.value[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1).astype(bool)
+        key = np.where(crowded, mix(h.view(np.uint64) ^ (ctx.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93))).view(np.int64), h)
+        return pa.RecordBatch.from_arrays([pa.array(key), *batch.columns, pa.array(crowded)], ["deal", *batch.schema.names, "crowded"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cols in runs(batches, 4):
-            fresh = np.ones(len(cols[0]), bool)
+        for _, *cols, crowded in runs(batches, 6):
+            fresh = np.ones(len(crowded), bool)
             fresh[1:] = np.any([c[1:] != c[:-1] for c in cols], axis=0)
-            h, ctx, ident, pos = (c[fresh] for c in cols)
+            (h, ctx, ident, pos), crowded = (c[fresh] for c in cols), crowded[fresh].astype(bool)
             starts = np.concatenate([[True], h[1:] != h[:-1]])
             kinds = starts.copy()
             kinds[1:] |= ctx[1:] != ctx[:-1]
             group = np.cumsum(starts) - 1
-            many = np.bincount(group, weights=kinds)[group] > 1
+            many = (np.bincount(group, weights=kinds)[group] > 1) | crowded
             say = ~kinds | many
             if say.any():
-                yield pa.RecordBatch.from_arrays([pa.array(ident[say]), pa.array(pos[say]), pa.array(kinds[say])], ["id", "pos", "need"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[say]) for c in (ident, pos, kinds, kinds & crowded)], ["id", "pos", "need", "crowded"])
 
-    sent = docs.mapInArrow(emit, "h long, ctx long, id long, pos int")
-    return sent.repartition("h").sortWithinPartitions("h", "ctx", "id", "pos").mapInArrow(scan, "id long, pos int, need boolean")
+    kinds = "h long, ctx long, id long, pos int"
+    sent = map_arrow(_blocks(docs, length, gram, crowd, True, kinds), deal, f"deal long, {kinds}, crowded boolean")
+    met = sent.repartition("deal").sortWithinPartitions("deal", "h", "ctx", "id", "pos").mapInArrow(scan, "id long, pos int, need boolean, crowded boolean")
+    return met.unionByName(local.where("cell is null").select("id", "pos", F.lit(False).alias("need"), F.lit(False).alias("crowded")))
 
 
 def _contexts(docs: DataFrame, need: DataFrame, length: int, gram: int) -> DataFrame:
-    """Bytes around the anchors to compare: (g, ctx, left, right, id, pos)."""
+    """Bytes around the anchors to compare: (g, ctx, left, right, id, pos, crowded)."""
     reach = length - gram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 64):
                 part = whole.slice(at, 64)
-                cols = ([], [], [], [], [], [])
+                cols = ([], [], [], [], [], [], [])
                 for ident, utf8, places in zip(*(c.to_pylist() for c in part.columns)):
                     n = len(utf8)
-                    for p in places:
+                    for place in places:
+                        p = place["pos"]
                         left, right = min(p, reach), min(n - p, length)
                         if right < gram:
                             continue
-                        for c, v in zip(cols, (xxhash.xxh3_64_intdigest(utf8[p : p + gram]) - (1 << 63), utf8[p - left : p].rjust(reach, b"\0") + utf8[p : p + right].ljust(length, b"\0"), left, right, ident, p)):
+                        for c, v in zip(cols, (xxhash.xxh3_64_intdigest(utf8[p : p + gram]) - (1 << 63), utf8[p - left : p].rjust(reach, b"\0") + utf8[p : p + right].ljust(length, b"\0"), left, right, ident, p, place["crowded"])):
                             c.append(v)
-                kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["g", "ctx", "left", "right", "id", "pos"])
+                kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["g", "ctx", "left", "right", "id", "pos", "crowded"])
 
-    lists = need.groupBy("id").agg(F.collect_list("pos").alias("places"))
-    return docs.join(lists, "id").mapInArrow(run, "g long, ctx binary, left int, right int, id long, pos int")
+    lists = need.groupBy("id").agg(F.collect_list(F.struct("pos", "crowded")).alias("places"))
+    return docs.join(lists, "id").mapInArrow(run, "g long, ctx binary, left int, right int, id long, pos int, crowded boolean")
 
 
 def _insert(state: np.ndarray, symbols: np.ndarray) -> np.ndarray:
@@ -188,32 +249,70 @@ def repeats(group: np.ndarray, ctx: np.ndarray, left: np.ndarray, right: np.ndar
     return out
 
 
-def _compare(contexts: DataFrame, length: int, gram: int, most: int = 100_000) -> DataFrame:
-    """(id, pos, bits): which strings around each anchor have an earlier equal."""
-    width = 2 * length - gram
+def _string_hashes(rows: np.ndarray, x: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each string with its place x around the anchor; at another place it may be the very same bytes."""
+    raw = [x.tobytes() for x in rows]
+    signed = lambda seed: np.fromiter((xxhash.xxh3_64_intdigest(x, seed) for x in raw), np.uint64, len(raw)).view(np.int64)
+    return signed(2 * x), signed(2 * x + 1)
+
+
+def _compare(contexts: DataFrame, crowd: int, length: int, gram: int, crowd_rows: int, most: int = 100_000) -> DataFrame:
+    """(id, pos, bits): which strings around each anchor have an earlier equal.
+
+    Contexts of crowded anchors, `crowd` altogether, are spread over salts; of the strings that a
+    salt leaves, the first in each, (a, b, id, pos, x) are compared among salts.
+    """
+    width, reach = 2 * length - gram, length - gram
+    salts = -(-crowd // crowd_rows) or 1
+    deal = F.when(F.col("crowded"), F.xxhash64("g", F.pmod(F.xxhash64("id", "pos"), F.lit(salts)))).otherwise(F.col("g"))
+
+    def packed(bits: np.ndarray) -> pa.Array:
+        x = np.packbits(bits, axis=1)
+        return pa.FixedSizeBinaryArray.from_buffers(pa.binary(x.shape[1]), len(x), [None, pa.py_buffer(x.tobytes())]).cast(pa.binary())
 
-    def judge(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
-        g, ctx, left, right, ident, pos = (np.concatenate(x) for x in zip(*parts))
+    def judge(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        g, ctx, left, right, ident, pos, crowded = (np.concatenate(x) for x in zip(*parts))
         age = np.empty(len(g), np.int64)
         age[np.lexsort((pos, ident))] = np.arange(len(g))
         bits = repeats(g, ctx, left, right, age, length, gram)
-        hit = bits.any(axis=1)
-        packed = np.packbits(bits[hit], axis=1)
-        raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(packed.shape[1]), len(packed), [None, pa.py_buffer(packed.tobytes())])
-        return pa.RecordBatch.from_arrays([pa.array(ident[hit]), pa.array(pos[hit]), raw.cast(pa.binary())], ["id", "pos", "bits"])
+        hit = np.flatnonzero(bits.any(axis=1))
+        n = len(hit)
+        none = lambda k, kind: pa.nulls(k, kind)
+        yield pa.RecordBatch.from_arrays([pa.array(ident[hit]), pa.array(pos[hit]), packed(bits[hit]), none(n, pa.int64()), none(n, pa.int64()), none(n, pa.int32())], ["id", "pos", "bits", "a", "b", "x"])
+        apart = np.flatnonzero(crowded)
+        for x in range(reach + 1) if len(apart) and salts > 1 else ():
+            at = apart[(reach - x <= left[apart]) & (x + length - reach <= right[apart]) & ~bits[apart, x]]
+            a, b = _string_hashes(ctx[at, x : x + length], x)
+            yield pa.RecordBatch.from_arrays([pa.array(ident[at]), pa.array(pos[at]), none(len(at), pa.binary()), pa.array(a), pa.array(b), pa.array(np.full(len(at), x, np.int32))], ["id", "pos", "bits", "a", "b", "x"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
-        for cols in runs(batches, 6, {1: width}):
+        for cols in runs(batches, 7, {1: width}):
             parts.append(cols)
             held += len(cols[0])
             if held >= most:
-                yield judge(parts)
+                yield from judge(parts)
                 parts, held = [], 0
         if parts:
-            yield judge(parts)
-
-    return contexts.repartition("g").sortWithinPartitions("g").mapInArrow(run, "id long, pos int, bits binary")
+            yield from judge(parts)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for a, b, ident, pos, x in runs(batches, 5):
+            later = np.zeros(len(a), bool)
+            later[1:] = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+            bits = np.zeros((int(later.sum()), reach + 1), bool)
+            bits[np.arange(len(bits)), x[later]] = True
+            if len(bits):
+                yield pa.RecordBatch.from_arrays([pa.array(ident[later]), pa.array(pos[later]), packed(bits)], ["id", "pos", "bits"])
+
+    dealt = contexts.select(deal.alias("g"), "ctx", "left", "right", "id", "pos", "crowded")
+    judged = dealt.repartition("g").sortWithinPartitions("g").mapInArrow(run, "id long, pos int, bits binary, a long, b long, x int")
+    if salts == 1:
+        return judged.select("id", "pos", "bits")
+    judged = materialize(judged, "judged")
+    strings = judged.where("bits is null").select("a", "b", "id", "pos", "x")
+    met = strings.repartition("a").sortWithinPartitions("a", "b", "id", "pos").mapInArrow(meet, "id long, pos int, bits binary")
+    return judged.where("bits is not null").select("id", "pos", "bits").unionByName(met)
 
 
 def _cover(n: int, places: list, length: int, gram: int) -> np.ndarray:
@@ -237,15 +336,19 @@ def _cover(n: int, places: list, length: int, gram: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def dedup(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", length: int = 100, gram: int = 32, keep_bytes: bool = True) -> DataFrame:
-    """One row per document: sizes, removed spans, digest, and with keep_bytes the bytes that stay."""
+def dedup(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", length: int = 100, gram: int = 32, keep_bytes: bool = True, crowd: int = 256, crowd_rows: int = 50_000) -> DataFrame:
+    """One row per document: sizes, removed spans, digest, and with keep_bytes the bytes that stay.
+
+    crowd: contexts of one anchor in a block of about a million anchors from which it counts as crowded.
+    """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     if kind not in ("tinyint", "smallint", "int", "bigint"):
         raise TypeError(f"{id_col} is {kind}; document ids order by number")
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL)).alias("id"), texts(docs, text))
-    found = materialize(_found(source, length, gram), "anchors")
-    bits = materialize(_compare(_contexts(source, found.where("need").select("id", "pos"), length, gram), length, gram), "repeats")
+    found = materialize(_found(source, length, gram, crowd), "anchors")
+    contexts = _contexts(source, found.where("need").select("id", "pos", "crowded"), length, gram)
+    bits = materialize(_compare(contexts, found.where("crowded").count(), length, gram, crowd_rows), "repeats")
     all_places = found.where("not need").select("id", "pos", F.lit(None).cast("binary").alias("bits")).unionByName(bits)
     lists = all_places.groupBy("id").agg(F.collect_list(F.struct("pos", "bits")).alias("places"))
 

@@ -89,7 +89,8 @@ def brute_removed(docs, length):
 
 
 @pytest.mark.parametrize("alphabet, length, gram", [(b"ab", 12, 4), (b"abc", 20, 8), (b"a", 10, 4), (bytes(range(256)), 16, 8)])
-def test_suffix_dedup_random(spark, alphabet, length, gram):
+@pytest.mark.parametrize("crowding", [{}, {"crowd": 2, "crowd_rows": 5}])
+def test_suffix_dedup_random(spark, alphabet, length, gram, crowding):
     rng = np.random.default_rng(len(alphabet))
     pool = [bytes(rng.choice(list(alphabet), 40)).decode("latin-1") for _ in range(4)]
     docs = {}
@@ -97,7 +98,7 @@ def test_suffix_dedup_random(spark, alphabet, length, gram):
         parts = [pool[rng.integers(4)][rng.integers(20) :] if rng.random() < 0.6 else bytes(rng.choice(list(alphabet), rng.integers(0, 50))).decode("latin-1") for _ in range(rng.integers(0, 5))]
         docs[k] = "".join(parts)
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)
-    got = {r.doc_id: r for r in suffix_dedup.dedup(df, length=length, gram=gram).collect()}
+    got = {r.doc_id: r for r in suffix_dedup.dedup(df, length=length, gram=gram, **crowding).collect()}
     for k, gone in brute_removed({k: v.encode() for k, v in docs.items()}, length).items():
         data = docs[k].encode()
         left = np.frombuffer(data, np.uint8)[~gone].tobytes()
@@ -119,9 +120,21 @@ def test_suffix_dedup_odd(odd_documents, empty_documents):
     assert len(got) == 14 and by[4]["n_bytes"] == 0 and by[1]["n_removed"] == 0
     assert by[2]["n_removed"] == by[2]["n_bytes"]  # repeated rows are one document, a copy of an earlier one
     assert by[9]["n_removed"] == 200_000 - 1 and by[9]["n_spans"] == 1  # all but the first byte lie in a string seen a byte before
+    assert rows(suffix_dedup.dedup(odd_documents, crowd=1, crowd_rows=3)) == got
     assert suffix_dedup.dedup(empty_documents).count() == 0
 
 
+def test_suffix_dedup_passage_in_many_documents(spark):
+    """A passage with other text around it in every document: its edges are crowded anchors."""
+    rng = np.random.default_rng(1)
+    passage = bytes(rng.integers(97, 123, 300, np.uint8))
+    docs = {k: bytes(rng.integers(97, 123, 40 + k % 60, np.uint8)) + passage[k % 7 :] + bytes(rng.integers(97, 123, k % 90, np.uint8)) for k in range(60)}
+    df = spark.createDataFrame([(k, v.decode()) for k, v in docs.items()], "doc_id long, text string").repartition(4)
+    expected = brute_removed(docs, 100)
+    for r in suffix_dedup.dedup(df, crowd=4, crowd_rows=40).collect():
+        assert r.n_removed == expected[r.doc_id].sum()
+
+
 # ---- packing --------------------------------------------------------------------------------
 
 
