@@ -263,7 +263,7 @@ def _compare(contexts: DataFrame, crowd: int, length: int, gram: int, crowd_rows
     salt leaves, the first in each, (a, b, id, pos, x) are compared among salts.
     """
     width, reach = 2 * length - gram, length - gram
-    salts = -(-crowd // crowd_rows) or 1
+    salts = max(2, -(-crowd // crowd_rows))
     deal = F.when(F.col("crowded"), F.xxhash64("g", F.pmod(F.xxhash64("id", "pos"), F.lit(salts)))).otherwise(F.col("g"))
 
     def packed(bits: np.ndarray) -> pa.Array:
@@ -280,7 +280,7 @@ def _compare(contexts: DataFrame, crowd: int, length: int, gram: int, crowd_rows
         none = lambda k, kind: pa.nulls(k, kind)
         yield pa.RecordBatch.from_arrays([pa.array(ident[hit]), pa.array(pos[hit]), packed(bits[hit]), none(n, pa.int64()), none(n, pa.int64()), none(n, pa.int32())], ["id", "pos", "bits", "a", "b", "x"])
         apart = np.flatnonzero(crowded)
-        for x in range(reach + 1) if len(apart) and salts > 1 else ():
+        for x in range(reach + 1) if len(apart) else ():
             at = apart[(reach - x <= left[apart]) & (x + length - reach <= right[apart]) & ~bits[apart, x]]
             a, b = _string_hashes(ctx[at, x : x + length], x)
             yield pa.RecordBatch.from_arrays([pa.array(ident[at]), pa.array(pos[at]), none(len(at), pa.binary()), pa.array(a), pa.array(b), pa.array(np.full(len(at), x, np.int32))], ["id", "pos", "bits", "a", "b", "x"])
@@ -307,8 +307,6 @@ def _compare(contexts: DataFrame, crowd: int, length: int, gram: int, crowd_rows
 
     dealt = contexts.select(deal.alias("g"), "ctx", "left", "right", "id", "pos", "crowded")
     judged = dealt.repartition("g").sortWithinPartitions("g").mapInArrow(run, "id long, pos int, bits binary, a long, b long, x int")
-    if salts == 1:
-        return judged.select("id", "pos", "bits")
     judged = materialize(judged, "judged")
     strings = judged.where("bits is null").select("a", "b", "id", "pos", "x")
     met = strings.repartition("a").sortWithinPartitions("a", "b", "id", "pos").mapInArrow(meet, "id long, pos int, bits binary")
