@@ -36,15 +36,21 @@ PATTERNS = {
 }
 
 
-def labelled_samples(docs: DataFrame, *, text: str = "text", n_random: int = 6000, sample_docs: int = 2000) -> DataFrame:
-    """Rows (label, value): 1 random, 0 identifier."""
+def labelled_samples(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", n_random: int = 6000, sample_docs: int = 2000) -> DataFrame:
+    """Rows (label, value): 1 random, 0 identifier.
+
+    Identifiers come from the whole texts of the `sample_docs` documents of
+    smallest hash; id and text are hashed, so copies are drawn like any others.
+    """
     spark = docs.sparkSession
     digest = F.sha2(F.concat(F.lit("sample:"), F.col("id").cast("string")), 256)
     b64 = F.base64(F.unhex(digest))
     kinds = F.array(F.substring(digest, 1, 40), F.substring(F.translate(b64, "+/=", "xQ7"), 1, 32), F.substring(b64, 1, 40), F.upper(F.substring(F.translate(b64, "+/=", "K3Z"), 1, 20)))
     random = spark.range(n_random).select(F.lit(1).alias("label"), F.element_at(kinds, (F.col("id") % 4 + 1).cast("int")).alias("value"))
-    sample = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).orderBy(F.xxhash64("t"), "t").limit(sample_docs)
-    words = F.filter(F.regexp_extract_all(F.substring(F.col("t"), 1, 20000), F.lit("[A-Za-z]{3,}"), F.lit(0)), lambda w: F.length(w) < 20)
+    drawn = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"), F.xxhash64(F.col(id_col), F.col(text)).alias("h"))
+    last = drawn.select("h").distinct().orderBy("h").limit(sample_docs).agg(F.max("h")).first()[0]
+    sample = drawn.where(F.col("h") <= F.lit(last).cast("long")).dropDuplicates(["h"])
+    words = F.filter(F.regexp_extract_all(F.col("t"), F.lit("[A-Za-z]{3,}"), F.lit(0)), lambda w: F.length(w) < 20)
     three = F.transform(
         F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1)), F.lit(7)),
         lambda k: F.slice(F.col("w"), k, F.lit(3)),
@@ -92,7 +98,7 @@ def ratio(value: Column, table: list[float]) -> Column:
 
 def find_secrets(docs: DataFrame, table: list[float] | None = None, *, id_col: str = "doc_id", text: str = "text", threshold: float = 0.4) -> DataFrame:
     """One row per document: counts, digest of the base spans, all spans."""
-    table = table or train(labelled_samples(docs, text=text))
+    table = table or train(labelled_samples(docs, id_col=id_col, text=text))
     body = F.col("__text")
     cheap = {
         "assign": body.rlike(r"(?i)(?:password|passwd|secret|token|key)[\"']?\x20*+[:=]"),
