@@ -271,9 +271,13 @@ def _compare(contexts: DataFrame, crowd: int, length: int, gram: int, crowd_rows
         return pa.FixedSizeBinaryArray.from_buffers(pa.binary(x.shape[1]), len(x), [None, pa.py_buffer(x.tobytes())]).cast(pa.binary())
 
     def judge(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        g, ctx, left, right, ident, pos, crowded = (np.concatenate(x) for x in zip(*parts))
-        age = np.empty(len(g), np.int64)
-        age[np.lexsort((pos, ident))] = np.arange(len(g))
+        g, ident, pos = (np.concatenate([x[k] for x in parts]) for k in (0, 4, 5))
+        order = np.lexsort((g, pos, ident))
+        fresh = np.ones(len(order), bool)  # a row that repeats is the same document; its contexts meet in one g
+        fresh[1:] = np.any([c[order][1:] != c[order][:-1] for c in (g, ident, pos)], axis=0)
+        order = order[fresh]
+        g, ctx, left, right, ident, pos, crowded = (np.concatenate(x)[order] for x in zip(*parts))
+        age = np.arange(len(g))
         bits = repeats(g, ctx, left, right, age, length, gram)
         hit = np.flatnonzero(bits.any(axis=1))
         n = len(hit)

@@ -135,6 +135,18 @@ def test_suffix_dedup_passage_in_many_documents(spark):
         assert r.n_removed == expected[r.doc_id].sum()
 
 
+@pytest.mark.parametrize("crowding", [{}, {"crowd": 1, "crowd_rows": 2}])
+def test_suffix_dedup_repeated_rows_with_a_shared_passage(spark, crowding):
+    """A row that repeats is no earlier document: the first one keeps the passage it shares with a later one."""
+    rng = np.random.default_rng(7)
+    a, p, b, c, d = (bytes(rng.integers(97, 123, n, np.uint8)) for n in (150, 300, 170, 190, 130))
+    docs = {1: a + p + b, 2: c + p + d}
+    df = spark.createDataFrame([(k, docs[k].decode()) for k in (1, 1, 2, 2)], "doc_id long, text string").repartition(2)
+    expected = brute_removed(docs, 100)
+    got = suffix_dedup.dedup(df, **crowding).collect()
+    assert sorted((r.doc_id, r.n_removed) for r in got) == sorted((k, int(expected[k].sum())) for k in (1, 1, 2, 2)) == [(1, 0), (1, 0), (2, 300), (2, 300)]
+
+
 # ---- packing --------------------------------------------------------------------------------
 
 
