@@ -30,10 +30,18 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?:\x20?[A-Z0-9]){11})",  # where one may start; _ibans finds its end
     "national": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "local_phone": r"(?<![0-9(+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9-])",
 }
+_IBAN_RUN = r"\A[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}"
+_IBAN_SIZES = dict(
+    x.split(":")
+    for x in """NO:15 BE:16 DK:18 FI:18 FK:18 FO:18 GL:18 NL:18 SD:18 MK:19 SI:19 AT:20 BA:20 EE:20 KZ:20 LT:20 LU:20 MN:20 XK:20 CH:21 HR:21 LI:21 LV:21
+    BG:22 BH:22 CR:22 DE:22 GB:22 GE:22 IE:22 ME:22 RS:22 VA:22 AE:23 GI:23 IL:23 IQ:23 OM:23 SO:23 TL:23 AD:24 CZ:24 ES:24 MD:24 PK:24 RO:24 SA:24 SE:24
+    SK:24 TN:24 VG:24 LY:25 PT:25 ST:25 IS:26 TR:26 BI:27 DJ:27 FR:27 GR:27 IT:27 MC:27 MR:27 SM:27 AL:28 AZ:28 BY:28 CY:28 DO:28 GT:28 HU:28 LB:28 NI:28
+    PL:28 SV:28 BR:29 EG:29 PS:29 QA:29 UA:29 JO:30 KW:30 MU:30 YE:30 MT:31 SC:31 LC:32 RU:33""".split()
+)
 # Score before context, and what a word nearby adds or takes.
 PRIOR = {"national": 0.3, "local_phone": 0.35}
 HELPS = {
@@ -72,6 +80,28 @@ def mod97(value: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(turned)), F.lit(0), step) == 1
 
 
+def _ibans(text: Column, starts: Column) -> Column:
+    """Spans of the IBANs that begin at the starts, leftmost first and without overlap.
+
+    Of the word ends that pass mod-97 the one of the country's length counts, else the last.
+    """
+    sizes = F.create_map(*(F.lit(x) for k, n in _IBAN_SIZES.items() for x in (k, int(n))))
+
+    def whole(x: Column) -> Column:
+        ahead = F.substring(text, x["start"] + 1, F.lit(65))
+        value = lambda e: F.substring(ahead, F.lit(1), e)
+        ends = F.sequence(F.lit(15), F.length(F.regexp_extract(ahead, _IBAN_RUN, 0)))
+        ends = F.filter(ends, lambda e: F.substring(ahead, e, F.lit(2)).rlike(r"\A[A-Z0-9](?![A-Za-z0-9])"))
+        size = F.try_element_at(sizes, F.substring(ahead, 1, 2))
+        ranked = F.transform(F.filter(ends, lambda e: mod97(value(e))), lambda e: F.struct(F.coalesce(F.length(F.regexp_replace(value(e), " ", "")) == size, F.lit(False)).alias("known"), e.alias("size")))
+        last = F.array_max(ranked)["size"]
+        return F.struct(x["kind"].alias("kind"), x["start"].alias("start"), (x["start"] + last).alias("end"), value(last).alias("value"))
+
+    none = F.expr("cast(array() as array<struct<kind:string,start:int,end:int,value:string>>)")
+    found = F.filter(F.transform(starts, whole), lambda x: x["end"].isNotNull())
+    return F.aggregate(found, none, lambda acc, x: F.when(F.try_element_at(acc, F.lit(-1))["end"] > x["start"], acc).otherwise(F.concat(acc, F.array(x))))
+
+
 def _confirmed(kind: str, text: Column) -> Column:
     cheap = {"email": text.contains("@"), "phone": text.contains("+")}.get(kind)
     if kind in ("ip", "card", "iban", "national", "local_phone"):
@@ -84,7 +114,7 @@ def _confirmed(kind: str, text: Column) -> Column:
     if kind == "phone":
         return F.filter(spans, lambda x: F.length(_digits(x["value"])).between(9, 15))
     if kind == "iban":
-        return F.filter(spans, lambda x: mod97(x["value"]))
+        return _ibans(text, spans)
     if kind in PRIOR:
         return F.filter(spans, lambda x: context_score(text, x, kind) >= THRESHOLD)
     return spans

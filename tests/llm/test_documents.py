@@ -247,6 +247,19 @@ def test_pii_checksums_and_context(spark):
     assert found[11] == [("national", "078-05-1120")]
 
 
+def test_pii_ibans_before_capitals_and_digits(spark):
+    de, gb, no = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947"
+    cases = {
+        "DE89370400440532013000 Please": ["DE89370400440532013000"], f"{de} BIC COBADEFFXXX": [de], f"{de} 12 A": [de], f"{gb} {de}": [gb, de], f"{no} {no}, {gb}": [no, no, gb],
+        f"🙂 {gb} IBAN {no.replace(' ', '')} X1": [gb, no.replace(" ", "")], f"{de}.": [de], f"{de}x": [], "DE88370400440532013000 Please": [], f"X{de}": [], "AB12" * 2000: [],
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    for r in pii.find_pii(df).collect():
+        text = list(cases)[r.doc_id]
+        found = [s for s in r.found if s.kind == "iban"]
+        assert [s.value for s in found] == cases[text] and all(text[s.start : s.end] == s.value for s in found), text
+
+
 def brute_secrets(t):
     out = [(m.start(), 0, "assign", m.end()) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t, re.I | re.A) if len(m[2]) >= 8]
     out += [(m.start(), 1, "access", m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
