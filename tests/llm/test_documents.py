@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 
 from lectern.llm import decontaminate, line_dedup, ngram_join, packing, pii, quality_rules, secrets, suffix_dedup
+from lectern.llm.components import connected
 from lectern.llm.queries import tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -402,6 +403,15 @@ def test_jaccard_join_odd(odd_documents, empty_documents):
     assert ngram_join.classes(empty_documents).count() == 0
 
 
+def test_components_of_long_chains(spark):
+    rng = np.random.default_rng(3)
+    n = 800
+    label = rng.permutation(n) - n // 2
+    pairs = [(int(label[k]), int(label[k + h])) for h in (1, 2) for k in range(n - h) if k + h < 500 or k >= 500]
+    got = {r.node: r.comp for r in connected(spark.createDataFrame(pairs, "a long, b long").coalesce(1)).collect()}
+    assert got == {int(x): int(min(part)) for part in (label[:500], label[500:]) for x in part}
+
+
 def test_parity_bounds_the_difference():
     rng = np.random.default_rng(5)
     for _ in range(50):
