@@ -14,7 +14,8 @@ most often.  The answers found there, who is already joined to whom, are what
 the second round derives the rest from: only pairs whose components still
 differ are candidates then.  All of those are checked, so no link between
 components is lost; pairs that would only repeat what is known are never
-formed.
+formed.  That is enough for `classes`.  `join` and `link_counts` give every
+link: there each pair that shares enough lists is checked.
 
 Sets travel for the check only if they share enough index lists for a link.
 Tokens and classes are 64-bit hashes.
@@ -321,8 +322,11 @@ def _check(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), run, "a long, b long")
 
 
-def link(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, shared: int = 3) -> tuple[DataFrame, DataFrame]:
-    """(members, links): rows (id, n, key) of all documents; verified pairs (a, b) of class keys that join the components."""
+def link(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, shared: int = 3, every: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(members, links): rows (id, n, key) of all documents; verified pairs (a, b) of class keys.
+
+    every: all pairs that are similar enough, else those that join the components.
+    """
     spark = docs.sparkSession
     members, levels = _sets(docs, id_col, text, width)
     with_id = docs.where(F.col(id_col).isNotNull())
@@ -344,8 +348,13 @@ def link(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", width:
     chosen = with_id.select(F.col(id_col).alias("__id"), texts(docs, text)).join(needed, "__id", "left_semi").select("__utf8")
     sets = materialize(map_arrow(chosen, tokens, "key long, tokens binary, bits binary"), "tokens")
 
-    links = materialize(_check(_leader_pairs(lists, percent, shared), sets, percent), "links")
-    rest = materialize(_open_pairs(lists, connected(links), sets, percent, shared), "open-pairs")
+    if every:
+        links = spark.createDataFrame([], "a long, b long")
+        comps = spark.createDataFrame([], "node long, comp long")  # each set by itself, so every pair is open
+    else:
+        links = materialize(_check(_leader_pairs(lists, percent, shared), sets, percent), "links")
+        comps = connected(links)
+    rest = materialize(_open_pairs(lists, comps, sets, percent, shared), "open-pairs")
     discard(lists)
     links = materialize(links.unionByName(_check(rest, sets, percent)), "links")
     discard(sets)
@@ -365,6 +374,26 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", widt
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), mine.alias("component_id"))
 
 
+def join(docs: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
+    """(members, links): rows (id, n, key) of all documents, and once each pair (a, b), a < b, of different classes that is similar enough.
+
+    Documents link if their classes are equal or linked.
+    """
+    members, links = link(docs, every=True, **options)
+    return members, links.distinct()  # a repeated row's set is there twice
+
+
+def link_counts(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
+    """One row per document: id, shingles, and how many other documents it links with."""
+    members, links = join(docs, id_col=id_col, **options)
+    sizes = members.where("id is not null and key is not null").groupBy("key").agg(F.countDistinct("id").alias("size"))
+    ways = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    around = ways.join(sizes.withColumnRenamed("key", "b"), "b").groupBy(F.col("a").alias("key")).agg(F.sum("size").alias("near"))
+    counts = sizes.join(around, "key", "left").select("key", (F.col("size") - 1 + F.coalesce("near", F.lit(0))).alias("links"))
+    mine = F.when(F.col("id").isNull(), 0).otherwise(F.coalesce("links", F.lit(0))).cast("long")
+    return members.join(counts, "key", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), mine.alias("n_links"))
+
+
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """docs with one document of each group, the one with the smallest id; all columns stay.
 

@@ -412,6 +412,22 @@ def test_components_of_long_chains(spark):
     assert got == {int(x): int(min(part)) for part in (label[:500], label[500:]) for x in part}
 
 
+def test_jaccard_join_gives_every_link(spark):
+    """In a group of near copies all pairs are links, not only those that join the group."""
+    words = [f"w{k}" for k in range(200)]
+    docs = {k: " ".join([*words[:k * 5], f"x{k}", *words[k * 5 + 1 :]]) for k in range(1, 30)}
+    docs |= {40: docs[3], 41: docs[3].upper(), 42: "one", 43: "one", 44: None, 45: "other words that link with none of these", 46: " ".join(words[:190])}
+    sets = {k: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for k, t in docs.items()}
+    linked = {(a, b) for a in docs for b in docs if a < b and sets[a] and 100 * (x := len(sets[a] & sets[b])) >= 80 * (len(sets[a]) + len(sets[b]) - x)}
+    df = spark.createDataFrame([*docs.items(), (3, docs[3]), (None, docs[3])], "doc_id long, text string").repartition(3)
+    members, links = ngram_join.join(df)
+    key = {r.id: r.key for r in members.where("id is not null").collect()}
+    got = [(r.a, r.b) for r in links.collect()]
+    assert len(got) == len(set(got)) and set(got) == {(min(key[a], key[b]), max(key[a], key[b])) for a, b in linked if key[a] != key[b]}
+    counts = collections.Counter(x for pair in linked for x in pair)
+    assert {r.doc_id: r.n_links for r in ngram_join.link_counts(df).collect()} == {k: counts[k] for k in docs} | {None: 0}
+
+
 def test_parity_bounds_the_difference():
     rng = np.random.default_rng(5)
     for _ in range(50):
