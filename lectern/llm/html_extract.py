@@ -1,15 +1,17 @@
 """Main text of web pages by nearest-URL page differencing.
 
 Pages are range-sorted by host and URL path, so a page's nearest URL is next to
-it; a host of any size spreads over many tasks.  Each page's text lines are
-aligned with those of its nearest neighbour of the same host by longest common
-subsequence, and shared lines outside the article element go: those are the
-site's own furniture.  Markup that names its role (navigation, header, footer,
-sidebar, advert, form, script, comment section) goes as well.  Where a
-neighbour is a copy of the page as a whole, sharing says nothing about
-furniture and only the markup decides.
+it; a host of any size spreads over many tasks, and a range gets the pages just
+beyond its ends as well, so that results do not depend on the ranges.  Each
+page's text lines are aligned with those of its nearest neighbour of the same
+host by longest common subsequence, and shared lines outside article and main
+go: those are the site's own furniture.  Markup that names its role
+(navigation, header, footer, sidebar, advert, form, script, comment section)
+goes as well.  A neighbour one of whose bodies is nearly all in the other is a
+copy and says nothing about furniture; the next nearest counts then, of the
+four different pages on either side.
 
-A page without a neighbour in its partition is judged by markup alone.
+A page without such a neighbour is judged by markup alone.
 
 Defined results: null html has the empty text; a null url sorts as an empty
 one; repeated rows are copies of each other; other columns are ignored; an
@@ -20,7 +22,8 @@ from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
+from collections import Counter, deque
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -28,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_arrow
+
 _BLOCK = frozenset(
     """address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form
     frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table
@@ -47,6 +52,7 @@ _ROLES = frozenset("navigation banner contentinfo complementary search form aler
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
 _SPACE = re.compile(r"\s+")
+_LOOK = 4  # different pages to look at on either side
 
 
 class Line(NamedTuple):
@@ -162,16 +168,27 @@ def shared_lines(a: list[str], b: list[str]) -> set[int]:
     return found
 
 
-def main_text(lines: list[Line], neighbour: list[Line] | None) -> str:
-    """The page's lines without furniture, by markup and by difference from the neighbour."""
-    shared: set[int] = set()
-    if neighbour:
-        shared = shared_lines([x.text for x in lines], [x.text for x in neighbour])
-        body = [k for k, x in enumerate(lines) if not x.furniture]
-        if 2 * sum(len(lines[k].text) for k in body if k in shared) > sum(len(lines[k].text) for k in body):
-            shared = set()  # the neighbour is a copy
+def body_shared(lines: list[Line], neighbour: list[Line]) -> set[int] | None:
+    """Positions of the lines shared with the neighbour; None if one page holds nearly all the other's body, as copies do."""
+    a, b = [x.text for x in lines], [x.text for x in neighbour]
+    shared = shared_lines(a, b)
+    taken = Counter(a[k] for k in shared)
+    other = set()
+    for k, x in enumerate(b):
+        if taken[x] > 0:
+            taken[x] -= 1
+            other.add(k)
+    for page, same in ((lines, shared), (neighbour, other)):
+        body = [(len(x.text), k in same) for k, x in enumerate(page) if not x.furniture]
+        if 50 * sum(n for n, known in body if not known) <= sum(n for n, _ in body):
+            return None
+    return shared
+
+
+def main_text(lines: list[Line], shared: set[int] | None) -> str:
+    """The page's lines without furniture, by markup and, unless shared is None, by difference from the neighbour."""
     marked = any(x.article and not x.furniture for x in lines)
-    return " ".join(x.text for k, x in enumerate(lines) if not x.furniture and (x.article or not marked and k not in shared))
+    return " ".join(x.text for k, x in enumerate(lines) if not x.furniture and (x.article or not marked and k not in (shared or ())))
 
 
 def url_key(url: str = "url"):
@@ -191,22 +208,124 @@ def _common(a: str, b: str) -> int:
     return n
 
 
+class Run:
+    """Successive pages of one host with the same html."""
+
+    def __init__(self, digest: int, raw: str):
+        self.digest, self.lines, self.rows, self.said = digest, lines_of(raw), [], {}
+
+    def text(self, others: list[Run]) -> str:
+        """By the first of the others that is no copy."""
+        for other in others:
+            if other.digest not in self.said:
+                shared = body_shared(self.lines, other.lines)
+                self.said[other.digest] = None if shared is None else main_text(self.lines, shared)
+            if self.said[other.digest] is not None:
+                return self.said[other.digest]
+        if None not in self.said:
+            self.said[None] = main_text(self.lines, None)
+        return self.said[None]
+
+
+def _judged(runs: list[Run], k: int) -> Iterator[tuple]:
+    """(id, url, text) of the own rows of run k, whose neighbours are the runs around it."""
+    here = runs[k]
+    around = [(d, runs[j], runs[j].rows[at][0]) for d in range(1, _LOOK + 1) for j, at in ((k - d, -1), (k + d, 0)) if 0 <= j < len(runs)]
+    for path, ident, url, own in here.rows:
+        if own:
+            near = sorted(((-_common(p, path), d, n) for n, (d, _, p) in enumerate(around)))
+            yield ident, url, here.text([around[n][1] for *_, n in near])
+
+
+def _rank(host: str, path: str, ident) -> tuple:
+    return host, path, ident is not None, 0 if ident is None else ident
+
+
+def _edges(keys: DataFrame, parts: int, kind: str) -> tuple[list[tuple], dict[tuple, list[int]]]:
+    """Bounds of the ranges, and the pages next to a range that it needs as neighbours: their key, with the ranges."""
+    sample = sorted(_rank(*r) for r in keys.select("__host", "__path", "__id").orderBy(F.xxhash64("__host", "__path", "__id")).limit(32 * parts).collect())
+    bounds = sorted({sample[len(sample) * k // parts] for k in range(1, parts)}) if sample else []
+    shared = keys.sparkSession.sparkContext.broadcast(bounds)
+
+    def place(batch: pa.RecordBatch) -> pa.RecordBatch:
+        at = [bisect_right(shared.value, _rank(*r)) for r in zip(*(batch.column(k).to_pylist() for k in range(3)))]
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.int32())], ["__host", "__path", "__id", "__digest", "__part"])
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """First and last runs of each range, of a run its outer rows."""
+        first: list[tuple] = []
+        last: deque[list[tuple]] = deque(maxlen=_LOOK + 1)
+        part = None
+
+        def out() -> pa.RecordBatch:
+            rows = [(*r, False) for r in first] + [(*r[-1], True) for r in last]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (*types, pa.bool_()))], ["__host", "__path", "__id", "__digest", "__part", "tail"])
+
+        for batch in batches:
+            types = batch.schema.types
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[4] != part:
+                    if last:
+                        yield out()
+                    first, part = [], row[4]
+                    last.clear()
+                if last and (last[-1][-1][0], last[-1][-1][3]) == (row[0], row[3]):
+                    last[-1][-1] = row
+                else:
+                    last.append([row])
+                    if len(first) <= _LOOK:
+                        first.append(row)
+        if last:
+            yield out()
+
+    schema = f"__host string, __path string, __id {kind}, __digest long, __part int"
+    placed = map_arrow(keys, place, schema).repartition("__part").sortWithinPartitions("__part", "__host", "__path", "__id")
+    ends_of = placed.mapInArrow(ends, f"{schema}, tail boolean").collect()
+    wanted: dict[tuple, list[int]] = {}
+    for tail in (True, False):
+        rows = sorted((r for r in ends_of if r.tail == tail), key=lambda r: _rank(*r[:3]), reverse=tail)
+        edge = {}  # the outermost page of each range on the side that looks there
+        for r in sorted((r for r in ends_of if r.tail != tail), key=lambda r: _rank(*r[:3]), reverse=not tail):
+            edge.setdefault(r["__part"], r)
+        beyond = {p: k for k, r in reversed(list(enumerate(rows))) for p in (r["__part"],)}
+        order = sorted(beyond, reverse=tail)
+        for p, q in zip(order, order[1:]):
+            seen, digest = 0, None
+            for r in rows[beyond[q] :]:
+                if r["__host"] != edge[p]["__host"] or (seen := seen + (r["__digest"] != digest)) > _LOOK + 1:
+                    break
+                if r["__digest"] != digest:
+                    wanted.setdefault(_rank(*r[:3]), []).append(p)
+                digest = r["__digest"]
+    return bounds, wanted
+
+
 def extract(pages: DataFrame, *, id_col: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """One row per page: id, url, main text and its code points."""
+    spark = pages.sparkSession
     kind = pages.schema[id_col].dataType.simpleString()
     keyed = pages.select(*url_key(url), F.col(id_col).alias("__id"), F.col(url).cast("string").alias("__url"), F.coalesce(F.col(page).cast("string"), F.lit("")).alias("__html"))
-    ordered = keyed.repartitionByRange("__host", "__path", "__id").sortWithinPartitions("__host", "__path", "__id")
+    keyed = keyed.withColumn("__digest", F.xxhash64("__html"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    edges = spark.sparkContext.broadcast(_edges(keyed.select("__host", "__path", "__id", "__digest"), parts, kind))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = here = None  # (host, path, id, url, lines)
-        rows: list[tuple] = []
+    def deal(batch: pa.RecordBatch) -> pa.RecordBatch:
+        bounds, wanted = edges.value
+        take, at, own = [], [], []
+        for k, key in enumerate(_rank(*r) for r in zip(*(batch.column(c).to_pylist() for c in range(3)))):
+            mine = [bisect_right(bounds, key), *wanted.get(key, ())]
+            take += [k] * len(mine)
+            at += mine
+            own += [True] + [False] * (len(mine) - 1)
+        out = batch.take(pa.array(take, pa.int64()))
+        return pa.RecordBatch.from_arrays([*out.columns, pa.array(at, pa.int32()), pa.array(own)], [*batch.schema.names, "__part", "__own"])
 
-        def judge(after):
-            best, most = None, -1
-            for other in (before, after):
-                if other and other[0] == here[0] and (n := _common(other[1], here[1])) > most:
-                    best, most = other[4], n
-            rows.append((here[2], here[3], main_text(here[4], best)))
+    dealt = map_arrow(keyed, deal, f"__host string, __path string, __id {kind}, __url string, __html string, __digest long, __part int, __own boolean")
+    ordered = dealt.repartitionById(parts, F.col("__part")).sortWithinPartitions("__part", "__host", "__path", "__id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs: list[Run] = []  # of one host, and the first that is not judged yet
+        at, place, rows = 0, None, []
 
         def batch_of():
             ids, urls, out = zip(*rows)
@@ -214,17 +333,30 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url: str = "url", page
             rows.clear()
             return made
 
+        def judge(until: int) -> Iterator[pa.RecordBatch]:
+            for k in range(at, until):
+                for row in _judged(runs, k):
+                    rows.append(row)
+                    if len(rows) >= 512:
+                        yield batch_of()
+
         for batch in batches:
             id_type = batch.schema.field(2).type
-            for host, path, ident, at, raw in zip(*(c.to_pylist() for c in batch.columns)):
-                after = (host, path, ident, at, lines_of(raw))
-                if here:
-                    judge(after)
-                before, here = here, after
-                if len(rows) >= 512:
-                    yield batch_of()
-        if here:
-            judge(None)
+            for host, path, ident, url, raw, digest, part, own in zip(*(c.to_pylist() for c in batch.columns)):
+                if place != (part, host):
+                    yield from judge(len(runs))
+                    runs, at, place = [], 0, (part, host)
+                if not runs or runs[-1].digest != digest:
+                    runs.append(Run(digest, raw))
+                    done = len(runs) - 1 - _LOOK  # runs before it have all their neighbours, whole
+                    if done > at:
+                        yield from judge(done)
+                        at = done
+                        drop = max(at - _LOOK, 0)
+                        del runs[:drop]
+                        at -= drop
+                runs[-1].rows.append((path, ident, url, own))
+        yield from judge(len(runs))
         if rows:
             yield batch_of()
 

@@ -86,6 +86,21 @@ def test_copies_keep_their_text(spark):
     assert {r.text for r in html_extract.extract(df).collect()} == {"One page of text that is served under two addresses. It stays whole."}
 
 
+def test_short_texts_lose_long_furniture_in_any_ranges(spark):
+    """Long furniture around a short text, copies next to it, and as many ranges as pages."""
+    page = lambda k: f"<body><div>{'A long menu of the site ' * 6}</div><p>Short text number {k}</p><div>{'Terms and notices ' * 8}</div></body>"
+    df = spark.createDataFrame([(k, f"http://h.org/x/{k:02}", page(k // 3)) for k in range(24)], "page_id long, url string, html string")
+    expected = {k: f"Short text number {k // 3}" for k in range(24)}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (1, 5, 24, 40):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got = [(r.page_id, r.text) for r in html_extract.extract(df).collect()]
+            assert len(got) == 24 and dict(got) == expected, n
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_longest_common_subsequence():
     from difflib import SequenceMatcher
     from random import Random
