@@ -186,9 +186,14 @@ def body_shared(lines: list[Line], neighbour: list[Line]) -> set[int] | None:
 
 
 def main_text(lines: list[Line], shared: set[int] | None) -> str:
-    """The page's lines without furniture, by markup and, unless shared is None, by difference from the neighbour."""
-    marked = any(x.article and not x.furniture for x in lines)
-    return " ".join(x.text for k, x in enumerate(lines) if not x.furniture and (x.article or not marked and k not in (shared or ())))
+    """The page's lines without furniture, by markup and, unless shared is None, by difference from the neighbour.
+
+    What article markup holds stays; of the rest of a page that has such markup, what the neighbour does not share.
+    """
+    if shared is None:
+        marked = any(x.article and not x.furniture for x in lines)
+        return " ".join(x.text for x in lines if not x.furniture and (x.article or not marked))
+    return " ".join(x.text for k, x in enumerate(lines) if not x.furniture and (x.article or k not in shared))
 
 
 def url_key(url: str = "url"):

@@ -86,6 +86,13 @@ def test_copies_keep_their_text(spark):
     assert {r.text for r in html_extract.extract(df).collect()} == {"One page of text that is served under two addresses. It stays whole."}
 
 
+def test_unshared_text_outside_the_article_stays(spark):
+    page = lambda k: f"<body><div>Our site</div><article>Teaser {k}</article><div>Long story {k} {'and more ' * (k + 5)}</div><div>All rights reserved</div></body>"
+    df = spark.createDataFrame([(k, f"http://h.org/{k}", page(k)) for k in range(6)], "page_id long, url string, html string")
+    for r in html_extract.extract(df).collect():
+        assert r.text == f"Teaser {r.page_id} Long story {r.page_id} {('and more ' * (r.page_id + 5)).strip()}"
+
+
 def test_short_texts_lose_long_furniture_in_any_ranges(spark):
     """Long furniture around a short text, copies next to it, and as many ranges as pages."""
     page = lambda k: f"<body><div>{'A long menu of the site ' * 6}</div><p>Short text number {k}</p><div>{'Terms and notices ' * 8}</div></body>"
