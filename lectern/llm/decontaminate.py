@@ -71,13 +71,13 @@ def _automaton(shared):
     return _built["made"]
 
 
-def scan(utf8: bytes, automaton, keys: list[str]) -> tuple[int, np.ndarray | None, set[int]]:
-    """Number of words, mask of words inside a benchmark window (None: no hit), items found."""
+def scan(utf8: bytes, automaton, keys: list[str]) -> tuple[int, np.ndarray | None, dict[int, int]]:
+    """Number of words, mask of words inside a benchmark window (None: no hit), items found with their longest window."""
     w = words(utf8)
     if not w or not len(automaton):
-        return len(w), None, set()
+        return len(w), None, {}
     line = b" " + b" ".join(w) + b" "
-    edges, found = None, set()
+    edges, found = None, {}
     hit = np.zeros(len(w) + 1, np.int64)
     for end, (size, items) in automaton.iter(line.decode("latin-1")):
         if edges is None:
@@ -85,7 +85,8 @@ def scan(utf8: bytes, automaton, keys: list[str]) -> tuple[int, np.ndarray | Non
         last = int(edges[end]) - 1  # the space at `end` closes this word, counted from 1
         hit[last - size] += 1
         hit[last] -= 1
-        found.update(items)
+        for item in items:
+            found[item] = max(size, found.get(item, 0))
     return len(w), (np.cumsum(hit)[:-1] > 0 if found else None), found
 
 
@@ -143,14 +144,22 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_
     return map_arrow(docs.select(F.col(id_col), texts(docs, text)), run, schema)
 
 
-def keep(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", window: int = 8, min_items: int = 2, **bounds) -> DataFrame:
-    """The rows of docs that hold fewer than min_items benchmark items, with their own columns."""
+def keep(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", window: int = 8, min_items: int = 2, min_short_items: int | None = None, **bounds) -> DataFrame:
+    """The rows of docs that hold fewer than min_items benchmark items, with their own columns.
+
+    min_short_items: items of fewer words than a window may stand in any text; those do not
+    count then, but that many different ones in a row remove it as well.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(build(benchmark, window=window, **bounds))
     at = docs.columns.index(text)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         auto, names = _automaton(shared), shared.value.items
-        clean = [len(scan((x or "").encode("utf-8", "surrogatepass"), auto, names)[2]) < min_items for x in batch.column(at).to_pylist()]
+        clean = []
+        for x in batch.column(at).to_pylist():
+            sizes = scan((x or "").encode("utf-8", "surrogatepass"), auto, names)[2].values()
+            short = 0 if min_short_items is None else sum(n < window for n in sizes)
+            clean.append(len(sizes) - short < min_items and (min_short_items is None or short < min_short_items))
         return batch.filter(pa.array(clean, pa.bool_()))
 
     return map_arrow(docs, run, docs.schema)
