@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spans import around, drop_overlaps, find, joined
+from .spans import after, at, before, chunks, drop_overlaps, find, joined, leftmost, let, quoted
 
 BASE = ["email", "ip", "card", "phone"]
 ADDED = ["iban", "national", "local_phone"]
@@ -52,89 +52,74 @@ HURTS = r"\b(?:order|invoice|version|isbn|item|serial|part|model|page|ref|tracki
 RAISE, LOWER, THRESHOLD = 0.4, 0.3, 0.6
 
 
-def _digits(value: Column) -> Column:
-    return F.regexp_replace(value, "[^0-9]", "")
+# Without which a text holds no span of the kind.
+_CHEAP = {"email": "contains(__text, '@')", "phone": "contains(__text, '+')"} | {
+    kind: f"rlike(__text, {quoted(p)})"
+    for kind, p in {"ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "iban": "[A-Z]{2}[0-9]{2}", "national": "[0-9]-[0-9]{2}-[0-9]", "local_phone": "[0-9]{3}[.-][0-9]{4}"}.items()
+}
 
 
-def luhn(digits: Column) -> Column:
-    """True where the digits pass Luhn's checksum."""
-    back = F.reverse(digits)
+def _digits(value: str) -> str:
+    return f"regexp_replace({value}, '[^0-9]', '')"
 
-    def step(acc: Column, k: Column) -> Column:
-        d = F.substring(back, k, F.lit(1)).cast("int") * F.when(k % 2 == 0, 2).otherwise(1)
-        return acc + F.when(d > 9, d - 9).otherwise(d)
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(digits)), F.lit(0), step) % 10 == 0
+def luhn(digits: str) -> str:
+    """True where the digits pass Luhn's checksum."""
+    doubled = "int(substring(d, k, 1)) * if(k % 2 = 0, 2, 1)"
+    return let("d", f"reverse({digits})", f"aggregate(sequence(1, length(d)), 0, (acc, k) -> acc + {doubled} - if({doubled} > 9, 9, 0)) % 10 = 0")
 
 
-def mod97(value: Column) -> Column:
+def mod97(value: str) -> str:
     """True where an IBAN's characters, country and check digits last, leave 1 modulo 97."""
-    plain = F.regexp_replace(value, " ", "")
-    turned = F.concat(F.substring(plain, F.lit(5), F.length(plain)), F.substring(plain, F.lit(1), F.lit(4)))
-
-    def step(acc: Column, k: Column) -> Column:
-        c = F.substring(turned, k, F.lit(1))
-        number = F.ascii(c) - F.when(c.between("0", "9"), 48).otherwise(55)
-        return (acc * F.when(c.between("0", "9"), 10).otherwise(100) + number) % 97
+    c = "substring(t, k, 1)"
+    step = f"(acc * if({c} BETWEEN '0' AND '9', 10, 100) + ascii({c}) - if({c} BETWEEN '0' AND '9', 48, 55)) % 97"
+    plain = f"replace({value}, ' ', '')"
+    return let("t", f"concat(substring({plain}, 5), substring({plain}, 1, 4))", f"aggregate(sequence(1, length(t)), 0, (acc, k) -> {step}) = 1")
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(turned)), F.lit(0), step) == 1
 
-
-def _ibans(text: Column, starts: Column) -> Column:
+def _ibans(starts: str, pieces: str) -> str:
     """Spans of the IBANs that begin at the starts, leftmost first and without overlap.
 
     Of the word ends that pass mod-97 the one of the country's length counts, else the last.
     """
-    sizes = F.create_map(*(F.lit(x) for k, n in _IBAN_SIZES.items() for x in (k, int(n))))
-
-    def whole(x: Column) -> Column:
-        ahead = F.substring(text, x["start"] + 1, F.lit(65))
-        value = lambda e: F.substring(ahead, F.lit(1), e)
-        ends = F.sequence(F.lit(15), F.length(F.regexp_extract(ahead, _IBAN_RUN, 0)))
-        ends = F.filter(ends, lambda e: F.substring(ahead, e, F.lit(2)).rlike(r"\A[A-Z0-9](?![A-Za-z0-9])"))
-        size = F.try_element_at(sizes, F.substring(ahead, 1, 2))
-        ranked = F.transform(F.filter(ends, lambda e: mod97(value(e))), lambda e: F.struct(F.coalesce(F.length(F.regexp_replace(value(e), " ", "")) == size, F.lit(False)).alias("known"), e.alias("size")))
-        last = F.array_max(ranked)["size"]
-        return F.struct(x["kind"].alias("kind"), x["start"].alias("start"), (x["start"] + last).alias("end"), value(last).alias("value"))
-
-    none = F.expr("cast(array() as array<struct<kind:string,start:int,end:int,value:string>>)")
-    found = F.filter(F.transform(starts, whole), lambda x: x["end"].isNotNull())
-    return F.aggregate(found, none, lambda acc, x: F.when(F.try_element_at(acc, F.lit(-1))["end"] > x["start"], acc).otherwise(F.concat(acc, F.array(x))))
-
-
-def _confirmed(kind: str, text: Column) -> Column:
-    cheap = {"email": text.contains("@"), "phone": text.contains("+")}.get(kind)
-    if kind in ("ip", "card", "iban", "national", "local_phone"):
-        cheap = text.rlike({"ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "iban": r"[A-Z]{2}[0-9]{2}", "national": r"[0-9]-[0-9]{2}-[0-9]", "local_phone": r"[0-9]{3}[.-][0-9]{4}"}[kind])
-    spans = find(text, PATTERNS[kind], kind, cheap)
-    if kind == "ip":
-        return F.filter(spans, lambda x: x["value"].rlike(r"\A(?:0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?:\.|\z)){4}\z"))
-    if kind == "card":
-        return F.filter(spans, lambda x: F.when(F.length(x["value"]) < 13, False).otherwise(F.when(F.length(_digits(x["value"])).between(13, 19), luhn(_digits(x["value"]))).otherwise(False)))
-    if kind == "phone":
-        return F.filter(spans, lambda x: F.length(_digits(x["value"])).between(9, 15))
-    if kind == "iban":
-        return _ibans(text, spans)
-    if kind in PRIOR:
-        return F.filter(spans, lambda x: context_score(text, x, kind) >= THRESHOLD)
-    return spans
+    sizes = "map(" + ", ".join(f"'{k}', {n}" for k, n in _IBAN_SIZES.items()) + ")"
+    value = "substring(w, 1, e)"
+    ends = f"filter(sequence(15, length(regexp_extract(w, {quoted(_IBAN_RUN)}, 0))), e -> rlike(substring(w, e, 2), {quoted('^[A-Z0-9](?![A-Za-z0-9])')}))"
+    known = f"coalesce(length(replace({value}, ' ', '')) = try_element_at({sizes}, substring(w, 1, 2)), false)"
+    best = f"array_max(transform(filter({ends}, e -> {mod97(value)}), e -> named_struct('known', {known}, 'size', e))).size"
+    span = let("n", best, "named_struct('kind', s.kind, 'start', s.start, 'end', s.start + n, 'value', substring(w, 1, n))")
+    return leftmost(f"filter(transform({starts}, s -> {let('w', at(pieces, 's.start', '65'), span)}), v -> v.`end` IS NOT NULL)")
 
 
-def context_score(text: Column, span: Column, kind: str) -> Column:
+def _confirmed(kind: str, spans: str, pieces: str) -> Column:
+    if kind == "iban":
+        return F.expr(_ibans(spans, pieces))
+    digits = f"length({_digits('x.value')})"
+    tests = {
+        "email": "true",
+        "ip": f"rlike(x.value, {quoted(r'^(?:0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?:[.]|$)){4}$')})",
+        "card": f"length(x.value) >= 13 AND if({digits} BETWEEN 13 AND 19, {luhn(_digits('x.value'))}, false)",
+        "phone": f"{digits} BETWEEN 9 AND 15",
+    }
+    return F.expr(f"filter({spans}, x -> {tests[kind] if kind in tests else f'{context_score(kind, pieces)} >= {THRESHOLD}'})")
+
+
+def context_score(kind: str, pieces: str) -> str:
     """Prior of the kind, more with a telling word on either side, less with a contrary one before."""
-    helps = around(text, span, 40, 20).rlike(HELPS[kind])
-    hurts = around(text, span, 40, 0).rlike(HURTS)
-    return F.lit(PRIOR[kind]) + F.when(helps, RAISE).otherwise(0.0) - F.when(hurts, LOWER).otherwise(0.0)
+    sides = f"concat_ws(' ', {before(pieces, 'x', 40)}, {after(pieces, 'x', 20)})"
+    return f"{PRIOR[kind]}D + if(rlike({sides}, {quoted(HELPS[kind])}), {RAISE}D, 0D) - if(rlike({before(pieces, 'x', 40)}, {quoted(HURTS)}), {LOWER}D, 0D)"
 
 
 def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: counts, digest of the base spans, all spans and the text without them."""
-    body = F.col("__text")
     found = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
-    found = found.select("__id", "__text", *(_confirmed(k, body).alias(f"__{k}") for k in (*BASE, *ADDED)))
     # Each stands for two scans of the text, so it is computed once and referred to below.
-    found = found.select("*", F.concat(*(F.col(f"__{k}") for k in BASE)).alias("__base"))
-    found = found.select("*", F.concat("__base", *(drop_overlaps(F.col(f"__{k}"), F.col("__base")) for k in ADDED)).alias("__all"))
+    found = found.select("__id", "__text", *(find("__text", PATTERNS[k], k, _CHEAP[k]).alias(f"__{k}") for k in (*BASE, *ADDED)))
+    found = found.withColumn("__chunks", F.expr(f"if({' OR '.join(f'size(__{k}) > 0' for k in ADDED)}, {chunks('__text')}, null)"))
+    found = found.select("__id", *(_confirmed(k, f"__{k}", "__chunks").alias(f"__{k}") for k in (*BASE, *ADDED)))
+    base = [f"__{k}" for k in BASE]
+    found = found.select("*", F.concat(*base).alias("__base"))
+    found = found.select("*", F.concat("__base", *(drop_overlaps(f"__{k}", base) for k in ADDED)).alias("__all"))
     return found.select(
         F.col("__id").alias(id_col),
         *(F.size(f"__{k}").cast("long").alias(f"n_{k}") for k in BASE),

@@ -22,12 +22,13 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spans import drop_overlaps, find, joined
+from .spans import drop_overlaps, find, joined, quoted
 
 BASE = ["assign", "access", "hex"]
 ADDED = ["random"]
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _TOKEN = "A-Za-z0-9+/_=-"
+_ASSIGNED = r"""(?i)(?:password|passwd|secret|token|key)["']?\x20*+[:=]"""
 PATTERNS = {
     "assign": r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*+[:=]\x20*+["']?[A-Za-z0-9+/_.=-]++""",
     "access": r"AKIA[A-Z0-9]{12,}+",
@@ -99,19 +100,18 @@ def ratio(value: Column, table: list[float]) -> Column:
 def find_secrets(docs: DataFrame, table: list[float] | None = None, *, id_col: str = "doc_id", text: str = "text", threshold: float = 0.4) -> DataFrame:
     """One row per document: counts, digest of the base spans, all spans."""
     table = table or train(labelled_samples(docs, id_col=id_col, text=text))
-    body = F.col("__text")
     cheap = {
-        "assign": body.rlike(r"(?i)(?:password|passwd|secret|token|key)[\"']?\x20*+[:=]"),
-        "access": body.contains("AKIA"),
-        "hex": body.rlike("[0-9a-f]{32}"),
-        "random": body.rlike(f"[{_TOKEN}]{{20}}"),
+        "assign": f"rlike(__text, {quoted(_ASSIGNED)})",
+        "access": "contains(__text, 'AKIA')",
+        "hex": "rlike(__text, '[0-9a-f]{32}')",
+        "random": f"rlike(__text, {quoted(f'[{_TOKEN}]{{20}}')})",
     }
     found = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
-    raw = {k: find(body, PATTERNS[k], k, cheap[k]) for k in PATTERNS}
+    raw = {k: find("__text", PATTERNS[k], k, cheap[k]) for k in PATTERNS}
     raw["assign"] = F.filter(raw["assign"], lambda x: F.length(F.regexp_extract(x["value"], r"[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)\z", 1)) >= 8)
     found = found.select("__id", *(raw[k].alias(f"__{k}") for k in PATTERNS))
     found = found.select("*", F.concat(*(F.col(f"__{k}") for k in BASE)).alias("__base"))
-    random = F.filter(drop_overlaps(F.col("__random"), F.col("__base")), lambda x: ratio(x["value"], table) >= threshold)
+    random = F.filter(drop_overlaps("__random", [f"__{k}" for k in BASE]), lambda x: ratio(x["value"], table) >= threshold)
     found = found.select("*", F.concat("__base", random).alias("__all"))
     return found.select(
         F.col("__id").alias(id_col),

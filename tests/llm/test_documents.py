@@ -290,6 +290,72 @@ def test_markov_models_tell_random_from_identifiers(spark, small):
     assert {r.doc_id: r.spans for r in got} == {0: "random:4:32", 1: ""}
 
 
+def test_scans_of_a_text_with_very_many_spans(spark):
+    """Work grows with the number of spans, not with its square."""
+    n = 100_000
+    texts = [" ".join(f"a{k}@b.com" for k in range(n)), " ".join(["call 415-555-2671 or"] * n), " ".join(["10.0.0.1 GB82 WEST 1234 5698 7654 32"] * (n // 4))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in pii.find_pii(df).selectExpr("doc_id", "n_email", "size(found) AS n", "base_sha256", "element_at(found, -1) AS last").collect()}
+    assert [got[k].n for k in range(3)] == [n, n, n // 2] and got[0].n_email == n
+    assert got[0].base_sha256 == digest(brute_pii(texts[0]))
+    assert all(texts[k][got[k].last.start : got[k].last.end] == got[k].last.value for k in range(3))
+    hexes = [(0, " ".join(f"{k:040x} token=abcdefgh{k}" for k in range(n // 2)))]
+    found = secrets.find_secrets(spark.createDataFrame(hexes, "doc_id long, text string"), [0.0] * 69 * 69).first()
+    assert found.base_sha256 == digest(brute_secrets(hexes[0][1]))
+
+
+def test_added_spans_never_touch_base_spans(spark):
+    """Many base spans, so that they are searched by halves."""
+    parts, expected = [], 0
+    for k in range(60):
+        parts += [f"u{k}@h.org", "+1 415-555-2671 tel"] + (["tel 415-555-2671;"] if k % 3 == 0 else [])
+        expected += k % 3 == 0
+    df = spark.createDataFrame([(1, " and ".join(parts))], "doc_id long, text string")
+    r = pii.find_pii(df).first()
+    spans = sorted((s.start, s.end) for s in r.found)
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:])) and (r.n_email, r.n_phone) == (60, 60)
+    assert sum(s.kind == "local_phone" for s in r.found) == expected
+
+
+def test_added_spans_planted_in_documents(spark, small):
+    """Share of planted values that are found, and of documents without one that stay without a new span."""
+    rng = np.random.default_rng(11)
+
+    def iban(country, body):
+        rest = "".join(str(int(c, 36)) for c in body + country + "00")
+        plain = f"{country}{98 - int(rest) % 97:02}{body}"
+        return plain if rng.random() < 0.5 else " ".join(plain[k : k + 4] for k in range(0, len(plain), 4))
+
+    digits = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    makers = {
+        "iban": lambda: iban("DE", digits(18)) if rng.random() < 0.5 else iban("GB", "WEST" + digits(14)),
+        "national": lambda: f"SSN {digits(3)}-{digits(2)}-{digits(4)}",
+        "local_phone": lambda: f"please call ({digits(3)}) {digits(3)}-{digits(4)}",
+        "random": lambda: "".join(rng.choice(list(letters), 32)),
+    }
+    texts = [(r.doc_id, r.text or "") for r in small.orderBy("doc_id").collect()][:120]
+    planted = []
+    for n, (k, text) in enumerate(texts):
+        words, kind = text.split(" "), list(makers)[n % 4]
+        words.insert(int(rng.integers(0, len(words) + 1)), makers[kind]())
+        planted.append((k, " ".join(words), kind))
+    df = spark.createDataFrame(planted, "doc_id long, text string, kind string")
+    table = secrets.train(secrets.labelled_samples(small))
+    kinds = {r.doc_id: r.kind for r in df.collect()}
+    before, after = ({r.doc_id: [s.kind for s in r.found] for r in pii.find_pii(d).collect()} for d in (small, df))
+    secret_before, secret_after = ({r.doc_id: [s.kind for s in r.found] for r in secrets.find_secrets(d, table).collect()} for d in (small, df))
+    share = {}
+    for kind in makers:
+        old, new = (secret_before, secret_after) if kind == "random" else (before, after)
+        mine = [k for k, x in kinds.items() if x == kind]
+        share[kind] = sum(new[k].count(kind) > old[k].count(kind) for k in mine) / len(mine)
+        # An account number is a string of random characters as well.
+        assert all(new[k].count(kind) <= old[k].count(kind) for k, x in kinds.items() if x != kind and (kind, x) != ("random", "iban"))
+    print(share)
+    assert min(share.values()) >= 0.9, share
+
+
 def test_native_scans_over_odd_tables(odd_documents, empty_documents):
     for find in (pii.find_pii, secrets.find_secrets):
         assert find(odd_documents).count() == 14
