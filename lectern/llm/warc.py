@@ -34,6 +34,8 @@ import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
 from .common import drop_scratch, materialize, scratch_path, texts
 
@@ -159,8 +161,12 @@ def revisits(written: DataFrame, min_bytes: int = 100) -> DataFrame:
 
 
 def normalise(written: DataFrame, repeats: DataFrame, folder: str) -> DataFrame:
-    """Rewrite each archive record by record; returns archive, index and record count."""
+    """Rewrite each archive record by record, one task an archive; returns archive, index and record count."""
     paths = written.select("archive").distinct()
+    # Archives carry their partition's number, so each can have a task of its own; a key alone would leave
+    # the number of tasks to the bytes of these small rows.
+    number = F.regexp_extract("archive", r"part-(\d+)\.", 1).cast("int")
+    archives = (paths.agg(F.max(number)).first()[0] or 0) + 1
     lists = repeats.groupBy("archive").agg(F.collect_list(F.struct("page", "digest", "refers_to")).alias("repeats"))
     work = paths.join(lists, "archive", "left")
 
@@ -188,7 +194,7 @@ def normalise(written: DataFrame, repeats: DataFrame, folder: str) -> DataFrame:
                     index.write(lines.getvalue().encode())
                 yield pa.RecordBatch.from_arrays([pa.array([target]), pa.array([f"{target}.idx"]), pa.array([count], pa.int64())], ["archive", "index", "records"])
 
-    return work.repartition("archive").mapInArrow(run, "archive string, index string, records long")
+    return work.repartitionById(archives, number).mapInArrow(run, "archive string, index string, records long")
 
 
 def read_index(spark: SparkSession, folder: str) -> DataFrame:
@@ -218,7 +224,7 @@ def read_back(index: DataFrame, kind: str, id_col: str = "page_id") -> DataFrame
                     c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], type=id_type), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.string()), pa.array(out[4], type=id_type), pa.array(out[5], pa.string())], [id_col, "payload_bytes", "payload_digest", "record_type", "refers_to", "url"])
 
-    id_type = pa.string() if kind == "string" else pa.int32() if kind == "int" else pa.int64()
+    id_type = to_arrow_type(_parse_datatype_string(kind))
     return index.select("archive", "offset", "length").mapInArrow(run, f"`{id_col}` {kind}, payload_bytes long, payload_digest string, record_type string, refers_to {kind}, url string")
 
 

@@ -7,7 +7,7 @@ import zlib
 import duckdb
 
 from lectern.llm import html_extract, queries, warc
-from lectern.llm.common import shared_dir
+from lectern.llm.common import materialize, scratch_path, shared_dir
 
 
 def _pages(spark):
@@ -44,6 +44,25 @@ def test_records_of_reads_one_or_many_members():
         assert [(f["N"], len(b)) for f, b in got] == [(str(k), k * 1000) for k in range(40)]
 
 
+def test_a_task_for_each_archive(spark):
+    pages = spark.range(60).selectExpr("id AS page_id", "concat('http://h.org/', id) AS url", "repeat(concat('<p>', id % 7, '</p>'), 30) AS html").repartition(9)
+    written = materialize(warc.write_monolithic(pages, scratch_path(spark, "raw")), "written")
+    done = warc.normalise(written, warc.revisits(written), scratch_path(spark, "warc"))
+    from pyspark.sql import functions as F
+
+    tasks = done.withColumn("task", F.spark_partition_id()).collect()
+    assert len(tasks) == len({t.archive for t in tasks}) == len({t.task for t in tasks}) == written.select("archive").distinct().count() > 1
+    assert sum(t.records for t in tasks) == 60
+
+
+def test_narrow_and_text_ids(spark):
+    body = "z" * 120
+    for kind, ids in (("smallint", [3, 1, 2]), ("tinyint", [3, 1, 2]), ("int", [3, 1, 2]), ("string", ["c", "a", "b"])):
+        pages = spark.createDataFrame([(i, "u", body) for i in ids], f"page_id {kind}, url string, html string")
+        got = {r.page_id: (r.record_type, r.refers_to) for r in warc.round_trip(pages).collect()}
+        assert got == {ids[0]: ("revisit", ids[1]), ids[1]: ("response", None), ids[2]: ("revisit", ids[1])}
+
+
 def test_null_ids_repeats_and_empty(spark):
     body = "y" * 150
     pages = spark.createDataFrame([(None, "u", body, 1), (5, "u", body, 1), (5, "u", body, 1), (None, None, None, None)], "page_id long, url string, html string, digest long")
