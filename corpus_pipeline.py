@@ -30,8 +30,8 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without two or more benchmark items."""
-    return decontaminate.keep(docs, table(spark, sf_dir, "benchmark"))
+    """Documents that hold no window of a benchmark item, nor two items that are shorter than a window."""
+    return decontaminate.keep(docs, table(spark, sf_dir, "benchmark"), min_items=1, min_short_items=2)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
