@@ -18,7 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 CHUNK = 4096  # entries of a row that are summed together
+BLOCK = 2048  # vectors that are multiplied together
 
 
 def gram(factors: DataFrame, column: str = "factor") -> np.ndarray:
@@ -58,22 +61,27 @@ def _sums(base, f, confidence, preference):
     return base + (f * (confidence - 1)[:, None]).T @ f, f.T @ (confidence * preference)
 
 
+def chunked(entries: DataFrame) -> DataFrame:
+    """entries (row, col, signal) with the chunk of its row that each belongs to."""
+    lengths = entries.groupBy("row").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    return entries.join(lengths, "row").select("row", "col", "signal", F.pmod(F.xxhash64("col"), F.col("chunks")).cast("int").alias("chunk"))
+
+
 def half_step(entries: DataFrame, fixed: DataFrame, reg: float, broadcast_bytes: int = 64 << 20) -> DataFrame:
-    """Solve all rows of entries (row, col, signal) against fixed (id, factor) -> (id, factor)."""
+    """Solve all rows of entries (row, col, signal[, chunk]) against fixed (id, factor) -> (id, factor)."""
     spark = entries.sparkSession
     g = gram(fixed)
     k = len(g)
     base = g + reg * np.eye(k)
-    lengths = entries.groupBy("row").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    split = entries.join(lengths, "row").withColumn("chunk", F.pmod(F.xxhash64("col"), F.col("chunks")).cast("int"))
+    split = entries if "chunk" in entries.columns else chunked(entries)
     small = fixed.count() * k * 8 <= broadcast_bytes
     if small:
         table = fixed.select("id", "factor").toArrow()
         order = np.argsort(np.asarray(table["id"]))
         shared = spark.sparkContext.broadcast((np.asarray(table["id"])[order], np.array(table["factor"].to_pylist(), float).reshape(-1, k)[order]))
-        chunks = split.groupBy("row", "chunk", "chunks").agg(F.collect_list(F.struct("col", "signal")).alias("e"))
+        chunks = split.groupBy("row", "chunk").agg(F.collect_list(F.struct("col", "signal")).alias("e"))
     else:
-        chunks = split.join(fixed.select(F.col("id").alias("col"), "factor"), "col").groupBy("row", "chunk", "chunks").agg(F.collect_list(F.struct("factor", "signal")).alias("e"))
+        chunks = split.join(fixed.select(F.col("id").alias("col"), "factor"), "col").groupBy("row", "chunk").agg(F.collect_list(F.struct("factor", "signal")).alias("e"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,14 +131,17 @@ def initial(items: DataFrame, k: int, seed: int = 42) -> DataFrame:
 
 
 def train(matrix: DataFrame, k: int = 64, reg: float = 0.1, iterations: int = 15, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """(user factors, item factors) of a COO matrix (user_idx, item_idx, signal)."""
-    by_user = matrix.select(F.col("user_idx").alias("row"), F.col("item_idx").alias("col"), "signal")
-    by_item = matrix.select(F.col("item_idx").alias("row"), F.col("user_idx").alias("col"), "signal")
-    items = initial(matrix.select(F.col("item_idx").alias("id")).distinct(), k, seed).checkpoint()
+    """(user factors, item factors) of a COO matrix (user_idx, item_idx, signal).
+
+    The matrix is written once for each side, with its chunks; half steps read it and nothing before it.
+    """
+    by_user = written(chunked(matrix.select(F.col("user_idx").alias("row"), F.col("item_idx").alias("col"), "signal")), "by-user")
+    by_item = written(chunked(by_user.select(F.col("col").alias("row"), F.col("row").alias("col"), "signal")), "by-item")
+    items = written(initial(by_item.select(F.col("row").alias("id")).distinct(), k, seed), "items")
     users = None
     for _ in range(iterations):
-        users = half_step(by_user, items, reg).checkpoint()  # cut in the shared folder, so a lost executor costs one half step
-        items = half_step(by_item, users, reg).checkpoint()
+        users = written(half_step(by_user, items, reg), "users")  # in the shared folder, so a lost executor costs one half step
+        items = written(half_step(by_item, users, reg), "items")
     return users, items
 
 
@@ -148,29 +159,68 @@ def dot(a: str, b: str):
     return F.aggregate(F.zip_with(F.col(a), F.col(b), lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def _blocks(vectors: DataFrame, unit: bool) -> DataFrame:
+    """(ids, extra, m): blocks of up to BLOCK rows of (id, extra, factor), the factors as one matrix; unit: scaled to norm 1, 0 stays 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                m = np.array(part.column(2).to_pylist(), float)
+                if unit:
+                    norm = np.linalg.norm(m, axis=1, keepdims=True)
+                    m = np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+                out = [pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in (np.asarray(part.column(0)), np.asarray(part.column(1)), m)]
+                yield pa.RecordBatch.from_arrays(out, ["ids", "extra", "m"])
+
+    return vectors.mapInArrow(run, "ids binary, extra binary, m binary")
+
+
+def _best_of_blocks(queries: DataFrame, items: DataFrame, n: int, unit: bool = False) -> DataFrame:
+    """(query, book_id, score): of every block of items the best n + extra for each query, ties at the end included.
+
+    queries (query, extra, factor), items (book_id, factor).  A stated query set
+    meets a catalogue in blocks, each pair of blocks one matrix product.
+    """
+    q = written(_blocks(queries.select(F.col("query").cast("long"), F.col("extra").cast("long"), "factor"), unit), "queries")
+    i = written(_blocks(items.select(F.col("book_id").cast("long"), F.lit(0).cast("long"), "factor"), unit), "catalogue")
+    pairs = q.crossJoin(i.select(F.col("ids").alias("item_ids"), F.col("m").alias("item_m")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, extra, m, item_ids, item_m in zip(*(c.to_pylist() for c in batch.columns)):
+                ids, extra, item_ids = (np.frombuffer(x, np.int64) for x in (ids, extra, item_ids))
+                scores = np.frombuffer(m).reshape(len(ids), -1) @ np.frombuffer(item_m).reshape(len(item_ids), -1).T
+                keep = np.minimum(n + extra, len(item_ids))
+                least = np.sort(scores, axis=1)[np.arange(len(ids)), len(item_ids) - keep]
+                row, col = np.nonzero(scores >= least[:, None] - 2e-9)  # equal at 9 places
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(item_ids[col]), pa.array(scores[row, col])], ["query", "book_id", "score"])
+
+    found = pairs.mapInArrow(run, "query long, book_id long, score double")
+    return found.withColumn("score", F.round("score", 9) + 0.0)
+
+
 def top_items(users: DataFrame, items: DataFrame, stored: DataFrame, n: int = 50, allowed: DataFrame | None = None) -> DataFrame:
     """Best n items per user by dot product, without any stored item, whatever its sign.
 
     users (user_id, factor), items (book_id, factor), stored (user_id, book_id).
-    Items come in blocks against the users: a stated query set against a
-    catalogue; each task ranks its own and only n per user and block move on.
+    A block of items gives n more than the user has stored, so only those meet
+    the stored ones.
     """
     if allowed is not None:
         items = items.join(allowed.select("book_id"), "book_id", "left_semi")
-    score = F.round(dot("uf", "vf"), 9)
-    grid = users.select("user_id", F.col("factor").alias("uf")).crossJoin(items.select("book_id", F.col("factor").alias("vf"))).select("user_id", "book_id", score.alias("score"))
-    fresh = grid.join(stored.select("user_id", "book_id"), ["user_id", "book_id"], "left_anti")
+    mine = stored.select("user_id", "book_id").distinct()
+    held = users.join(mine.groupBy("user_id").agg(F.count("*").alias("extra")), "user_id", "left")
+    best = _best_of_blocks(held.select(F.col("user_id").alias("query"), F.coalesce("extra", F.lit(0)).alias("extra"), "factor"), items, n)
+    fresh = best.withColumnRenamed("query", "user_id").join(mine, ["user_id", "book_id"], "left_anti")
     order = Window.partitionBy("user_id").orderBy(F.col("score").desc(), "book_id")
     return fresh.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
 def similar_items(items: DataFrame, queries: DataFrame, n: int = 10) -> DataFrame:
     """Best n items by cosine for each query item; 0 where a norm is 0, itself excluded."""
-    norm = lambda c: F.sqrt(dot(c, c))
-    q = queries.select("book_id").join(items, "book_id").select(F.col("book_id").alias("source_id"), F.col("factor").alias("uf"))
-    grid = q.crossJoin(items.select("book_id", F.col("factor").alias("vf"))).where("source_id <> book_id")
-    both = norm("uf") * norm("vf")
-    scored = grid.select("source_id", "book_id", F.round(F.when(both == 0, 0.0).otherwise(dot("uf", "vf") / both), 9).alias("score"))
+    q = queries.select("book_id").join(items, "book_id").select(F.col("book_id").alias("query"), F.lit(1).alias("extra"), "factor")
+    scored = _best_of_blocks(q, items, n, unit=True).withColumnRenamed("query", "source_id").where("source_id <> book_id")
     order = Window.partitionBy("source_id").orderBy(F.col("score").desc(), "book_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 
 def book_population(df: DataFrame) -> DataFrame:
     """Observed, rated and read-unrated rows per book."""
@@ -59,12 +61,11 @@ def dense_index(df: DataFrame, column: str, name: str) -> DataFrame:
 
     Counts per range give each range its base, so no task ranks all values.
     """
-    values = df.select(column).distinct()
-    spans = values.repartitionByRange(column).withColumn("__part", F.spark_partition_id())
-    sizes = spans.groupBy("__part").agg(F.count("*").alias("__n"), F.min(column).alias("__lo"), F.max(column).alias("__hi"))
-    base = sizes.withColumn("__base", F.coalesce(F.sum("__n").over(Window.orderBy("__lo").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row per partition
-    placed = values.join(F.broadcast(base), values[column].between(F.col("__lo"), F.col("__hi")))
-    return placed.withColumn(name, F.col("__base") + F.row_number().over(Window.partitionBy("__lo").orderBy(column)) - 1).select(column, name)
+    spans = written(df.select(column).distinct().repartitionByRange(column).withColumn("__part", F.spark_partition_id()), "ranges")
+    sizes = spans.groupBy("__part").agg(F.count("*").alias("__n"))  # a row per range
+    base = sizes.withColumn("__base", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    ranked = spans.withColumn("__at", F.row_number().over(Window.partitionBy("__part").orderBy(column)) - 1)
+    return ranked.join(F.broadcast(base), "__part").select(column, (F.col("__base") + F.col("__at")).alias(name))
 
 
 def coo(signals: DataFrame) -> DataFrame:

@@ -28,8 +28,8 @@ sig AS (SELECT user_id, book_id, signal FROM (SELECT *, row_number() OVER (PARTI
 _POP = """ends AS (SELECT min(ln(1e0 + ratings_count)) AS lo, max(ln(1e0 + ratings_count)) AS hi FROM meta),
 metap AS (SELECT meta.*, CASE WHEN hi > lo THEN (ln(1e0 + ratings_count) - lo) / (hi - lo) ELSE 0e0 END AS popularity_norm FROM meta, ends)"""
 _ALS = f"""ne AS (SELECT count(*) AS n FROM embeddings),
-iv AS MATERIALIZED (SELECT p_partkey AS book_id, embedding[1:8]::DOUBLE[] AS f FROM (SELECT p_partkey, p_partkey % n AS v FROM part, ne) JOIN embeddings ON vec_id = v),
-uv AS MATERIALIZED (SELECT user_id, embedding[1:8]::DOUBLE[] AS f FROM (SELECT user_id, user_id % n AS v FROM held, ne) JOIN embeddings ON vec_id = v),
+iv AS MATERIALIZED (SELECT p_partkey AS book_id, embedding::DOUBLE[] AS f FROM (SELECT p_partkey, p_partkey % n AS v FROM part, ne) JOIN embeddings ON vec_id = v),
+uv AS MATERIALIZED (SELECT user_id, embedding::DOUBLE[] AS f FROM (SELECT user_id, user_id % n AS v FROM held, ne) JOIN embeddings ON vec_id = v),
 als AS MATERIALIZED (SELECT * FROM (SELECT user_id, book_id, score, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, book_id) AS als_rank FROM
   (SELECT user_id, book_id, round(list_inner_product(uv.f, iv.f), 9) AS score FROM uv CROSS JOIN iv) ANTI JOIN sig USING (user_id, book_id)) WHERE als_rank <= {_POOL})"""
 _PROF = """prof AS (SELECT user_id, book_id AS source_id, signal AS weight, rn AS source_rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY signal DESC, book_id) AS rn FROM sig
@@ -89,7 +89,7 @@ class Setup:
         self.signals = written(signals.dedup_signals(signals.centered_signals(mine, signals.user_means(train).join(self.hidden.select("user_id"), "user_id", "left_semi"), signals.global_mean(train))).select("user_id", "book_id", "signal"), "signals")
         self._als = None
         self.sources = hybrid.profile(self.signals, self.meta)
-        e = views.table(spark, sf, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double")).alias("factor"))
+        e = views.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("factor"))
         n = e.agg(F.count("*").alias("n"))
         self.items = views.table(spark, sf, "part").select(F.col("p_partkey").alias("book_id")).crossJoin(F.broadcast(n)).withColumn("vec_id", F.col("book_id") % F.col("n")).join(e, "vec_id").select("book_id", "factor")
         self.users = self.hidden.select("user_id").crossJoin(F.broadcast(n)).withColumn("vec_id", F.col("user_id") % F.col("n")).join(e, "vec_id").select("user_id", "factor")
@@ -384,7 +384,7 @@ class Serving:
         self.works = views.book_works(spark, sf)
         self.model_books = self.meta.where("book_id % 2 = 0").select("book_id")
         self.resolved = written(serve.resolve_editions(self.requests, self.model_books, self.works, self.meta), "requests")
-        e = views.table(spark, sf, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double")).alias("factor"))
+        e = views.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("factor"))
         n = e.agg(F.count("*").alias("n"))
         self.items = self.model_books.crossJoin(F.broadcast(n)).withColumn("vec_id", F.col("book_id") % F.col("n")).join(e, "vec_id").select("book_id", "factor")
 

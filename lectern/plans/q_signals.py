@@ -115,7 +115,7 @@ def _model(spark, sf, matrix=None, k=8, iterations=3):
 @query("al_13_row_solve")
 def al_13(spark, sf):
     """User factors against the embedding table as fixed items; |Ax - b| is tested."""
-    fixed = views.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double")).alias("factor"))
+    fixed = views.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("factor"))
     m = _matrix(spark, sf).join(fixed.select(F.col("id").alias("item_idx")), "item_idx", "left_semi")
     return als.half_step(m.select(F.col("user_idx").alias("row"), F.col("item_idx").alias("col"), "signal"), fixed, 1.0)
 
@@ -141,12 +141,12 @@ def al_16(spark, sf):
 
 def _vectors(spark, sf):
     """User and item factors from the embeddings table: ids divisible by 20 are the users asked for."""
-    e = views.table(spark, sf, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 16), lambda x: x.cast("double")).alias("factor"))
+    e = views.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("factor"))
     return e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("user_id"), "factor"), e.select(F.col("vec_id").alias("book_id"), "factor")
 
 
-_VEC = """vu AS (SELECT vec_id AS user_id, embedding[1:16]::DOUBLE[] AS f FROM embeddings WHERE vec_id % 20 = 0),
-vi AS (SELECT vec_id AS book_id, embedding[1:16]::DOUBLE[] AS f FROM embeddings),
+_VEC = """vu AS (SELECT vec_id AS user_id, embedding::DOUBLE[] AS f FROM embeddings WHERE vec_id % 20 = 0),
+vi AS (SELECT vec_id AS book_id, embedding::DOUBLE[] AS f FROM embeddings),
 vs AS (SELECT vu.user_id, vi.book_id, round(list_inner_product(vu.f, vi.f), 9) AS score FROM vu CROSS JOIN vi {allowed}),
 vt AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, book_id) AS rank FROM vs ANTI JOIN (SELECT vec_id - vec_id % 20 AS user_id, vec_id AS book_id FROM embeddings WHERE vec_id % 3 = 0) USING (user_id, book_id))"""
 
@@ -161,16 +161,16 @@ def al_17(spark, sf):
     return als.top_items(users, items, _stored(spark, sf), 10).select("user_id", "book_id", r6("score").alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query("al_18_similar_items", """WITH v AS (SELECT vec_id, embedding[1:16]::DOUBLE[] AS f FROM embeddings),
+@query("al_18_similar_items", """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS f FROM embeddings),
 s AS (SELECT q.vec_id AS source_id, v.vec_id AS book_id, round(list_inner_product(q.f, v.f) / (sqrt(list_inner_product(q.f, q.f)) * sqrt(list_inner_product(v.f, v.f))), 9) AS score FROM v q, v WHERE q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id)
 SELECT source_id, book_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY score DESC, book_id) AS rank FROM s) WHERE rank <= 10""")
 def al_18(spark, sf):
-    items = views.table(spark, sf, "embeddings").select(F.col("vec_id").alias("book_id"), F.slice("embedding", 1, 16).alias("factor"))
+    items = views.table(spark, sf, "embeddings").select(F.col("vec_id").alias("book_id"), F.col("embedding").cast("array<double>").alias("factor"))
     return als.similar_items(items, items.where("book_id % 20 = 0")).select("source_id", "book_id", r6("score").alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-def _embedded_items(spark, sf, k=8):
-    return views.table(spark, sf, "embeddings").select(F.col("vec_id").alias("book_id"), F.transform(F.slice("embedding", 1, k), lambda x: x.cast("double")).alias("factor"))
+def _embedded_items(spark, sf):
+    return views.table(spark, sf, "embeddings").select(F.col("vec_id").alias("book_id"), F.col("embedding").cast("array<double>").alias("factor"))
 
 
 @query("al_19_fold_in")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,9 +17,24 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+_local: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; a temporary one only where driver and executors are one machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if not _local:
+        _local.append("file://" + tempfile.mkdtemp(prefix="lectern-"))
+    return _local[0]
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir, removed when the driver ends."""
-    path = f"{spark.conf.get('spark.checkpoint.dir', '/tmp/checkpoints').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path below the shared folder, removed when the driver ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     atexit.register(_remove, spark, path)
     return path
 
