@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import split
@@ -106,6 +106,20 @@ def train(pairs: DataFrame, users: int, items: int, epochs: int = 5, batch: int
     return net, history
 
 
+def save(spark: SparkSession, path: str, net: Network) -> None:
+    """The network's arrays, one a row, in place of what the path held."""
+    rows = [(k, list(p.shape), p.astype("<f8").tobytes()) for k, p in enumerate(net.parameters)]
+    spark.createDataFrame(rows, "k int, shape array<int>, data binary").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> Network:
+    arrays = [np.frombuffer(bytes(r["data"]), "<f8").reshape(r["shape"]).copy() for r in spark.read.parquet(path).orderBy("k").collect()]
+    net = Network.__new__(Network)
+    layers = (len(arrays) - 2) // 2
+    net.user, net.item, net.w, net.b = arrays[0], arrays[1], arrays[2 : 2 + layers], arrays[2 + layers :]
+    return net
+
+
 def score(pairs: DataFrame, net: Network) -> DataFrame:
     """pairs (user_idx, item_idx, ...) plus score."""
     shared = pairs.sparkSession.sparkContext.broadcast(net)

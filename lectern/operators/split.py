@@ -29,9 +29,13 @@ def pick_one(df: DataFrame, seed: int = 42) -> DataFrame:
     return df.groupBy("user_id").agg(F.min_by("book_id", F.struct(seeded(seed, "user_id", "book_id"), F.col("book_id"))).alias("book_id"))
 
 
-def leave_one_liked_out(df: DataFrame, min_likes: int = 5, like: int = 5, max_users: int = 10_000, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """(train, held): held has one liked (user, book) per sampled user, train none of their rows."""
-    users = sample_users(eligible_users(df, min_likes, like), max_users, seed)
+def leave_one_liked_out(df: DataFrame, min_likes: int = 5, like: int = 5, max_users: int = 10_000, seed: int = 42, users: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(train, held): held has one liked (user, book) per user, train none of these rows.
+
+    users: the users to take, if eligible; else max_users are sampled.
+    """
+    some = eligible_users(df, min_likes, like)
+    users = sample_users(some, max_users, seed) if users is None else some.join(users.select("user_id").distinct(), "user_id", "left_semi")
     mine = df.where(F.col("rating") >= like).join(users.select("user_id"), "user_id", "left_semi")
     held = pick_one(mine, seed)
     return df.join(held, ["user_id", "book_id"], "left_anti"), held

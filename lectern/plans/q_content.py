@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import catalog, evaluate, item_cf, ncf, prep, signals, split, store, text
+from ..operators import als, catalog, evaluate, hybrid, item_cf, ncf, prep, signals, split, store, text
 from ..sources import files, views
-from ..sources.scratch import scratch
+from ..sources.scratch import scratch, written
 from ..sources.views import SQL_DENSE, SQL_WORKS
 from ..streaming import likes
 from .base import query, r6, with_
@@ -21,7 +21,7 @@ def _training_pairs(spark, sf):
     return ncf.training_pairs(positives, split.negatives(want, items, pairs, 0)), hidden
 
 
-@query("nc_05_training_pairs", with_(SQL_DENSE, _PAIRS, _LOO, _ACTIVE.format(n=30), _NEG, select="SELECT user_id, book_id, 0 AS label FROM neg UNION ALL SELECT user_id, book_id, 1 FROM pairs p SEMI JOIN active USING (user_id) ANTI JOIN loo USING (user_id, book_id)"))
+@query("nc_05_training_pairs", with_(SQL_DENSE, _PAIRS, _LOO, _ACTIVE.format(n=5000), _NEG, select="SELECT user_id, book_id, 0 AS label FROM neg UNION ALL SELECT user_id, book_id, 1 FROM pairs p SEMI JOIN active USING (user_id) ANTI JOIN loo USING (user_id, book_id)"))
 def nc_05(spark, sf):
     return _training_pairs(spark, sf)[0]
 
@@ -60,8 +60,37 @@ def nc_03(spark, sf):
 
 @query("nc_04_extended_embeddings")
 def nc_04(spark, sf):
-    net = ncf.Network(10, 5).extended(15)
-    return spark.createDataFrame([(k, bool(k >= 10), x.tolist()) for k, x in enumerate(net.user)], "user_idx int, is_new boolean, factor array<double>")
+    """A trained network, with rows for the users it has not seen."""
+    rows, users, items, _ = _indexed(spark, sf)
+    known = users.count()
+    net, _ = ncf.train(rows.select("user_idx", "item_idx", "label"), known, items.count(), epochs=1)
+    new = split.unseen_users(prep.liked(views.interactions_dense(spark, sf), 1).select("user_id", "book_id").distinct(), users, least=1).count()
+    wider = net.extended(known + new)
+    return spark.createDataFrame([(k, bool(k >= known), x.tolist()) for k, x in enumerate(wider.user)], "user_idx int, is_new boolean, factor array<double>")
+
+
+@query("snk_06_best_checkpoint")
+def snk_06(spark, sf):
+    """Weights are written whenever the evaluation improves, and read back: per epoch its MRR, if it was saved, if the file holds the best."""
+    rows, users, items, hidden = _indexed(spark, sf)
+    candidates = _eval_candidates(spark, sf)[0].join(users, "user_id").join(items, "book_id")
+    held = hidden.join(users.select("user_id"), "user_id", "left_semi")
+    path, best, saved = scratch(spark, "checkpoint"), 0.0, []
+
+    def evaluated(net):
+        nonlocal best
+        scored = ncf.score(candidates.select("user_id", "book_id", "user_idx", "item_idx"), net).select("user_id", "book_id", F.round("score", 9).alias("score"))
+        mrr = evaluate.mrr_full(evaluate.rank_among(scored, held)).first()[0] or 0.0
+        if mrr > best or not saved:
+            best = mrr
+            ncf.save(spark, path, net)
+            saved.append(mrr)
+        return mrr
+
+    net, history = ncf.train(rows.select("user_idx", "item_idx", "label"), users.count(), items.count(), epochs=2, evaluate=evaluated)
+    again = ncf.load(spark, path)
+    same = all((p == q).all() for p, q in zip(net.parameters, again.parameters))
+    return spark.createDataFrame([(h["epoch"], h["mrr"], h["mrr"] in saved, same) for h in history], "epoch int, mrr double, saved boolean, best_restored boolean")
 
 
 def _SCORE(cand: str) -> str:
@@ -75,22 +104,22 @@ def _scored(df):
     return df.select("user_id", "book_id", ((F.col("user_id") * 31 + F.col("book_id") * 17) % 97).cast("double").alias("score"))
 
 
-@query("ev_03_mrr_full", with_(SQL_DENSE, _PAIRS, _LOO, _ACTIVE.format(n=30), _CANDIDATES, _SCORE("cand"), _RANK, select="SELECT round(avg(1e0 / rank), 6) AS mrr_full FROM rk"))
+@query("ev_03_mrr_full", with_(SQL_DENSE, _PAIRS, _LOO, _ACTIVE.format(n=5000), _CANDIDATES, _SCORE("cand"), _RANK, select="SELECT round(avg(1e0 / rank), 6) AS mrr_full FROM rk"))
 def ev_03(spark, sf):
     candidates, hidden = _eval_candidates(spark, sf)
     return evaluate.mrr_full(evaluate.rank_among(_scored(candidates), hidden))
 
 
-@query("ev_07_sampled_candidates", with_(SQL_DENSE, _PAIRS, _LOO, _ACTIVE.format(n=30), _CANDIDATES, _SCORE("cand"), _RANK, select="SELECT user_id, rank FROM rk"))
+@query("ev_07_sampled_candidates", with_(SQL_DENSE, _PAIRS, _LOO, _ACTIVE.format(n=5000), _CANDIDATES, _SCORE("cand"), _RANK, select="SELECT user_id, rank FROM rk"))
 def ev_07(spark, sf):
     candidates, hidden = _eval_candidates(spark, sf)
     return evaluate.rank_among(_scored(candidates), hidden).select("user_id", "rank")
 
 
-@query("ev_08_full_catalog", with_(SQL_DENSE, _PAIRS, _LOO, _ACTIVE.format(n=30), """fc AS (SELECT a.user_id, i.book_id FROM active a CROSS JOIN (SELECT DISTINCT book_id FROM dense) i ANTI JOIN (SELECT * FROM pairs ANTI JOIN loo USING (user_id, book_id)) USING (user_id, book_id))""", _SCORE("fc"), _RANK, select="SELECT user_id, rank FROM rk"))
+@query("ev_08_full_catalog", with_(SQL_DENSE, _PAIRS, _LOO, _ACTIVE.format(n=5000), """fc AS (SELECT a.user_id, i.book_id FROM active a CROSS JOIN (SELECT DISTINCT book_id FROM dense) i ANTI JOIN (SELECT * FROM pairs ANTI JOIN loo USING (user_id, book_id)) USING (user_id, book_id))""", _SCORE("fc"), _RANK, select="SELECT user_id, rank FROM rk"))
 def ev_08(spark, sf):
     items, pairs, hidden, _ = _training(spark, sf)
-    users = split.most_active(views.interactions_dense(spark, sf), 30)
+    users = split.most_active(views.interactions_dense(spark, sf), 5000)
     mine = hidden.join(users, "user_id", "left_semi")
     return evaluate.rank_among(_scored(ncf.full_catalog(users, items, pairs, mine)), mine).select("user_id", "rank")
 
@@ -408,12 +437,13 @@ def tx_24(spark, sf):
     return store.fill_blank(c, c.select("id", F.lit("filled").alias("name")), "id", "name")
 
 
-@query("tx_25_insert_chain", "SELECT p_partkey AS bundle_id, p_name AS title, (SELECT count(*) FROM supplier) AS tracks FROM part WHERE p_partkey <= 10")
+@query("tx_25_insert_chain", "SELECT p_partkey AS bundle_id, p_name AS title, count(s_suppkey) AS tracks FROM part LEFT JOIN supplier ON s_suppkey = p_partkey GROUP BY 1, 2")
 def tx_25(spark, sf):
     """A parent row feeds the child insert: bundles first, then their tracks."""
-    bundles = store.insert_missing(views.table(spark, sf, "part").where("p_partkey <= 5").select(F.col("p_partkey").alias("bundle_id"), F.col("p_name").alias("title")), views.table(spark, sf, "part").where("p_partkey <= 10").select(F.col("p_partkey").alias("bundle_id"), F.col("p_name").alias("title")), "bundle_id")
-    tracks = bundles.crossJoin(views.table(spark, sf, "supplier").select("s_suppkey"))
-    return tracks.groupBy("bundle_id", "title").agg(F.count("*").alias("tracks"))
+    all_of = views.table(spark, sf, "part").select(F.col("p_partkey").alias("bundle_id"), F.col("p_name").alias("title"))
+    bundles = store.insert_missing(all_of.where("bundle_id % 2 = 1"), all_of, "bundle_id")
+    tracks = views.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("bundle_id"), F.lit(1).alias("track"))
+    return bundles.join(tracks, "bundle_id", "left").groupBy("bundle_id", "title").agg(F.count("track").alias("tracks"))
 
 
 @query("tx_26_get_or_create", "WITH d AS (SELECT DISTINCT p_type AS name FROM part WHERE p_partkey % 2 = 0 AND p_type < 'M'), o AS (SELECT row_number() OVER (ORDER BY name) AS id, name FROM d) SELECT id, name FROM o UNION ALL SELECT (SELECT coalesce(max(id), 0) FROM o) + row_number() OVER (ORDER BY name), name FROM (SELECT DISTINCT p_type AS name FROM part WHERE p_type NOT IN (SELECT name FROM d))")
@@ -514,10 +544,10 @@ def snk_07(spark, sf):
     return spark.read.schema("name string, step int").json(path)
 
 
-@query("snk_08_upsert", "SELECT p_partkey AS book_id, CASE WHEN p_partkey % 2 = 0 THEN 'new' ELSE p_name END AS title, CASE WHEN p_partkey <= 100 THEN p_size ELSE 0 END AS rating FROM part WHERE p_partkey <= 100 OR p_partkey % 2 = 0")
+@query("snk_08_upsert", "SELECT p_partkey AS book_id, CASE WHEN p_partkey % 2 = 0 THEN 'new' ELSE p_name END AS title, CASE WHEN p_partkey % 3 <> 0 THEN p_size ELSE 0 END AS rating FROM part WHERE p_partkey % 3 <> 0 OR p_partkey % 2 = 0")
 def snk_08(spark, sf):
     p = views.table(spark, sf, "part").select(F.col("p_partkey").alias("book_id"), F.col("p_name").alias("title"), F.col("p_size").alias("rating"))
-    return store.upsert(p.where("book_id <= 100"), p.where("book_id % 2 = 0").withColumn("title", F.lit("new")).withColumn("rating", F.lit(0)), "book_id", ["title"])
+    return store.upsert(p.where("book_id % 3 <> 0"), p.where("book_id % 2 = 0").withColumn("title", F.lit("new")).withColumn("rating", F.lit(0)), "book_id", ["title"])
 
 
 @query("snk_09_replace_children", with_(_CH, select="SELECT book_id, chapter_order, CASE WHEN book_id % 4 = 0 THEN 0.0::DOUBLE ELSE q END AS q FROM ch WHERE book_id % 4 <> 0 OR chapter_order <= 2"))
@@ -534,7 +564,7 @@ def snk_10(spark, sf):
 
 @query("xp_01_item_cf_grid")
 def xp_01(spark, sf):
-    """XP-01..05: a grid with finished configs skipped; the second pass runs nothing."""
+    """A grid with finished configs skipped; the second pass runs nothing."""
     from . import experiments
 
     out = scratch(spark, "grid")
@@ -544,6 +574,68 @@ def xp_01(spark, sf):
     return experiments.run_grid(spark, out, experiments.ITEM_CF_GRID, lambda c: (_ for _ in ()).throw(RuntimeError("already finished")))
 
 
+def _als_metrics(spark, sf):
+    """A function of a config: the leave-one-out metrics of ALS trained with it, users divisible by 20 asking."""
+    from . import q_signals as q
+
+    rows = written(signals.active_users(q._signals(spark, sf)).select("user_id", "book_id", "signal"), "signals")
+    some = rows.where("user_id % 20 = 0")
+    hidden = written(split.pick_one(some.where("signal > 0")), "hidden")
+    matrix = rows.select(F.col("user_id").alias("user_idx"), F.col("book_id").alias("item_idx"), "signal")
+
+    def run(c):
+        items = als.train(matrix, k=c["k"], reg=c["reg"], iterations=c["iterations"])[1].select(F.col("id").alias("book_id"), "factor")
+        return q._evaluated(some, hidden, items, True)
+
+    return run
+
+
+def _never(_):
+    raise RuntimeError("already finished")
+
+
+@query("xp_02_als_grid")
+def xp_02(spark, sf):
+    """Sweeps of iterations, factors and lambda around a base; the first pass stops at a failure, the second resumes after what is finished."""
+    from . import experiments
+
+    out, run, configs = scratch(spark, "als-grid"), _als_metrics(spark, sf), experiments.als_grid({"k": 4, "iterations": 1}, iterations=(1, 2), features=(8,), regs=(1.0,))
+    try:
+        experiments.run_grid(spark, out, configs, lambda c: run(c) if c["name"] != configs[2]["name"] else _never(c))
+    except RuntimeError:
+        pass
+    return experiments.run_grid(spark, out, configs, run)
+
+
+@query("xp_03_promoted")
+def xp_03(spark, sf):
+    """The config that is best by MRR, trained again with more factors, next to its own result."""
+    from . import experiments
+
+    out, run, configs = scratch(spark, "als-high"), _als_metrics(spark, sf), experiments.als_grid({"iterations": 1}, features=(4, 8))
+    name = experiments.best(experiments.run_grid(spark, out, configs, run))
+    first = next(c for c in configs if c["name"] == name)
+    return experiments.run_grid(spark, out, [first, first | {"k": 2 * first["k"], "name": f"{name}_promoted"}], run)
+
+
+@query("xp_04_lambda_ladder")
+def xp_04(spark, sf):
+    from . import experiments
+
+    return experiments.run_grid(spark, scratch(spark, "ladder"), experiments.als_grid({"k": 8, "iterations": 1}, regs=(0.01, 0.5, 0.8, 1.0)), _als_metrics(spark, sf))
+
+
+@query("xp_05_hybrid_grid")
+def xp_05(spark, sf):
+    """Hybrid configs one after another, finished ones skipped."""
+    from . import experiments
+    from . import q_hybrid as q
+
+    setup = q.Setup(spark, sf)
+    run = lambda c: q.grid_metrics(setup.rerank(c["name"]), setup.hidden, setup.als, hybrid.configs(spark, c["name"])).drop("config")
+    return experiments.run_grid(spark, scratch(spark, "hybrid-grid"), [{"name": n} for n in ("als_baseline", "balanced_metadata", hybrid.CHAMPION)], run)
+
+
 @query("st_01_windowed_likes", "SELECT CAST(date_trunc('day', ts) AS DATE) AS day, CAST(json_extract_string(props, '$.k') AS BIGINT) AS book_id, count(*) AS likes FROM events WHERE CAST(floor(value) AS INT) % 6 >= 4 GROUP BY 1, 2")
 def st_01(spark, sf):
     return likes.windowed_likes(views.interactions_events(spark, sf)).select(F.col("window_start").cast("date").alias("day"), "book_id", "likes")

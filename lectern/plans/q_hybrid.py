@@ -14,10 +14,10 @@ from ..sources.scratch import written
 from ..sources.views import SQL_META, SQL_SPARSE, SQL_WORKS
 from .base import query, r6, with_
 
-_POOL = 200
+_POOL = 500
 
 _USERS = """likes AS (SELECT user_id FROM sparse WHERE rating >= 5 GROUP BY 1 HAVING count(*) >= 5),
-sampled AS (SELECT user_id FROM likes ORDER BY md5('42:' || user_id), user_id LIMIT 40),
+sampled AS (SELECT user_id FROM likes WHERE user_id % 20 = 0),
 held AS (SELECT user_id, arg_min(book_id, (md5('42:' || user_id || ':' || book_id), book_id)) AS book_id FROM sparse WHERE rating >= 5 AND user_id IN (FROM sampled) GROUP BY 1),
 train AS (SELECT * FROM sparse ANTI JOIN held USING (user_id, book_id)),
 g AS (SELECT sum(rating)::DOUBLE / count(*) AS gm FROM train WHERE rating > 0),
@@ -76,13 +76,16 @@ _RANKS = "ranks AS (SELECT config, held.user_id, rank, a.als_rank, rank IS NOT N
 
 
 class Setup:
-    """The inputs of one evaluation: metadata, signals, profile, ALS candidates, hidden items."""
+    """The inputs of one evaluation: metadata, signals, profile, ALS candidates, hidden items.
+
+    Every eligible user whose id is divisible by 20 asks, against all books.
+    """
 
     def __init__(self, spark, sf):
         self.spark = spark
         df = views.interactions_sparse(spark, sf)
         self.meta = written(hybrid.with_popularity(views.book_meta(spark, sf)), "meta")
-        train, hidden = split.leave_one_liked_out(df, max_users=40)
+        train, hidden = split.leave_one_liked_out(df, users=df.where("user_id % 20 = 0"))
         self.hidden = written(hidden, "hidden")
         train = df.join(self.hidden, ["user_id", "book_id"], "left_anti")
         mine = train.join(self.hidden.select("user_id"), "user_id", "left_semi")
@@ -205,19 +208,19 @@ def hy_17_genre(spark, sf):
     return hybrid.genre_index(views.book_meta(spark, sf)).groupBy("genre").agg(F.count("*").alias("books"), F.min("book_id").alias("first_book"))
 
 
-@query("hy_17_popularity_order", with_(SQL_META, _POP, select="SELECT book_id, row_number() OVER (ORDER BY popularity_norm DESC, book_id DESC) - 1 AS pop_rank FROM metap ORDER BY popularity_norm DESC, book_id DESC LIMIT 50"))
+@query("hy_17_popularity_order", with_(SQL_META, _POP, select="SELECT book_id, row_number() OVER (ORDER BY popularity_norm DESC, book_id DESC) - 1 AS pop_rank FROM metap ORDER BY popularity_norm DESC, book_id DESC LIMIT 1000"))
 def hy_17_popular(spark, sf):
-    return hybrid.popularity_order(hybrid.with_popularity(views.book_meta(spark, sf)), 50).select("book_id", F.col("pop_rank").cast("long").alias("pop_rank"))
+    return hybrid.popularity_order(hybrid.with_popularity(views.book_meta(spark, sf))).select("book_id", F.col("pop_rank").cast("long").alias("pop_rank"))
 
 
 _ROUGH = """rough0 AS (SELECT user_id, i.book_id, 3 * weight AS s FROM prof JOIN metap s ON s.book_id = source_id JOIN metap i ON list_has_any(i.authors, s.authors)
   UNION ALL SELECT user_id, i.book_id, weight / greatest(len(s.genres), 1) * len(list_intersect(i.genres, s.genres)) FROM prof JOIN metap s ON s.book_id = source_id JOIN metap i ON list_has_any(i.genres, s.genres)
-  UNION ALL SELECT user_id, book_id, 0.01::DOUBLE * (50 - pop_rank) / 50 FROM (SELECT DISTINCT user_id FROM prof) CROSS JOIN (SELECT book_id, row_number() OVER (ORDER BY popularity_norm DESC, book_id DESC) - 1 AS pop_rank FROM metap QUALIFY pop_rank < 50)),
-rough AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY rough DESC, book_id) AS rough_rank FROM (SELECT user_id, book_id, round(sum(s), 9) AS rough FROM rough0 GROUP BY 1, 2) ANTI JOIN sig USING (user_id, book_id) QUALIFY rough_rank <= 100)"""
+  UNION ALL SELECT user_id, book_id, 0.01::DOUBLE * (1000 - pop_rank) / 1000 FROM (SELECT DISTINCT user_id FROM prof) CROSS JOIN (SELECT book_id, row_number() OVER (ORDER BY popularity_norm DESC, book_id DESC) - 1 AS pop_rank FROM metap QUALIFY pop_rank < 1000)),
+rough AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY rough DESC, book_id) AS rough_rank FROM (SELECT user_id, book_id, round(sum(s), 9) AS rough FROM rough0 GROUP BY 1, 2) ANTI JOIN sig USING (user_id, book_id) QUALIFY rough_rank <= 3000)"""
 
 
 def _rough(s):
-    return hybrid.rough_candidates(s.sources, s.meta, s.signals, 100, 50)
+    return hybrid.rough_candidates(s.sources, s.meta, s.signals)
 
 
 @query("hy_18_rough_candidates", with_(*_BASE, _ROUGH, select="SELECT user_id, book_id, rough, rough_rank FROM rough"))
@@ -265,31 +268,31 @@ def hy_20(spark, sf):
 
 
 _EXACT = """exact AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, book_id) AS rank FROM (SELECT user_id, i.book_id, round(sum(weight + 0.05::DOUBLE * i.popularity_norm), 9) AS score
-  FROM prof JOIN metap s ON s.book_id = source_id JOIN metap i ON list_has_any(i.authors, s.authors) ANTI JOIN sig ON sig.user_id = prof.user_id AND sig.book_id = i.book_id GROUP BY 1, 2) QUALIFY rank <= 20)"""
+  FROM prof JOIN metap s ON s.book_id = source_id JOIN metap i ON list_has_any(i.authors, s.authors) ANTI JOIN sig ON sig.user_id = prof.user_id AND sig.book_id = i.book_id GROUP BY 1, 2) QUALIFY rank <= 100)"""
 
 
 @query("hy_21_exact_author", with_(*_BASE, _EXACT, select="SELECT user_id, book_id, round(score, 6) AS score, rank FROM exact"))
 def hy_21(spark, sf):
     s = Setup(spark, sf)
-    return hybrid.exact_author_candidates(s.sources, s.meta, s.signals, 20).select("user_id", "book_id", r6("score").alias("score"), F.col("rank").cast("long").alias("rank"))
+    return hybrid.exact_author_candidates(s.sources, s.meta, s.signals).select("user_id", "book_id", r6("score").alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("hy_22_confident_genre", with_(*_BASE, f"""reach AS (SELECT DISTINCT user_id, i.book_id FROM prof JOIN metap s ON s.book_id = source_id JOIN metap i ON list_has_any(i.genres, s.genres) ANTI JOIN sig ON sig.user_id = prof.user_id AND sig.book_id = i.book_id),
 gs AS (SELECT p.user_id, p.book_id, sum(weight * {_SIMS["genre"]}) / sum(weight) AS genre, max(c.popularity_norm) AS pop FROM reach p JOIN prof USING (user_id) JOIN metap c ON c.book_id = p.book_id JOIN metap s ON s.book_id = source_id GROUP BY 1, 2)""",
-    select="SELECT user_id, book_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, book_id) AS rank FROM (SELECT user_id, book_id, round(genre + 0.02::DOUBLE * pop, 9) AS score FROM gs WHERE round(genre, 9) >= 0.12)) WHERE rank <= 20"))
+    select="SELECT user_id, book_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, book_id) AS rank FROM (SELECT user_id, book_id, round(genre + 0.02::DOUBLE * pop, 9) AS score FROM gs WHERE round(genre, 9) >= 0.12)) WHERE rank <= 100"))
 def hy_22(spark, sf):
     s = Setup(spark, sf)
-    return hybrid.confident_genre_candidates(s.sources, s.meta, s.signals, 20, 0.12).select("user_id", "book_id", r6("score").alias("score"), F.col("rank").cast("long").alias("rank"))
+    return hybrid.confident_genre_candidates(s.sources, s.meta, s.signals, least=0.12).select("user_id", "book_id", r6("score").alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("hy_23_source_neighbors", with_(*_BASE, f"""nreach AS (SELECT DISTINCT user_id, source_id, weight, i.book_id FROM prof JOIN metap s ON s.book_id = source_id JOIN metap i ON list_has_any(i.authors, s.authors) OR list_has_any(i.genres, s.genres)
-  ANTI JOIN sig ON sig.user_id = prof.user_id AND sig.book_id = i.book_id WHERE source_rank <= 3),
+  ANTI JOIN sig ON sig.user_id = prof.user_id AND sig.book_id = i.book_id WHERE source_rank <= 10),
 nsim AS (SELECT user_id, source_id, p.book_id, round(weight * ({" + ".join(f"{w} * ({_SIMS[k]})" for k, w in hybrid.CONFIGS["balanced_metadata"][1].items())}), 9) AS score FROM nreach p JOIN metap c ON c.book_id = p.book_id JOIN metap s ON s.book_id = source_id),
-nnear AS (SELECT *, row_number() OVER (PARTITION BY user_id, source_id ORDER BY score DESC, book_id) AS rn FROM nsim WHERE score > 0 QUALIFY rn <= 5)""",
+nnear AS (SELECT *, row_number() OVER (PARTITION BY user_id, source_id ORDER BY score DESC, book_id) AS rn FROM nsim WHERE score > 0 QUALIFY rn <= 50)""",
     select="SELECT user_id, book_id, round(score, 6) AS score, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, book_id) AS rank FROM (SELECT user_id, book_id, max(score) AS score FROM nnear GROUP BY 1, 2)"))
 def hy_23(spark, sf):
     s = Setup(spark, sf)
-    return hybrid.source_neighbor_candidates(s.sources, s.meta, s.signals, 3, 5).select("user_id", "book_id", r6("score").alias("score"), F.col("rank").cast("long").alias("rank"))
+    return hybrid.source_neighbor_candidates(s.sources, s.meta, s.signals).select("user_id", "book_id", r6("score").alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 _STRATEGY = f"""sscored AS (SELECT c.user_id, c.book_id, config, {_CONTENT} AS content FROM scomp c CROSS JOIN cfg),
@@ -301,7 +304,7 @@ spool AS (SELECT user_id, config, policy, alpha, book_id, als, als_rank, content
 @query("hy_24_strategy_recommendation", with_(*_BASE, _EXACT, _comp("als"), _comp("exact", "scomp"), _grid("author_50_baseline"), _SCORED, _STRATEGY, _blend("spool"), select="SELECT user_id, book_id, final, rank FROM ranked WHERE rank <= 20"))
 def hy_24(spark, sf):
     s = Setup(spark, sf)
-    extra = hybrid.exact_author_candidates(s.sources, s.meta, s.signals, 20)
+    extra = hybrid.exact_author_candidates(s.sources, s.meta, s.signals)
     out = hybrid.blend(_union(s, ("author_50_baseline",), extra), hybrid.sizes(s.sources)).where("rank <= 20")
     return out.select("user_id", "book_id", "final", F.col("rank").cast("long").alias("rank"))
 
@@ -433,7 +436,7 @@ def sv_07(spark, sf):
 @query("sv_08_similar_to_book")
 def sv_08(spark, sf):
     s = Serving(spark, sf)
-    seeds = spark.range(1, 8).select(F.col("id").alias("user_id"), (F.col("id") * 7).alias("book_id"))
+    seeds = views.table(spark, sf, "part").where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("user_id"), F.col("p_partkey").alias("book_id"))
     return serve.similar_to(seeds, s.model_books, s.items, s.works, s.meta, 10)
 
 

@@ -96,8 +96,8 @@ def in_10(spark, sf):
 _HELD = """likes AS (SELECT user_id FROM {v} WHERE rating >= 5 GROUP BY 1 HAVING count(*) >= {m}),
 sampled AS (SELECT user_id FROM likes ORDER BY md5('42:' || user_id), user_id LIMIT {n}),
 held AS (SELECT user_id, arg_min(book_id, (md5('42:' || user_id || ':' || book_id), book_id)) AS book_id FROM {v} WHERE rating >= 5 AND user_id IN (FROM sampled) GROUP BY 1)"""
-_HELD_SPARSE = _HELD.format(v="sparse", m=5, n=500)
-_HELD_DENSE = _HELD.format(v="dense", m=5, n=500)
+_HELD_SPARSE = _HELD.format(v="sparse", m=5, n=10000)
+_HELD_DENSE = _HELD.format(v="dense", m=5, n=10000)
 _HELD_ROWS = """hrows AS (SELECT user_id, book_id, rating, is_read, is_reviewed FROM (SELECT d.*, row_number() OVER (PARTITION BY user_id, book_id ORDER BY rating DESC, is_read DESC, is_reviewed DESC) AS rn
   FROM {v} d SEMI JOIN held USING (user_id, book_id)) WHERE rn = 1)"""
 _CVAL = """cval AS (SELECT user_id, book_id, rating, is_read, is_reviewed FROM (SELECT *, row_number() OVER (PARTITION BY user_id, book_id ORDER BY rating DESC, is_read DESC, is_reviewed DESC) AS rn FROM
@@ -108,7 +108,7 @@ _CANON_SPLIT = (SQL_SPARSE, SQL_WORKS, _CANON, _HELD_SPARSE, _HELD_ROWS.format(v
 
 def _sparse_split(spark, sf):
     df = views.interactions_sparse(spark, sf)
-    train, held = split.leave_one_liked_out(df, max_users=500)
+    train, held = split.leave_one_liked_out(df)
     return train, split.held_rows(df, held), _canon(spark, sf)
 
 
@@ -156,7 +156,7 @@ def sp_01(spark, sf):
 
 @query("sp_02_sample_users", with_(SQL_DENSE, _HELD_DENSE, select="SELECT * FROM sampled"))
 def sp_02(spark, sf):
-    return split.sample_users(split.eligible_users(views.interactions_dense(spark, sf)), 500).select("user_id")
+    return split.sample_users(split.eligible_users(views.interactions_dense(spark, sf))).select("user_id")
 
 
 @query("sp_03_pick_one", with_(SQL_DENSE, select="SELECT user_id, arg_min(book_id, (md5('42:' || user_id || ':' || book_id), book_id)) AS book_id FROM dense WHERE rating >= 5 GROUP BY 1"))
@@ -166,25 +166,25 @@ def sp_03(spark, sf):
 
 @query("sp_04_train", with_(SQL_DENSE, _HELD_DENSE, select="SELECT * FROM dense ANTI JOIN held USING (user_id, book_id)"))
 def sp_04(spark, sf):
-    return split.leave_one_liked_out(views.interactions_dense(spark, sf), max_users=500)[0].select("user_id", "book_id", "rating", "is_read", "is_reviewed")
+    return split.leave_one_liked_out(views.interactions_dense(spark, sf))[0].select("user_id", "book_id", "rating", "is_read", "is_reviewed")
 
 
 @query("sp_04_validation", with_(SQL_DENSE, _HELD_DENSE, _HELD_ROWS.format(v="dense"), select="SELECT * FROM hrows"))
 def sp_04_validation(spark, sf):
     df = views.interactions_dense(spark, sf)
-    return split.held_rows(df, split.leave_one_liked_out(df, max_users=500)[1]).select("user_id", "book_id", "rating", "is_read", "is_reviewed")
+    return split.held_rows(df, split.leave_one_liked_out(df)[1]).select("user_id", "book_id", "rating", "is_read", "is_reviewed")
 
 
-@query("sp_05_first_eligible", with_(SQL_DENSE, select="SELECT user_id, count(DISTINCT book_id) AS books FROM dense WHERE rating >= 4 GROUP BY 1 HAVING count(DISTINCT book_id) >= 5 ORDER BY user_id LIMIT 50"))
+@query("sp_05_first_eligible", with_(SQL_DENSE, select="SELECT user_id, count(DISTINCT book_id) AS books FROM dense WHERE rating >= 4 GROUP BY 1 HAVING count(DISTINCT book_id) >= 5 ORDER BY user_id LIMIT 500"))
 def sp_05(spark, sf):
-    return split.first_eligible(views.interactions_dense(spark, sf), None, max_users=50)
+    return split.first_eligible(views.interactions_dense(spark, sf), None)
 
 
 @query("sp_06_hidden_item", with_(SQL_DENSE, select="""SELECT user_id, arg_min(book_id, (md5('7:' || user_id || ':' || book_id), book_id)) AS book_id FROM dense
-  WHERE rating >= 4 AND user_id IN (SELECT user_id FROM dense WHERE rating >= 4 GROUP BY 1 HAVING count(DISTINCT book_id) >= 5 ORDER BY 1 LIMIT 50) GROUP BY 1"""))
+  WHERE rating >= 4 AND user_id IN (SELECT user_id FROM dense WHERE rating >= 4 GROUP BY 1 HAVING count(DISTINCT book_id) >= 5 ORDER BY 1 LIMIT 500) GROUP BY 1"""))
 def sp_06(spark, sf):
     df = views.interactions_dense(spark, sf)
-    users = split.first_eligible(df, None, max_users=50)
+    users = split.first_eligible(df, None)
     return split.pick_one(prep.liked(df, 4).join(users, "user_id", "left_semi"), seed=7)
 
 
@@ -216,7 +216,7 @@ neg AS (SELECT user_id, book_id FROM (SELECT user_id, book_id, want, row_number(
   FROM (SELECT w.*, i.book_id FROM want w CROSS JOIN (SELECT DISTINCT book_id FROM dense) i) g ANTI JOIN pairs USING (user_id, book_id)) WHERE rn <= want)"""
 
 
-def _training(spark, sf, users=30):
+def _training(spark, sf, users=5000):
     """Pairs, hidden items and training positives of the most active users."""
     df = views.interactions_dense(spark, sf)
     pairs = _pairs(spark, sf)
@@ -226,7 +226,7 @@ def _training(spark, sf, users=30):
     return df.select("book_id").distinct(), pairs, hidden, positives
 
 
-@query("sp_09_train_negatives", with_(SQL_DENSE, _PAIRS, _LOO, _ACTIVE.format(n=30), _NEG, select="SELECT * FROM neg"))
+@query("sp_09_train_negatives", with_(SQL_DENSE, _PAIRS, _LOO, _ACTIVE.format(n=5000), _NEG, select="SELECT * FROM neg"))
 def sp_09(spark, sf):
     items, pairs, _, positives = _training(spark, sf)
     want = positives.groupBy("user_id").agg((4 * F.count("*")).alias("want"))
@@ -234,26 +234,26 @@ def sp_09(spark, sf):
 
 
 _CANDIDATES = """cand AS (SELECT user_id, book_id, rn FROM (SELECT user_id, book_id, row_number() OVER (PARTITION BY user_id ORDER BY md5('11:' || user_id || ':' || book_id), book_id) AS rn
-  FROM (SELECT l.user_id, i.book_id FROM loo l SEMI JOIN active USING (user_id) CROSS JOIN (SELECT DISTINCT book_id FROM dense) i) g ANTI JOIN pairs USING (user_id, book_id)) WHERE rn <= 49
+  FROM (SELECT l.user_id, i.book_id FROM loo l SEMI JOIN active USING (user_id) CROSS JOIN (SELECT DISTINCT book_id FROM dense) i) g ANTI JOIN pairs USING (user_id, book_id)) WHERE rn <= 499
   UNION ALL SELECT user_id, book_id, 0 FROM loo SEMI JOIN active USING (user_id))"""
 
 
-def _eval_candidates(spark, sf, users=30, n=49):
+def _eval_candidates(spark, sf, users=5000, n=499):
     items, pairs, hidden, _ = _training(spark, sf, users)
     chosen = hidden.join(split.most_active(views.interactions_dense(spark, sf), users), "user_id", "left_semi")
     drawn = split.negatives(chosen.select("user_id"), items, pairs, n, seed=11)
     return drawn.unionByName(chosen.withColumn("rn", F.lit(0))), chosen
 
 
-@query("sp_10_eval_candidates", with_(SQL_DENSE, _PAIRS, _LOO, _ACTIVE.format(n=30), _CANDIDATES, select="SELECT user_id, book_id FROM cand"))
+@query("sp_10_eval_candidates", with_(SQL_DENSE, _PAIRS, _LOO, _ACTIVE.format(n=5000), _CANDIDATES, select="SELECT user_id, book_id FROM cand"))
 def sp_10(spark, sf):
     return _eval_candidates(spark, sf)[0].select("user_id", "book_id")
 
 
 @query("sp_11_unseen_users", with_(SQL_DENSE, _PAIRS, _ACTIVE.format(n=100), select="""SELECT user_id, count(*) AS n_items, row_number() OVER (ORDER BY user_id) - 1 AS user_idx FROM pairs ANTI JOIN active USING (user_id)
-  GROUP BY 1 HAVING count(*) >= 5 ORDER BY user_id LIMIT 50"""))
+  GROUP BY 1 HAVING count(*) >= 5 ORDER BY user_id LIMIT 1000"""))
 def sp_11(spark, sf):
-    out = split.unseen_users(_pairs(spark, sf), split.most_active(views.interactions_dense(spark, sf), 100), n=50)
+    out = split.unseen_users(_pairs(spark, sf), split.most_active(views.interactions_dense(spark, sf), 100))
     return out.select("user_id", "n_items", F.col("user_idx").cast("long").alias("user_idx"))
 
 
@@ -367,7 +367,7 @@ def cf_13(spark, sf):
     return item_cf.universe(item_cf.neighbors(_dense(spark, sf)))
 
 
-_CFEVAL = """eusers AS (SELECT user_id FROM dense WHERE rating >= 4 AND book_id IN (SELECT book_id FROM nb UNION SELECT similar_id FROM nb) GROUP BY 1 HAVING count(DISTINCT book_id) >= 5 ORDER BY 1 LIMIT 300),
+_CFEVAL = """eusers AS (SELECT user_id FROM dense WHERE rating >= 4 AND book_id IN (SELECT book_id FROM nb UNION SELECT similar_id FROM nb) GROUP BY 1 HAVING count(DISTINCT book_id) >= 5 ORDER BY 1 LIMIT 500),
 hid AS (SELECT user_id, arg_min(book_id, (md5('42:' || user_id || ':' || book_id), book_id)) AS book_id FROM dense
   WHERE rating >= 4 AND user_id IN (FROM eusers) AND book_id IN (SELECT book_id FROM nb UNION SELECT similar_id FROM nb) GROUP BY 1),
 rest AS (SELECT DISTINCT user_id, book_id FROM dense d SEMI JOIN eusers USING (user_id) WHERE rating >= 4 AND (user_id, book_id) NOT IN (SELECT (user_id, book_id) FROM hid)),
@@ -377,11 +377,11 @@ ranks AS (SELECT hid.user_id, hid.book_id, CASE WHEN rank <= 50 THEN rank END AS
 
 
 def _cf_eval(spark, sf):
-    """Leave one liked book out for 300 users; the graph was built with it, as the plan's name says."""
+    """Leave one liked book out for 500 users; the graph was built with it, as the plan's name says."""
     df = _dense(spark, sf)
     edges = written(item_cf.neighbors(df), "edges")
     books = item_cf.universe(edges)
-    users = split.first_eligible(df, books, max_users=300)
+    users = split.first_eligible(df, books)
     mine = prep.liked(df, 4).join(users, "user_id", "left_semi").select("user_id", "book_id").distinct()
     hidden = written(split.pick_one(mine.join(books, "book_id", "left_semi")), "hidden")
     rest = mine.join(hidden, ["user_id", "book_id"], "left_anti")

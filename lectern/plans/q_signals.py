@@ -187,9 +187,9 @@ def al_20(spark, sf):
     return out.select("user_id", "book_id", r6("score").alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query("al_21_eligible_rows", with_(*_ALL, select="SELECT user_idx, count(*) AS positives FROM coo WHERE signal > 0 GROUP BY 1 HAVING count(*) >= 5 ORDER BY user_idx LIMIT 100"))
+@query("al_21_eligible_rows", with_(*_ALL, select="SELECT user_idx, count(*) AS positives FROM coo WHERE signal > 0 GROUP BY 1 HAVING count(*) >= 5"))
 def al_21(spark, sf):
-    return signals.eligible_rows(_matrix(spark, sf), max_users=100)
+    return signals.eligible_rows(_matrix(spark, sf))
 
 
 # ---- evaluations ----------------------------------------------------------------------------
@@ -220,7 +220,7 @@ def ev_04(spark, sf):
 def ev_05(spark, sf):
     df = views.interactions_dense(spark, sf)
     rows = _signals(spark, sf).select("user_id", "book_id", "signal")
-    users = split.first_eligible(df, None, like=5, max_users=50)
+    users = split.first_eligible(df, None, like=5)
     hidden = split.pick_one(prep.liked(df, 5).join(users, "user_id", "left_semi"))
     return _evaluated(rows.join(users, "user_id", "left_semi"), hidden, _trained_items(spark, sf, rows), True)
 
@@ -229,7 +229,7 @@ def ev_05(spark, sf):
 def ev_06(spark, sf):
     """The hold-out is made before training, so nothing leaks; unknown users and books are counted."""
     df = views.interactions_dense(spark, sf)
-    train, held = split.leave_one_liked_out(df, max_users=50)
+    train, held = split.leave_one_liked_out(df)
     rows = signals.dedup_signals(signals.centered_signals(train, signals.user_means(train), signals.global_mean(train))).select("user_id", "book_id", "signal")
     items = _trained_items(spark, sf, rows)
     users, books = rows.select("user_id").distinct(), items.select("book_id")
