@@ -18,10 +18,12 @@ _scratch: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share, as a full URI.
 
-    A cluster names it in spark.checkpoint.dir; where that is unset (tests on
-    one machine) a local temporary folder is made and set.
+    A cluster names it in spark.checkpoint.dir; where that is unset and driver
+    and executors are one machine, a temporary folder is made and set.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not base:
         base = _scratch.get("base") or "file://" + tempfile.mkdtemp(prefix="lectern-")
         _scratch["base"] = base

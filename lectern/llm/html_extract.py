@@ -14,7 +14,8 @@ four different pages on either side.
 A page without such a neighbour is judged by markup alone.
 
 Defined results: null html has the empty text; a null url sorts as an empty
-one; repeated rows are copies of each other; other columns are ignored; an
+one; repeated rows are copies of each other; other columns are ignored, their
+names may clash with any used here; a page of any length is read whole; an
 empty table gives an empty result.
 """
 
@@ -27,6 +28,7 @@ from collections import Counter, deque
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,7 +41,7 @@ _BLOCK = frozenset(
     tbody td tfoot th thead title tr ul""".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template svg iframe object canvas math title textarea select".split())
+_RAW = frozenset("script style noscript template iframe title textarea select".split())
 _FURNITURE = frozenset("nav footer aside form menu button dialog header".split())
 _NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|copyright|disclaimer|disqus|footer|header|login|masthead|"
@@ -52,6 +54,8 @@ _ROLES = frozenset("navigation banner contentinfo complementary search form aler
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
 _SPACE = re.compile(r"\s+")
+_SLASH_OF_VALUE = re.compile(r"=\s*[^\s\"'>]+\Z")  # an unquoted value that ends in the tag's last slash
+_PAIRS = 1 << 22  # equal lines of two pages that are looked at one by one
 _LOOK = 4  # different pages to look at on either side
 
 
@@ -110,9 +114,8 @@ def lines_of(page: str) -> list[Line]:
             continue
         if tag in _RAW:
             flush()
-            if not m[3].endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)  # a slash does not close these
+            at = end.end() if end else len(page)
             continue
         if tag == "br":
             parts.append("\n")
@@ -124,7 +127,7 @@ def lines_of(page: str) -> list[Line]:
                 if all(x[0] not in _BLOCK for x in stack[keep + 1 :]):  # an open paragraph ends where a block begins
                     del stack[keep:]
                     _, furniture, article = stack[-1] if stack else ("", False, False)
-        if tag in _VOID or m[3].endswith("/"):
+        if tag in _VOID or m[3].endswith("/") and not _SLASH_OF_VALUE.search(m[3]):
             continue
         begins = _is_furniture(tag, m[3], article)
         if begins and not furniture:
@@ -138,8 +141,31 @@ def lines_of(page: str) -> list[Line]:
     return out
 
 
+def _prefix_lengths(a: list[str], b: list[str]) -> np.ndarray:
+    """Lengths of the longest common subsequences of a with the first 0, 1, ... lines of b, a machine word of them at a time."""
+    where: dict[str, int] = {}
+    for k, x in enumerate(b):
+        where[x] = where.get(x, 0) | 1 << k
+    full = (1 << len(b)) - 1
+    v = full
+    for x in a:
+        if met := where.get(x, 0) & v:
+            v = (v + met | v - met) & full
+    bits = np.unpackbits(np.frombuffer(v.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate([[0], np.cumsum(bits == 0)])
+
+
 def shared_lines(a: list[str], b: list[str]) -> set[int]:
-    """Positions in a of a longest common subsequence with b (Hunt and Szymanski)."""
+    """Positions in a of a longest common subsequence with b.
+
+    By pairs of equal lines (Hunt and Szymanski); where lines repeat so often that
+    those are very many, a is halved, b cut where both halves share most (Hirschberg).
+    """
+    in_b = Counter(b)
+    if len(a) > 1 and sum(in_b[x] for x in a) > _PAIRS:
+        half = len(a) // 2
+        cut = int(np.argmax(_prefix_lengths(a[:half], b) + _prefix_lengths(a[half:][::-1], b[::-1])[::-1]))
+        return shared_lines(a[:half], b[:cut]) | {half + k for k in shared_lines(a[half:], b[cut:])}
     lo = 0
     while lo < min(len(a), len(b)) and a[lo] == b[lo]:
         lo += 1

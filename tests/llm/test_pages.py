@@ -5,6 +5,7 @@ import io
 import zlib
 
 import duckdb
+from pyspark.sql import functions as F
 
 from lectern.llm import html_extract, queries, warc
 from lectern.llm.common import materialize, scratch_path, shared_dir
@@ -48,8 +49,6 @@ def test_a_task_for_each_archive(spark):
     pages = spark.range(60).selectExpr("id AS page_id", "concat('http://h.org/', id) AS url", "repeat(concat('<p>', id % 7, '</p>'), 30) AS html").repartition(9)
     written = materialize(warc.write_monolithic(pages, scratch_path(spark, "raw")), "written")
     done = warc.normalise(written, warc.revisits(written), scratch_path(spark, "warc"))
-    from pyspark.sql import functions as F
-
     tasks = done.withColumn("task", F.spark_partition_id()).collect()
     assert len(tasks) == len({t.archive for t in tasks}) == len({t.task for t in tasks}) == written.select("archive").distinct().count() > 1
     assert sum(t.records for t in tasks) == 60
@@ -94,7 +93,7 @@ def test_an_articles_own_header_stays(spark):
 def test_neighbours_shared_lines_go(spark):
     """Pages without a telling markup: lines shared with the nearest URL are furniture."""
     plain = lambda k: f"<body><div>Our great site</div><div>Menu one two three</div><p>Body {k} says {'something new ' * (k + 3)}</p><p>More of {k}</p><div>All rights reserved</div></body>"
-    df = spark.createDataFrame([(k, f"http://h.org/x/{k}", plain(k)) for k in range(6)], "page_id long, url string, html string").coalesce(1)
+    df = spark.createDataFrame([(k, f"http://h.org/x/{k}", plain(k)) for k in range(6)], "page_id long, url string, html string")
     for r in html_extract.extract(df).collect():
         assert r.text == f"Body {r.page_id} says {('something new ' * (r.page_id + 3)).strip()} More of {r.page_id}"
 
@@ -127,6 +126,71 @@ def test_short_texts_lose_long_furniture_in_any_ranges(spark):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def test_markup_that_misleads(spark):
+    """A slash at the end of an unquoted value closes nothing, and drawings and formulas belong to the article."""
+    pages = [
+        ("<body><p>Text</p><script src=/a/b/>var code = 1;</script><p>More</p></body>", "Text More"),
+        ("<body><script/>code</script><style />p{}</style><p>Text</p></body>", "Text"),
+        ("<body><article><p>Area <math><mi>x</mi><mo>=</mo><mn>2</mn></math> of <svg><text>a circle</text></svg></p><p><canvas>Chart of it</canvas></p><p><object data=/x/>A film</object></p></article></body>", "Area x=2 of a circle Chart of it A film"),
+        ("<body><nav data-to=/a/>Menu</nav><p>Text<br/>on<hr/></p></body>", "Text on"),
+    ]
+    df = spark.createDataFrame([(k, f"http://h{k}.org/", p) for k, (p, _) in enumerate(pages)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_extract.extract(df).collect()} == {k: text for k, (_, text) in enumerate(pages)}
+
+
+def test_long_pages_repeated_rows_and_other_columns(spark):
+    """Tens of thousands of equal lines, rows that repeat, null ids and columns named like the ones used inside."""
+    line = "<div>The same line again</div>"
+    page = lambda k: f"<body><div>Site</div>{line * 30_000}<p>Own {k}</p>{line * (9_000 + k)}<p>{'long text ' * 20_000}{k}</p></body>"
+    rows = [(k, f"http://h.org/{k}", page(k), "x", 1) for k in (1, 2, 2)] + [(None, "http://h.org/2", page(2), None, None), (None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string, __host int")
+    got = html_extract.extract(df).collect()
+    assert len(got) == 5 and sorted(r.page_id or 0 for r in got) == [0, 0, 1, 2, 2]
+    for r in got:
+        if r.url and r.page_id:
+            own = f"{'long text ' * 20_000}{r.page_id}"
+            assert r.text.replace("The same line again ", "") == f"Own {r.page_id} {own}" and r.n_chars == len(r.text)
+
+
+def test_partitions_do_not_matter(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").withColumn("html", F.regexp_replace("html", "<(/?)article>", "<$1div>"))
+    before, results = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in (1, 4, 211):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            results.append(sorted((r.page_id, r.text) for r in html_extract.extract(df.repartition(1 + n % 7)).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert results[0] == results[1] == results[2]
+
+
+def test_differencing_changes_pages_without_an_article(spark):
+    """On the given pages with the article's own markup gone, the neighbour decides on lines that no markup names."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()
+    template = "<div>All of our pages begin so</div><div>And have this line too</div>"
+    rows = [(r.page_id, f"http://one.org/{r.page_id:04}", r.html.replace("<article>", template).replace("</article>", "<div>And end so</div>")) for r in pages]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for r in html_extract.extract(df).collect():
+        alone = html_extract.main_text(html_extract.lines_of(dict((k, h) for k, _, h in rows)[r.page_id]), None)
+        assert "And have this line too" in alone and "And have this line too" not in r.text and "And end so" not in r.text
+
+
+def test_longest_common_subsequence_of_many_equal_lines():
+    from random import Random
+
+    rng, before = Random(5), html_extract._PAIRS
+    cases = [([rng.choice("abc") for _ in range(rng.randrange(90))], [rng.choice("abc") for _ in range(rng.randrange(90))]) for _ in range(100)]
+    plain = [len(html_extract.shared_lines(a, b)) for a, b in cases]
+    try:
+        html_extract._PAIRS = 20
+        for (a, b), n in zip(cases, plain):
+            got, it = html_extract.shared_lines(a, b), iter(b)
+            assert len(got) == n and all(a[k] in it for k in sorted(got))
+    finally:
+        html_extract._PAIRS = before
+    assert len(html_extract.shared_lines(["x"] * 20_000 + ["y"] + ["x"] * 10_000, ["z"] + ["x"] * 25_000)) == 25_000
+
+
 def test_longest_common_subsequence():
     from difflib import SequenceMatcher
     from random import Random
