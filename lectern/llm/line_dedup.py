@@ -3,7 +3,8 @@
 Pass 1 hashes every line's key into a filter of once-seen keys and one of
 twice-seen keys.  A cell of the second is set where two tasks, or two documents
 of one task, set the same cell of the first, so it never misses a key held by
-two documents.  Both have a fixed size; where a corpus fills them, more lines
+two documents.  Both have about eight cells a line of the corpus, up to
+`max_bits`, as one of them is broadcast; where a corpus fills them, more lines
 are suspected and shuffled, and the result is the same.
 Pass 2 shuffles only suspected keys (128-bit digests with document ids) for the
 exact confirmation and the choice of the first document.
@@ -53,23 +54,39 @@ def _places(found: set[bytes], bits: int, hashes: int) -> np.ndarray:
     return ((a[:, None] + np.arange(hashes, dtype=np.uint64)[None, :] * b[:, None]) % np.uint64(bits)).astype(np.int64)
 
 
-def twice_seen(docs: DataFrame, *, text: str = "text", min_chars: int = 10, bits: int = 1 << 26, hashes: int = 4) -> np.ndarray:
+def _has(cells: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which keys have all their cells set in a packed filter."""
+    return ((cells[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=1)
+
+
+def _set(cells: np.ndarray, at: np.ndarray) -> None:
+    flat = at.ravel()
+    np.bitwise_or.at(cells, flat >> 3, (128 >> (flat & 7)).astype(np.uint8))
+
+
+def filter_bits(docs: DataFrame, text: str, max_bits: int) -> int:
+    """Cells of a filter for all lines of the corpus: a power of two, eight a line at least, max_bits at most."""
+    lines = docs.agg(F.sum(F.expr(f"length(`{text}`) - length(replace(`{text}`, '\\n', '')) + 1"))).first()[0] or 0
+    return max(_CELLS, min(max_bits, 1 << (8 * lines).bit_length()))
+
+
+def twice_seen(docs: DataFrame, bits: int, *, text: str = "text", min_chars: int = 10, hashes: int = 4) -> np.ndarray:
     """The filter of keys that two documents may hold: `bits` cells, packed."""
-    bits = max(_CELLS, bits // _CELLS * _CELLS)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(bits, bool), np.zeros(bits, bool)
+        once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
         for batch in batches:
             for utf8 in batch.column(0).to_pylist():
                 if found := keys(utf8, min_chars):
                     at = _places(found, bits, hashes)
-                    again = once[at].all(axis=1)
-                    twice[at[again].ravel()] = True
-                    once[at.ravel()] = True
+                    again = _has(once, at)
+                    if again.any():
+                        _set(twice, at[again])
+                    _set(once, at)
         for k in range(bits // _CELLS):
-            part = slice(k * _CELLS, (k + 1) * _CELLS)
+            part = slice(k * _CELLS // 8, (k + 1) * _CELLS // 8)
             if once[part].any():
-                pack = lambda x: zlib.compress(np.packbits(x[part]).tobytes(), 1)
+                pack = lambda x: zlib.compress(x[part].tobytes(), 1)
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([pack(once)], pa.binary()), pa.array([pack(twice)], pa.binary())], ["cell", "once", "twice"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,18 +116,20 @@ def twice_seen(docs: DataFrame, *, text: str = "text", min_chars: int = 10, bits
     return out
 
 
-def drops(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", min_chars: int = 10, bits: int = 1 << 26, hashes: int = 4) -> DataFrame:
-    """One row per document that loses lines: id and the digests of their keys."""
-    bits = max(_CELLS, bits // _CELLS * _CELLS)
-    shared = docs.sparkSession.sparkContext.broadcast(twice_seen(docs, text=text, min_chars=min_chars, bits=bits, hashes=hashes))
+def drops(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", min_chars: int = 10, bits: int | None = None, max_bits: int = 1 << 30, hashes: int = 4) -> DataFrame:
+    """One row per document that loses lines: id and the digests of their keys.
+
+    bits: cells of a filter, by default enough for the corpus's lines, max_bits (a broadcast of an eighth in bytes) at most.
+    """
+    bits = filter_bits(docs, text, max_bits) if bits is None else max(_CELLS, bits // _CELLS * _CELLS)
+    shared = docs.sparkSession.sparkContext.broadcast(twice_seen(docs, bits, text=text, min_chars=min_chars, hashes=hashes))
 
     def suspects(batch: pa.RecordBatch) -> pa.RecordBatch:
         seen, rows, out = shared.value, [], []
         for k, utf8 in enumerate(batch.column(1).to_pylist()):
             if found := keys(utf8, min_chars):
                 at = _places(found, bits, hashes)
-                maybe = ((seen[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=1)
-                for key, yes in zip(found, maybe):
+                for key, yes in zip(found, _has(seen, at)):
                     if yes:
                         rows.append(k)
                         out.append(digest(key))

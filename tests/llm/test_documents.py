@@ -403,6 +403,9 @@ def test_line_dedup(spark, small, odd_documents, empty_documents):
         assert rows(line_dedup.digests(docs, bits=1 << 20)) == oracle("op9_line_dedup", documents=docs.toArrow())
         assert rows(line_dedup.digests(docs, bits=1)) == rows(line_dedup.digests(docs))  # a full filter only suspects more
     out = line_dedup.rewrite(odd_documents)
+    assert line_dedup.filter_bits(odd_documents, "text", 1 << 30) == line_dedup.filter_bits(empty_documents, "text", 1 << 30) == 1 << 19
+    many = spark.range(1000).selectExpr("id AS doc_id", "repeat('a line\\n', 99) AS text")
+    assert line_dedup.filter_bits(many, "text", 1 << 30) == 1 << 20 and line_dedup.filter_bits(many, "text", 1 << 19) == 1 << 19
     assert out.schema == odd_documents.schema and out.count() == 14
     by = {(r.doc_id, r.key): r.text for r in out.collect()}
     assert by[(4, "c")] is None and by[(1, "a")].startswith("The same") and by[(2, None)] == "" and by[(None, "k")] == ""
