@@ -62,39 +62,51 @@ def _sums(base, f, confidence, preference):
 
 
 def chunked(entries: DataFrame) -> DataFrame:
-    """entries (row, col, signal) with the chunk of its row that each belongs to."""
+    """entries (row, col, signal) with the chunk of its row that each belongs to, and how many the row has."""
     lengths = entries.groupBy("row").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    return entries.join(lengths, "row").select("row", "col", "signal", F.pmod(F.xxhash64("col"), F.col("chunks")).cast("int").alias("chunk"))
+    return entries.join(lengths, "row").select("row", "col", "signal", F.pmod(F.xxhash64("col"), F.col("chunks")).cast("int").alias("chunk"), "chunks")
 
 
 def half_step(entries: DataFrame, fixed: DataFrame, reg: float, broadcast_bytes: int = 64 << 20) -> DataFrame:
-    """Solve all rows of entries (row, col, signal[, chunk]) against fixed (id, factor) -> (id, factor)."""
+    """Solve all rows of entries (row, col, signal[, chunk, chunks]) against fixed (id, factor) -> (id, factor).
+
+    A row of one chunk is solved where it is; only longer ones send their k x k sums.
+    """
     spark = entries.sparkSession
-    g = gram(fixed)
-    k = len(g)
-    base = g + reg * np.eye(k)
-    split = entries if "chunk" in entries.columns else chunked(entries)
+    first = fixed.first()
+    k = len(first["factor"]) if first else 0
+    split = entries if "chunk" in entries.columns else chunked(written(entries, "entries"))
     small = fixed.count() * k * 8 <= broadcast_bytes
     if small:
         table = fixed.select("id", "factor").toArrow()
         order = np.argsort(np.asarray(table["id"]))
-        shared = spark.sparkContext.broadcast((np.asarray(table["id"])[order], np.array(table["factor"].to_pylist(), float).reshape(-1, k)[order]))
-        chunks = split.groupBy("row", "chunk").agg(F.collect_list(F.struct("col", "signal")).alias("e"))
+        rows = np.array(table["factor"].to_pylist(), float).reshape(-1, k)[order]
+        g = rows.T @ rows
+        shared = spark.sparkContext.broadcast((np.asarray(table["id"])[order], rows))
+        chunks = split.groupBy("row", "chunk", "chunks").agg(F.collect_list(F.struct("col", "signal")).alias("e"))
     else:
-        chunks = split.join(fixed.select(F.col("id").alias("col"), "factor"), "col").groupBy("row", "chunk").agg(F.collect_list(F.struct("factor", "signal")).alias("e"))
+        g = gram(fixed)
+        chunks = split.join(fixed.select(F.col("id").alias("col"), "factor"), "col").groupBy("row", "chunk", "chunks").agg(F.collect_list(F.struct("factor", "signal")).alias("e"))
+
+    base = g + reg * np.eye(k)
+
+    def sums(e: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+        signal = np.array([x["signal"] for x in e], float)
+        if small:
+            ids, known = shared.value
+            f = known[np.searchsorted(ids, np.array([x["col"] for x in e]))]
+        else:
+            f = np.array([x["factor"] for x in e], float)
+        return _sums(np.zeros((k, k)), f, np.abs(signal), (signal > 0).astype(float))
+
+    def direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [np.linalg.solve(base + a, b).tolist() for a, b in map(sums, batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float64()))], ["id", "factor"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for e in batch.column(1).to_pylist():
-                signal = np.array([x["signal"] for x in e], float)
-                if small:
-                    ids, rows = shared.value
-                    f = rows[np.searchsorted(ids, np.array([x["col"] for x in e]))]
-                else:
-                    f = np.array([x["factor"] for x in e], float)
-                a, b = _sums(np.zeros((k, k)), f, np.abs(signal), (signal > 0).astype(float))
-                out.append(np.concatenate([a.ravel(), b]).tobytes())
+            out = [np.concatenate([a.ravel(), b]).tobytes() for a, b in map(sums, batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["row", "sums"])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,8 +127,10 @@ def half_step(entries: DataFrame, fixed: DataFrame, reg: float, broadcast_bytes:
         if row is not None:
             yield done()
 
-    partial = chunks.select(F.col("row").cast("long").alias("row"), "e").mapInArrow(run, "row long, sums binary")
-    return partial.repartition("row").sortWithinPartitions("row").mapInArrow(finish, "id long, factor array<double>")
+    parts = lambda some: chunks.where(some).select(F.col("row").cast("long").alias("row"), "e")
+    whole = parts("chunks = 1").mapInArrow(direct, "id long, factor array<double>")
+    partial = parts("chunks > 1").mapInArrow(run, "row long, sums binary")
+    return whole.unionByName(partial.repartition("row").sortWithinPartitions("row").mapInArrow(finish, "id long, factor array<double>"))
 
 
 def initial(items: DataFrame, k: int, seed: int = 42) -> DataFrame:
@@ -228,7 +242,8 @@ def similar_items(items: DataFrame, queries: DataFrame, n: int = 10) -> DataFram
 def fold_in(rows: DataFrame, items: DataFrame, reg: float) -> DataFrame:
     """Factors of new or changed user rows (user_id, book_id, signal) with the items (book_id, factor) fixed."""
     entries = rows.select(F.col("user_id").alias("row"), F.col("book_id").alias("col"), "signal")
-    return half_step(entries, items.select(F.col("book_id").alias("id"), "factor"), reg).select(F.col("id").alias("user_id"), "factor")
+    fixed = written(items.select(F.col("book_id").alias("id"), "factor"), "fixed")
+    return half_step(entries, fixed, reg).select(F.col("id").alias("user_id"), "factor")
 
 
 def als_mllib(matrix: DataFrame, k: int = 64, reg: float = 0.1, iterations: int = 15, seed: int = 42) -> tuple[DataFrame, DataFrame]:
