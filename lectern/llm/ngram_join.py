@@ -6,8 +6,10 @@ ones.  Two sets of similarity t share `shared` tokens (or all they have in
 common) among the first n - ceil(t * n) + shared of each, so only these go to
 the index lists, with size and position.
 
-Index-level skipping: a list is sorted by size, a set's partners lie in one
-block of it, and what its position rules out is skipped as a block.
+Index-level skipping: a list is sorted by size, then position; its sets of one
+size are a block.  A set's partners lie in the blocks of some sizes, and in each
+before some position: other blocks, and the ends of these, are skipped whole.
+Long lists are dealt over shards that meet two and two, each pair in a task.
 Answer-level skipping: each list first meets its leader, the set whose own
 prefix is shared most, and each set is checked against the leader it meets
 most often.  The answers found there, who is already joined to whom, are what
@@ -202,18 +204,29 @@ def _lists(docs: DataFrame, levels, text: str, width: int, percent: int, shared:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tok, key, size, pos)], ["token", "key", "n", "pos"])
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cols in runs(batches, 4):
-            tok, key = cols[0], cols[1]
-            fresh = np.ones(len(tok), bool)
-            fresh[1:] = (tok[1:] != tok[:-1]) | (key[1:] != key[:-1])
+        """Rows of tokens with two keys at least, a row a key; only the last row waits for the next batch."""
+        last: list[np.ndarray] | None = None
+        wanted = False  # whether the waiting row's token had another key before it
+        for batch in batches:
+            cols = [c.to_numpy() for c in batch.columns]
+            if last is not None:
+                cols = [np.concatenate(x) for x in zip(last, cols)]
+            if not len(cols[0]):
+                continue
+            fresh = np.ones(len(cols[0]), bool)
+            fresh[1:] = (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])
             cols = [c[fresh] for c in cols]
-            tok = cols[0]
-            same = tok[1:] == tok[:-1]
-            more = np.zeros(len(tok), bool)
+            more = np.zeros(len(cols[0]), bool)
+            more[0] = wanted
+            same = cols[0][1:] == cols[0][:-1]
             more[1:] |= same
             more[:-1] |= same
+            last, wanted = [c[-1:] for c in cols], bool(more[-1])
+            more[-1] = False
             if more.any():
                 yield pa.RecordBatch.from_arrays([pa.array(c[more]) for c in cols], ["token", "key", "n", "pos"])
+        if wanted:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in last], ["token", "key", "n", "pos"])
 
     schema = "token long, key long, n int, pos int"
     out = docs.select(texts(docs, text)).mapInArrow(run, schema)
@@ -243,15 +256,22 @@ def _leader_pairs(lists: DataFrame, percent: int, shared: int) -> DataFrame:
     """Each set with the leader it meets in most lists: one pair a set, linear in the lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for tok, _, key, n, pos in runs(batches, 5):
+        lead = None  # token, key, n, pos of the list that the last batch ended in
+        for batch in batches:
+            tok, _, key, n, pos = (c.to_numpy() for c in batch.columns)
+            if not len(tok):
+                continue
             a, b, least = [], [], []
             edge = _starts(tok)
             for lo, hi in zip(edge[:-1], edge[1:]):
-                ok = np.flatnonzero(_possible(n[lo], pos[lo], n[lo + 1 : hi], pos[lo + 1 : hi], percent, shared)) + lo + 1
+                first = lo
+                if lead is None or lead[0] != tok[lo]:
+                    lead, first = (tok[lo], key[lo], n[lo], pos[lo]), lo + 1
+                ok = np.flatnonzero(_possible(lead[2], lead[3], n[first:hi], pos[first:hi], percent, shared)) + first
                 if len(ok):
                     a.append(key[ok])
-                    b.append(np.full(len(ok), key[lo]))
-                    least.append(np.minimum(shared, _need(n[lo], n[ok], percent)))
+                    b.append(np.full(len(ok), lead[1]))
+                    least.append(np.minimum(shared, _need(lead[2], n[ok], percent)))
             if a:
                 yield _counted(a, b, least)
 
@@ -269,38 +289,94 @@ def parity(tokens: np.ndarray) -> bytes:
     return np.packbits((cells & 1).astype(bool)).tobytes()
 
 
-def _open_pairs(lists: DataFrame, comps: DataFrame, sets: DataFrame, percent: int, shared: int) -> DataFrame:
-    """All pairs that share enough lists to be similar and are not yet in one component."""
+def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... for size[0] steps, then the same for the others."""
+    return np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
+def _chunks(sizes: np.ndarray, most: int) -> Iterator[slice]:
+    """Consecutive slices whose sizes add up to about `most` at a time."""
+    at, total = 0, np.cumsum(sizes)
+    while at < len(sizes):
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right")))
+        yield slice(at, end)
+        at = end
+
+
+def candidates(part: np.ndarray, n: np.ndarray, pos: np.ndarray, percent: int, shared: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows (k, x), k < x, of one list whose sizes and positions allow a link.
+
+    Rows are sorted by list (`part`), size and position.  A list's sets of one
+    size are a block; set k meets the blocks of sizes from its own to the
+    largest that its own position allows, and of each only the front, up to the
+    last position that allows a link.  The rest of a block is never touched.
+    """
+    rows = np.arange(len(n))
+    fresh = np.ones(len(n), bool)
+    fresh[1:] = (part[1:] != part[:-1]) | (n[1:] != n[:-1])
+    begin = np.flatnonzero(fresh)
+    block = np.cumsum(fresh) - 1
+    sizes, of_list = n[begin], np.cumsum(np.concatenate([[0], part[1:] != part[:-1]]))
+    largest = np.minimum(n * 100 // percent, (n - pos + shared - 1) * (100 + percent) // percent - n)
+    by_size = (of_list[begin] << 32) | sizes
+    last = np.searchsorted(by_size, (of_list << 32) | np.maximum(largest, 0), "right")
+    count = np.where(largest >= n, last - block, 0)
+    by_position = (block << 32) | pos
+    for some in _chunks(count, 500_000):
+        k = np.repeat(rows[some], count[some])
+        b = _ranges(block[some], count[some])
+        reach = sizes[b] - _need(n[k], sizes[b], percent) + shared - 1
+        end = np.searchsorted(by_position, (b << 32) | np.maximum(reach, 0), "right")
+        start = np.maximum(begin[b], k + 1)
+        width = np.where(reach >= 0, np.maximum(end - start, 0), 0)
+        for few in _chunks(width, 500_000):
+            if width[few].any():
+                yield np.repeat(k[few], width[few]), _ranges(start[few], width[few])
+
+
+def _open_pairs(lists: DataFrame, comps: DataFrame, sets: DataFrame, percent: int, shared: int, most: int = 1024) -> DataFrame:
+    """All pairs that share enough lists to be similar and are not yet in one component.
+
+    The sets of a list longer than `most` are dealt by hash over shards of about
+    that size, and each two shards (and each with itself) meet in a task of
+    their own, so no list is one task, however long.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for tok, n, key, pos, comp, bits in runs(batches, 6, {5: _BITS // 8}):
+        for _, tok, i, j, side, n, pos, key, comp, bits in runs(batches, 10, {9: _BITS // 8}):
             cells = bits.view(np.uint64)
+            part = np.zeros(len(tok), np.int64)
+            part[1:] = np.cumsum((tok[1:] != tok[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))
             a, b, least, held = [], [], [], 0
-            edge = _starts(tok)
-            for lo, hi in zip(edge[:-1], edge[1:]):
-                most = np.searchsorted(n[lo:hi], n[lo:hi] * 100 // percent, "right") + lo  # sizes ascend: the block of partners
-                for k in range(lo, hi - 1):
-                    block = slice(k + 1, most[k - lo])
-                    ok = np.flatnonzero((comp[block] != comp[k]) & _possible(n[k], pos[k], n[block], pos[block], percent, shared)) + k + 1
-                    if len(ok):  # set relation: what differs between the bitmaps differs between the sets
-                        apart = np.bitwise_count(cells[ok] ^ cells[k]).sum(axis=1, dtype=np.int64)
-                        ok = ok[n[ok] + n[k] - apart >= 2 * _need(n[k], n[ok], percent)]
-                    if len(ok):
-                        a.append(np.minimum(key[ok], key[k]))
-                        b.append(np.maximum(key[ok], key[k]))
-                        least.append(np.minimum(shared, _need(n[k], n[ok], percent)))
-                        held += len(ok)
-                        if held > 1_000_000:
-                            yield _counted(a, b, least)
-                            a, b, least, held = [], [], [], 0
+            for k, x in candidates(part, n, pos, percent, shared):
+                ok = (comp[k] != comp[x]) & ((i[k] == j[k]) | (side[k] != side[x]))
+                k, x = k[ok], x[ok]
+                need = _need(n[k], n[x], percent)
+                # Set relation: what differs between the bitmaps differs between the sets.
+                ok = np.zeros(len(k), bool)
+                for at in range(0, len(k), 50_000):
+                    few = slice(at, at + 50_000)
+                    apart = np.bitwise_count(cells[k[few]] ^ cells[x[few]]).sum(axis=1, dtype=np.int64)
+                    ok[few] = n[k[few]] + n[x[few]] - apart >= 2 * need[few]
+                k, x, need = k[ok], x[ok], need[ok]
+                if len(k):
+                    a.append(np.minimum(key[k], key[x]))
+                    b.append(np.maximum(key[k], key[x]))
+                    least.append(np.minimum(shared, need))
+                    held += len(k)
+                    if held > 1_000_000:
+                        yield _counted(a, b, least)
+                        a, b, least, held = [], [], [], 0
             if a:
                 yield _counted(a, b, least)
 
     known = lists.join(comps.select(F.col("node").alias("key"), "comp"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-    still = known.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-    rows = known.join(still, "token", "left_semi").join(sets.select("key", "bits"), "key")
-    rows = rows.select("token", F.col("n").cast("long").alias("n"), "key", F.col("pos").cast("long").alias("pos"), "comp", "bits")
-    pairs = rows.repartition("token").sortWithinPartitions("token", "n", "key").mapInArrow(run, _PAIRS)
+    still = known.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(F.count("*") / most).cast("int").alias("shards")).where("lo < hi").select("token", "shards")
+    rows = known.join(still, "token").join(sets.select("key", "bits"), "key").withColumn("side", F.pmod(F.xxhash64("key"), "shards").cast("int"))
+    meets = F.transform(F.sequence(F.lit(0), F.col("shards") - 1), lambda o: F.struct(F.least("side", o).alias("i"), F.greatest("side", o).alias("j")))
+    rows = rows.withColumn("meet", F.explode(meets)).select("token", "meet.i", "meet.j", "side", F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos"), "key", "comp", "bits")
+    rows = rows.select(F.xxhash64("token", "i", "j").alias("task"), "*")
+    pairs = rows.repartition("task").sortWithinPartitions("task", "token", "i", "j", "n", "pos", "key").mapInArrow(run, _PAIRS)
     return pairs.groupBy("a", "b").agg(F.sum("lists").alias("lists"), F.max("least").alias("least")).where("lists >= least").select("a", "b")
 
 
@@ -322,10 +398,11 @@ def _check(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), run, "a long, b long")
 
 
-def link(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, shared: int = 3, every: bool = False) -> tuple[DataFrame, DataFrame]:
+def link(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, shared: int = 3, every: bool = False, most: int = 1024) -> tuple[DataFrame, DataFrame]:
     """(members, links): rows (id, n, key) of all documents; verified pairs (a, b) of class keys.
 
     every: all pairs that are similar enough, else those that join the components.
+    most: length from which an index list is dealt over tasks.
     """
     spark = docs.sparkSession
     members, levels = _sets(docs, id_col, text, width)
@@ -354,7 +431,7 @@ def link(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", width:
     else:
         links = materialize(_check(_leader_pairs(lists, percent, shared), sets, percent), "links")
         comps = connected(links)
-    rest = materialize(_open_pairs(lists, comps, sets, percent, shared), "open-pairs")
+    rest = materialize(_open_pairs(lists, comps, sets, percent, shared, most), "open-pairs")
     discard(lists)
     links = materialize(links.unionByName(_check(rest, sets, percent)), "links")
     discard(sets)

@@ -504,3 +504,29 @@ def test_parity_bounds_the_difference():
         b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.8], rng.integers(0, 1 << 63, 50).astype(np.uint64)]))
         x, y = (np.frombuffer(ngram_join.parity(s), np.uint8) for s in (a, b))
         assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+
+
+def test_candidates_of_lists_are_those_of_all_pairs():
+    """What size and position blocks leave out is what the bounds rule out, no more."""
+    rng = np.random.default_rng(11)
+    for percent, shared in [(80, 3), (80, 1), (50, 2)]:
+        part = np.sort(rng.integers(0, 4, 400))
+        n = rng.integers(1, 60, 400)
+        pos = (rng.random(400) * n).astype(np.int64)
+        order = np.lexsort([pos, n, part])
+        part, n, pos = part[order], n[order], pos[order]
+        got = [(int(k), int(x)) for ks, xs in ngram_join.candidates(part, n, pos, percent, shared) for k, x in zip(ks, xs)]
+        want = {(k, x) for k in range(400) for x in range(k + 1, 400) if part[k] == part[x] and ngram_join._possible(n[k], pos[k], n[x], pos[x], percent, shared)}
+        assert len(got) == len(set(got)) and set(got) == want
+    assert not list(ngram_join.candidates(*(np.zeros(0, np.int64),) * 3, 80, 3))
+
+
+def test_long_lists_are_dealt_without_loss(spark):
+    """Lists cut into shards of a few sets give the links of whole lists."""
+    words = [f"w{k}" for k in range(200)]
+    docs = [(k, " ".join([*words[: k * 2], f"x{k}", *words[k * 2 + 1 :]])) for k in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    links = {(r.a, r.b) for r in ngram_join.join(df)[1].collect()}
+    assert len(links) == 60 * 59 // 2
+    dealt = [(r.a, r.b) for r in ngram_join.join(df, most=7)[1].collect()]
+    assert len(dealt) == len(set(dealt)) and set(dealt) == links
