@@ -155,27 +155,25 @@ def profile(signals: DataFrame, meta: DataFrame, n: int = 50) -> DataFrame:
 
 
 def components(candidates: DataFrame, sources: DataFrame, meta: DataFrame) -> DataFrame:
-    """(user_id, book_id, <component>...): signal-weighted means over the profile, 0 without one.
+    """(user_id, book_id, <component>...), a row per distinct candidate: signal-weighted means over the profile, 0 without one.
 
     The profile is an array of at most `n` sources a user, joined once to the
-    candidates, so the fan-out never leaves a task.
+    candidates.  Its rows are compared in generated code and summed in the task
+    that unfolds them, so one row a candidate is shuffled.
     """
-    described = sources.join(_meta(meta, "s_", "source_id"), "source_id")
-    packed = described.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("source_rank", "weight", *(f"s_{c}" for c in _META)))).alias("sources"))
-    wide = candidates.select("user_id", "book_id").join(packed, "user_id", "left").join(_meta(meta, "c_", "book_id"), "book_id", "left")
-    c = lambda x: F.col("c_" + x)
-    parts = {
-        "author": lambda s: author_overlap(c("authors"), s["s_authors"]),
-        "genre": lambda s: jaccard(c("genres"), s["s_genres"]),
-        "rating": lambda s: rating_similarity(c("average_rating"), s["s_average_rating"]),
-        "page": lambda s: page_similarity(c("page_count"), s["s_page_count"]),
-        "language": lambda s: language_similarity(c("language"), s["s_language"]),
-    }
-    total = F.aggregate("sources", F.lit(0.0), lambda acc, s: acc + s["weight"])
-    mean = lambda f: F.coalesce(F.aggregate("sources", F.lit(0.0), lambda acc, s: acc + s["weight"] * f(s)) / total, F.lit(0.0))
-    popularity = F.when(F.col("sources").isNull(), 0.0).otherwise(F.coalesce(c("popularity_norm"), F.lit(0.0)))
-    columns = {k: mean(f) for k, f in parts.items()} | {"popularity": popularity}
-    return wide.select("user_id", "book_id", *(columns[k].alias(k) for k in COMPONENTS))
+    sets = meta.withColumn("genres", F.array_distinct("genres"))
+    described = sources.join(_meta(sets, "s_", "source_id"), "source_id")
+    facts = [f"s_{c}" for c in _META if c != "popularity_norm"]
+    packed = described.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("source_rank", "weight", *facts))).alias("sources"))
+    wide = candidates.select("user_id", "book_id").join(packed, "user_id", "left").join(_meta(sets, "c_", "book_id"), "book_id", "left")
+    pairs = wide.withColumn("s", F.explode_outer("sources")).select("user_id", "book_id", *(f"c_{c}" for c in _META), "s.*")
+    common = F.size(F.array_intersect("c_genres", "s_genres"))
+    parts = pair_components() | {"genre": F.when(common > 0, common / (F.size("c_genres") + F.size("s_genres") - common)).otherwise(0.0)}
+    means = [k for k in COMPONENTS if k != "popularity"]
+    sums = pairs.groupBy("user_id", "book_id").agg(F.sum("weight").alias("total"), F.first("c_popularity_norm").alias("popular"), *(F.sum(F.col("weight") * parts[k]).alias(k) for k in means))
+    columns = {k: F.coalesce(F.col(k) / F.col("total"), F.lit(0.0)) for k in means}
+    columns["popularity"] = F.when(F.col("total").isNull(), 0.0).otherwise(F.coalesce("popular", F.lit(0.0)))
+    return sums.select("user_id", "book_id", *(columns[k].alias(k) for k in COMPONENTS))
 
 
 def weighted(scored: DataFrame, grid: DataFrame) -> DataFrame:
