@@ -135,7 +135,7 @@ def score(pairs: DataFrame, net: Network) -> DataFrame:
 
 def full_catalog(users: DataFrame, items: DataFrame, seen: DataFrame, hidden: DataFrame) -> DataFrame:
     """All (user_id, book_id) an evaluation user may be ranked on: no training item, but the hidden one."""
-    grid = users.select("user_id").crossJoin(F.broadcast(items.select("book_id")))
+    grid = users.select("user_id").crossJoin(items.select("book_id"))  # Spark broadcasts a side by its size, or deals both in blocks
     known = seen.select("user_id", "book_id").join(hidden, ["user_id", "book_id"], "left_anti")
     return grid.join(known, ["user_id", "book_id"], "left_anti")
 

@@ -6,9 +6,13 @@ file order or the engine.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .signals import dense_index
+
 
 def seeded(seed: int, *columns: str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(c).cast("string") for c in columns)))
@@ -66,16 +70,44 @@ def leave_one_out(pairs: DataFrame, seed: int = 42) -> DataFrame:
     return pick_one(pairs.join(many, "user_id", "left_semi"), seed)
 
 
+def prime_from(n: int) -> int:
+    """The smallest prime that is at least n."""
+    p = max(n, 2)
+    while any(p % d == 0 for d in range(2, math.isqrt(p) + 1)):
+        p += 1
+    return p
+
+
+def _number(text: Column) -> Column:
+    """The first 60 bits of text's md5."""
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
 def negatives(users: DataFrame, items: DataFrame, exclude: DataFrame, per_user: Column | int, seed: int = 42) -> DataFrame:
-    """Random items outside `exclude` for each user, without replacement.
+    """Random items outside `exclude` for each user, without replacement; all there are where fewer than wanted.
 
-    users: (user_id[, want]); items: a catalogue of bounded size.  Draws by
-    seeded order of all (user, item), which any engine can repeat.
+    users: (user_id[, want]).  Items take places in seeded order.  Each user
+    walks them from a seeded start by a seeded step, modulo the next prime, which
+    meets every place once, and takes the first that are not excluded.  The
+    walk is no longer than what is wanted, excluded and missing to the prime, so
+    the work grows with what is drawn, not with users x items.
     """
     want = F.col("want") if "want" in users.columns else F.lit(per_user)
-    grid = users.crossJoin(F.broadcast(items.select("book_id"))).join(exclude, ["user_id", "book_id"], "left_anti")
-    order = Window.partitionBy("user_id").orderBy(seeded(seed, "user_id", "book_id"), "book_id")
-    return grid.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= want).select("user_id", "book_id", "rn")
+    places = dense_index(items.select(F.struct(seeded(seed, "book_id").alias("order"), "book_id").alias("item")), "item", "place").select("place", "item.book_id")
+    n = places.count()
+    prime = prime_from(n)
+    mine = users.select("user_id", want.cast("long").alias("want")).where("want > 0")
+    known = exclude.groupBy("user_id").agg(F.count("*").alias("known"))
+    length = F.least(F.lit(prime), F.col("want") + F.coalesce("known", F.lit(0)) + (prime - n))
+    walk = mine.join(known, "user_id", "left").select(
+        "user_id", "want",
+        (_number(F.concat(F.lit(f"{seed}:start:"), "user_id")) % prime).alias("start"),
+        (1 + _number(F.concat(F.lit(f"{seed}:step:"), "user_id")) % (prime - 1)).alias("stride"),
+        F.explode(F.sequence(F.lit(0).cast("long"), length - 1)).alias("at"),
+    )
+    met = walk.withColumn("place", (F.col("start") + F.col("at") * F.col("stride")) % prime).join(places, "place").join(exclude, ["user_id", "book_id"], "left_anti")
+    order = Window.partitionBy("user_id").orderBy("at")
+    return met.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= F.col("want")).select("user_id", "book_id", "rn")
 
 
 def unseen_users(pairs: DataFrame, known: DataFrame, least: int = 5, n: int = 1000) -> DataFrame:

@@ -211,9 +211,21 @@ def sp_08(spark, sf):
     return split.leave_one_out(_pairs(spark, sf))
 
 
-_NEG = """want AS (SELECT p.user_id, 4 * count(*) AS want FROM pairs p SEMI JOIN active a USING (user_id) ANTI JOIN loo USING (user_id, book_id) GROUP BY 1),
-neg AS (SELECT user_id, book_id FROM (SELECT user_id, book_id, want, row_number() OVER (PARTITION BY user_id ORDER BY md5('42:' || user_id || ':' || book_id), book_id) AS rn
-  FROM (SELECT w.*, i.book_id FROM want w CROSS JOIN (SELECT DISTINCT book_id FROM dense) i) g ANTI JOIN pairs USING (user_id, book_id)) WHERE rn <= want)"""
+_PRIME = """places AS (SELECT book_id, row_number() OVER (ORDER BY md5('{seed}:' || book_id), book_id) - 1 AS place FROM (SELECT DISTINCT book_id FROM dense)),
+prime AS (SELECT min(p) AS p FROM (SELECT unnest(range(greatest(n, 2), 2 * n + 3)) AS p FROM (SELECT count(*) AS n FROM places)) WHERE len(list_filter(range(2, floor(sqrt(p))::BIGINT + 1), lambda d: p % d = 0)) = 0)"""
+
+
+def _walk(wanted: str, seed: int) -> str:
+    """Every user's whole walk over the places, with the items met outside `pairs` numbered."""
+    number = "('0x' || substr(md5('{seed}:{what}:' || user_id), 1, 15))::BIGINT".format
+    return f"""SELECT user_id, book_id, row_number() OVER (PARTITION BY user_id ORDER BY k) AS rn, want
+  FROM (SELECT user_id, want, k, ({number(seed=seed, what="start")} % p + k * (1 + {number(seed=seed, what="step")} % (p - 1))) % p AS place
+    FROM (SELECT user_id, want, p, unnest(range(p)) AS k FROM ({wanted}), prime)) JOIN places USING (place) ANTI JOIN pairs USING (user_id, book_id)"""
+
+
+_NEG = f"""{_PRIME.format(seed=42)},
+want AS (SELECT p.user_id, 4 * count(*) AS want FROM pairs p SEMI JOIN active a USING (user_id) ANTI JOIN loo USING (user_id, book_id) GROUP BY 1),
+neg AS (SELECT user_id, book_id FROM ({_walk("FROM want", 42)}) WHERE rn <= want)"""
 
 
 def _training(spark, sf, users=5000):
@@ -233,8 +245,8 @@ def sp_09(spark, sf):
     return split.negatives(want, items, pairs, 0).select("user_id", "book_id")
 
 
-_CANDIDATES = """cand AS (SELECT user_id, book_id, rn FROM (SELECT user_id, book_id, row_number() OVER (PARTITION BY user_id ORDER BY md5('11:' || user_id || ':' || book_id), book_id) AS rn
-  FROM (SELECT l.user_id, i.book_id FROM loo l SEMI JOIN active USING (user_id) CROSS JOIN (SELECT DISTINCT book_id FROM dense) i) g ANTI JOIN pairs USING (user_id, book_id)) WHERE rn <= 499
+_CANDIDATES = f"""{_PRIME.format(seed=11)},
+cand AS (SELECT user_id, book_id, rn FROM ({_walk("SELECT user_id, 499 AS want FROM loo SEMI JOIN active USING (user_id)", 11)}) WHERE rn <= want
   UNION ALL SELECT user_id, book_id, 0 FROM loo SEMI JOIN active USING (user_id))"""
 
 

@@ -226,3 +226,21 @@ def test_json_readers(spark, tmp_path):
     (tmp_path / "b.json").write_text('{"id": 1}\n\n{"id": 2}\n')
     for name in "ab":
         assert sorted(r.id for r in files.read_json(spark, str(tmp_path / f"{name}.json"), "id long").collect()) == [1, 2]
+
+
+def test_negatives_are_drawn_without_replacement(spark):
+    """Wanted numbers of distinct items outside the user's own; all there are where fewer; a different set for each user."""
+    items = spark.range(100, 340).select(F.col("id").alias("book_id"))
+    own = [(u, 100 + (7 * u + k) % 240) for u in range(1, 31) for k in range(u)] + [(40, b) for b in range(100, 335)]
+    exclude = spark.createDataFrame(own, "user_id long, book_id long")
+    users = spark.createDataFrame([(u, 20) for u in range(1, 31)] + [(40, 20), (41, 0), (42, 1000)], "user_id long, want int")
+    got = split.negatives(users, items, exclude, 0).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.user_id, []).append(r.book_id)
+    assert {u: len(b) for u, b in by.items()} == {u: 20 for u in range(1, 31)} | {40: 5, 42: 240}
+    assert all(len(set(b)) == len(b) and not {(u, x) for x in b} & set(own) for u, b in by.items())
+    assert len({tuple(sorted(by[u])) for u in range(1, 31)}) == 30
+    assert len({x for u in range(1, 31) for x in by[u]}) > 200  # 600 draws over 240 items
+    assert split.negatives(users, items.limit(0), exclude, 3).count() == 0
+    assert [split.prime_from(n) for n in (0, 2, 8, 9, 23, 24, 240)] == [2, 2, 11, 11, 23, 29, 241]
