@@ -20,7 +20,7 @@ formed.  That is enough for `classes`.  `join` and `link_counts` give every
 link: there each pair that shares enough lists is checked.
 
 Sets travel for the check only if they share enough index lists for a link.
-Tokens and classes are 64-bit hashes.
+Tokens are 64-bit hashes, classes are told apart by 128 bits.
 
 Defined results: null, empty and blank texts have no shingle and link with
 nothing; fewer than `width` words form one shingle; repeated rows are copies;
@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -116,8 +117,28 @@ def _combine(h: np.ndarray, size: int) -> np.ndarray:
     return s
 
 
-def class_key(tokens: np.ndarray) -> int:
-    return int(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes(), seed=len(tokens))).astype(np.int64))
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+@dataclass(frozen=True)
+class Keys:
+    """Names of classes: 64 bits of a 128-bit hash of the set, or another name where two classes share these.
+
+    bits: how many of the 64 are used (fewer only make clashes common, for tests).
+    renamed: (first, second half of the hash) -> name.
+    """
+
+    bits: int = 64
+    renamed: dict[tuple[int, int], int] = field(default_factory=dict)
+
+    def halves(self, tokens: np.ndarray) -> tuple[int, int]:
+        h = xxhash.xxh3_128_intdigest(tokens.tobytes(), seed=len(tokens))
+        return _signed(h & ((1 << self.bits) - 1)), _signed(h >> 64)
+
+    def of(self, tokens: np.ndarray) -> int:
+        pair = self.halves(tokens)
+        return self.renamed.get(pair, pair[0])
 
 
 def in_order(tokens: np.ndarray, levels: np.ndarray) -> np.ndarray:
@@ -136,31 +157,54 @@ def _need(n1, n2, percent: int):
     return (percent * (n1 + n2) + 99 + percent) // (100 + percent)
 
 
-def _sets(docs: DataFrame, id_col: str, text: str, width: int) -> tuple[DataFrame, np.ndarray]:
-    """Rows (id, n, key) of all documents, and the level of each sketch cell."""
+def _unclash(members: DataFrame, bits: int, most: int = 1_000_000) -> tuple[DataFrame, Keys]:
+    """members (id, n, key, second) with a key of its own for every class, and how to form these.
+
+    Of n classes about n * n / 2 ** 65 share their 64 bits, ten of 2e10; more than
+    `most` such keys are an error.
+    """
+    spark = members.sparkSession
+    twins = members.where("key is not null").groupBy("key").agg(F.min("second").alias("lo"), F.max("second").alias("hi")).where("lo <> hi").select("key", "lo")
+    twins = twins.limit(most + 1).collect()
+    if len(twins) > most:
+        raise ValueError(f"more than {most} keys of classes clash")
+    if not twins:
+        return members.drop("second"), Keys(bits)
+    others = members.join(F.broadcast(spark.createDataFrame(twins, "key long, lo long")), "key").where("second <> lo").select("key", "second").distinct().collect()
+    renamed = {(r.key, r.second): _signed(xxhash.xxh3_64_intdigest(f"{r.key}:{r.second}")) for r in others}
+    names = spark.createDataFrame([(*k, v) for k, v in renamed.items()], "key long, second long, name long")
+    named = members.join(F.broadcast(names), ["key", "second"], "left").select("id", "n", F.coalesce("name", "key").alias("key"))
+    return named, Keys(bits, renamed)
+
+
+def _sets(docs: DataFrame, id_col: str, text: str, width: int, key_bits: int) -> tuple[DataFrame, Keys, np.ndarray]:
+    """Rows (id, n, key) of all documents, the classes' keys, and the level of each sketch cell."""
+    plain = Keys(key_bits)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, waiting, held = np.zeros(_CELLS, np.int64), [], 0
         for batch in batches:
-            sizes, keys = [], []
+            sizes, keys, seconds = [], [], []
             for t in shingle_sets(batch.column(1).to_pylist(), width):
                 sizes.append(len(t))
-                keys.append(class_key(t) if len(t) else None)
+                key, second = plain.halves(t) if len(t) else (None, None)
+                keys.append(key)
+                seconds.append(second)
                 waiting.append((t >> np.uint64(44)).astype(np.int64))
                 held += len(t)
                 if held > 4_000_000:
                     counts += np.bincount(np.concatenate(waiting), minlength=_CELLS)
                     waiting, held = [], 0
             m = len(sizes)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], ["id", "n", "key", "part", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(seconds, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
         if waiting:
             counts += np.bincount(np.concatenate(waiting), minlength=_CELLS)
         parts = [k for k in range(_CELLS // _PART) if counts[k * _PART : (k + 1) * _PART].any()]
         if parts:
             blobs = [zlib.compress(counts[k * _PART : (k + 1) * _PART].tobytes(), 1) for k in parts]
             m = len(parts)
-            yield pa.RecordBatch.from_arrays([pa.nulls(m, id_type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], ["id", "n", "key", "part", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(m, id_type), *[pa.nulls(m, pa.int64())] * 3, pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], names)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -171,32 +215,37 @@ def _sets(docs: DataFrame, id_col: str, text: str, width: int) -> tuple[DataFram
         for part, x in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["part", "counts"])
 
+    names = ["id", "n", "key", "second", "part", "counts"]
     id_type = {"int": pa.int32(), "string": pa.string()}.get(kind, pa.int64())
-    both = materialize(docs.select(F.col(id_col).alias("id"), texts(docs, text)).mapInArrow(run, f"id {kind}, n long, key long, part int, counts binary"), "sets")
+    both = materialize(docs.select(F.col(id_col).alias("id"), texts(docs, text)).mapInArrow(run, f"id {kind}, n long, key long, second long, part int, counts binary"), "sets")
     total = np.zeros(_CELLS, np.int64)
     for part, x in both.where("part is not null").select("part", "counts").repartition("part").mapInArrow(add, "part int, counts binary").collect():
         total[part * _PART : (part + 1) * _PART] = np.frombuffer(x, np.int64)
     usual = 2 * total.sum() / _CELLS + 8
     levels = np.floor(np.log2(np.maximum(total / usual, 1))).astype(np.uint8)
-    return both.where("part is null").select("id", "n", "key"), levels
+    return *_unclash(both.where("part is null").select("id", "n", "key", "second"), key_bits), levels
 
 
-def _lists(docs: DataFrame, levels, text: str, width: int, percent: int, shared: int) -> DataFrame:
-    """Index lists that hold two sets at least: token, key, n, pos."""
+def _lists(docs: DataFrame, known, text: str, width: int, percent: int, shared: int) -> DataFrame:
+    """Index lists that hold two sets at least: token, key, n, pos.
+
+    known: broadcast (levels, Keys).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        levels, keys = known.value
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 tok, key, size, pos = [], [], [], []
                 for t in shingle_sets(whole.column(0).slice(at, 512).to_pylist(), width):
-                    k = class_key(t) if len(t) else None
+                    k = keys.of(t) if len(t) else None
                     if k is None or k in seen:
                         continue
                     if len(seen) < 1_000_000:
                         seen.add(k)
                     p = prefix_size(len(t), percent, shared)
-                    tok.append(in_order(t, levels.value)[:p].view(np.int64))
+                    tok.append(in_order(t, levels)[:p].view(np.int64))
                     key.append(np.full(p, k, np.int64))
                     size.append(np.full(p, len(t), np.int32))
                     pos.append(np.arange(p, dtype=np.int32))
@@ -398,16 +447,18 @@ def _check(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), run, "a long, b long")
 
 
-def link(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, shared: int = 3, every: bool = False, most: int = 1024) -> tuple[DataFrame, DataFrame]:
+def link(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, shared: int = 3, every: bool = False, most: int = 1024, key_bits: int = 64) -> tuple[DataFrame, DataFrame]:
     """(members, links): rows (id, n, key) of all documents; verified pairs (a, b) of class keys.
 
     every: all pairs that are similar enough, else those that join the components.
     most: length from which an index list is dealt over tasks.
+    key_bits: hash bits in a class's key before clashes are settled.
     """
     spark = docs.sparkSession
-    members, levels = _sets(docs, id_col, text, width)
+    members, keys, levels = _sets(docs, id_col, text, width, key_bits)
+    known = spark.sparkContext.broadcast((levels, keys))
     with_id = docs.where(F.col(id_col).isNotNull())
-    raw = materialize(_lists(with_id, spark.sparkContext.broadcast(levels), text, width, percent, shared), "lists")
+    raw = materialize(_lists(with_id, known, text, width, percent, shared), "lists")
 
     # A set that shares fewer tokens than a link needs has no link.
     often = raw.groupBy("key", "n").agg(F.count("*").alias("c")).where(F.col("c") >= F.least(F.lit(shared), F.ceil(F.col("n") * percent / 100))).select("key", "c")
@@ -419,8 +470,9 @@ def link(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", width:
     needed = first.join(often, "key", "left_semi").select(F.col("id").alias("__id"))
 
     def tokens(batch: pa.RecordBatch) -> pa.RecordBatch:
+        name = known.value[1].of
         found = [t for t in shingle_sets(batch.column(0).to_pylist(), width) if len(t)]
-        return pa.RecordBatch.from_arrays([pa.array(map(class_key, found), pa.int64()), pa.array([t.tobytes() for t in found], pa.binary()), pa.array(map(parity, found), pa.binary())], ["key", "tokens", "bits"])
+        return pa.RecordBatch.from_arrays([pa.array(map(name, found), pa.int64()), pa.array([t.tobytes() for t in found], pa.binary()), pa.array(map(parity, found), pa.binary())], ["key", "tokens", "bits"])
 
     chosen = with_id.select(F.col(id_col).alias("__id"), texts(docs, text)).join(needed, "__id", "left_semi").select("__utf8")
     sets = materialize(map_arrow(chosen, tokens, "key long, tokens binary, bits binary"), "tokens")
@@ -438,9 +490,9 @@ def link(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", width:
     return members, links
 
 
-def classes(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, shared: int = 3) -> DataFrame:
+def classes(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, shared: int = 3, **options) -> DataFrame:
     """One row per document: id, shingles, and the smallest id its links reach."""
-    members, links = link(docs, id_col=id_col, text=text, width=width, percent=percent, shared=shared)
+    members, links = link(docs, id_col=id_col, text=text, width=width, percent=percent, shared=shared, **options)
     comps = connected(links).select(F.col("node").alias("key"), "comp")
     rep = members.where("id is not null and key is not null").groupBy("key").agg(F.min("id").alias("rep"))
     placed = rep.join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))

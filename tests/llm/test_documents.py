@@ -461,6 +461,15 @@ def test_jaccard_join_random(spark, seed):
     assert got == brute_components(docs)
 
 
+def test_classes_whose_keys_clash_stay_apart(spark):
+    """With keys of three bits nearly all classes clash; results are those of whole keys."""
+    docs = {k: " ".join(f"{k % 20}w{x}" for x in range(30 + k % 2)) for k in range(60)}
+    df = spark.createDataFrame([*docs.items(), (60, None), (None, docs[3])], "doc_id long, text string").repartition(3)
+    whole = {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.classes(df).collect()}
+    assert {r.doc_id: r.component_id for r in ngram_join.classes(df, key_bits=3).collect()} == {k: k % 20 for k in docs} | {60: 60, None: None}
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.classes(df, key_bits=3).collect()} == whole
+
+
 def test_jaccard_join_odd(odd_documents, empty_documents):
     got = rows(ngram_join.classes(odd_documents))
     assert len(got) == 14
