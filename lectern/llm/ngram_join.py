@@ -17,7 +17,9 @@ the second round derives the rest from: only pairs whose components still
 differ are candidates then.  All of those are checked, so no link between
 components is lost; pairs that would only repeat what is known are never
 formed.  That is enough for `classes`.  `join` and `link_counts` give every
-link: there each pair that shares enough lists is checked.
+link.  There each set's difference from its leader is kept, and a pair of one
+leader is decided from the two differences, mostly by their sizes alone; only
+pairs of different leaders compare whole sets.
 
 Sets travel for the check only if they share enough index lists for a link.
 Tokens are 64-bit hashes, classes are told apart by 128 bits.
@@ -447,6 +449,71 @@ def _check(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), run, "a long, b long")
 
 
+def _differences(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a: set, b: its leader) that are similar enough, as rows key, lead, n_lead, n_gone, n_new, gone, new.
+
+    gone: the leader's tokens that the set lacks; new: the set's that the leader lacks.
+    """
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keep, size, gone, new = [], [], [], []
+        for k, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            less, more = np.setdiff1d(y, x, assume_unique=True), np.setdiff1d(x, y, assume_unique=True)
+            if 100 * (len(y) - len(less)) >= percent * (len(y) + len(more)):
+                keep.append(k)
+                size.append(len(y))
+                gone.append(less)
+                new.append(more)
+        few = batch.select([0, 1]).take(pa.array(keep, pa.int64()))
+        counts = [pa.array(c, pa.int64()) for c in (size, map(len, gone), map(len, new))]
+        tokens = [pa.array([t.tobytes() for t in c], pa.binary()) for c in (gone, new)]
+        return pa.RecordBatch.from_arrays([*few.columns, *counts, *tokens], ["key", "lead", "n_lead", "n_gone", "n_new", "gone", "new"])
+
+    left = sets.select(F.col("key").alias("a"), F.col("tokens").alias("x"))
+    right = sets.select(F.col("key").alias("b"), F.col("tokens").alias("y"))
+    # Rows that repeat an id repeat its set.
+    wide = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    return map_arrow(wide, run, "key long, lead long, n_lead long, n_gone long, n_new long, gone binary, new binary").dropDuplicates(["key"])
+
+
+def _derived(pairs: DataFrame, told: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough, told by their leaders' answers as far as these reach.
+
+    A set and its leader are an answer already.  Two sets of one leader differ
+    from it in known tokens: how many these are decides most pairs, the tokens
+    themselves the others.  Only pairs without a common leader compare whole sets.
+    """
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keep = []
+        for n, least, *tokens in zip(*(batch.column(k).to_pylist() for k in range(2, 8))):
+            gone_a, new_a, gone_b, new_b = (np.frombuffer(t, np.uint64) for t in tokens)
+            either = len(np.union1d(gone_a, gone_b))
+            keep.append(n - either + len(np.intersect1d(new_a, new_b, assume_unique=True)) >= least)
+        return batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    sizes = told.select("key", "lead", "n_lead", "n_gone", "n_new")
+    side = lambda k: sizes.select(F.col("key").alias(k), F.col("lead").alias(f"lead_{k}"), F.col("n_lead").alias(f"n_lead_{k}"), F.col("n_gone").alias(f"gone_{k}"), F.col("n_new").alias(f"new_{k}"))
+    wide = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    both = F.expr("2 * n_lead_a - gone_a + new_a - gone_b + new_b")
+    least = F.floor((both * percent + 99 + percent) / (100 + percent))
+    low = F.expr("n_lead_a - gone_a - gone_b")
+    high = F.expr("n_lead_a - greatest(gone_a, gone_b) + least(new_a, new_b)")
+    verdict = (
+        F.when(F.col("lead_a").eqNullSafe(F.col("b")) | F.col("lead_b").eqNullSafe(F.col("a")), "yes")
+        .when(F.coalesce(F.col("lead_a") != F.col("lead_b"), F.lit(True)), "whole")
+        .when(low >= least, "yes")
+        .when(high < least, "no")
+        .otherwise("tokens")
+    )
+    judged = materialize(wide.select("a", "b", F.col("n_lead_a").alias("n"), least.alias("least"), verdict.alias("verdict")).where("verdict <> 'no'"), "judged")
+    tokens = lambda k: told.select(F.col("key").alias(k), F.col("gone").alias(f"gone_{k}"), F.col("new").alias(f"new_{k}"))
+    close = judged.where("verdict = 'tokens'").join(tokens("a"), "a").join(tokens("b"), "b").select("a", "b", "n", "least", "gone_a", "new_a", "gone_b", "new_b")
+    yes = judged.where("verdict = 'yes'").select("a", "b")
+    return yes.unionByName(map_arrow(close, run, "a long, b long")).unionByName(_check(judged.where("verdict = 'whole'").select("a", "b"), sets, percent))
+
+
 def link(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, shared: int = 3, every: bool = False, most: int = 1024, key_bits: int = 64) -> tuple[DataFrame, DataFrame]:
     """(members, links): rows (id, n, key) of all documents; verified pairs (a, b) of class keys.
 
@@ -478,14 +545,14 @@ def link(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", width:
     sets = materialize(map_arrow(chosen, tokens, "key long, tokens binary, bits binary"), "tokens")
 
     if every:
-        links = spark.createDataFrame([], "a long, b long")
+        told = materialize(_differences(_leader_pairs(lists, percent, shared), sets, percent), "differences")
         comps = spark.createDataFrame([], "node long, comp long")  # each set by itself, so every pair is open
     else:
         links = materialize(_check(_leader_pairs(lists, percent, shared), sets, percent), "links")
         comps = connected(links)
     rest = materialize(_open_pairs(lists, comps, sets, percent, shared, most), "open-pairs")
     discard(lists)
-    links = materialize(links.unionByName(_check(rest, sets, percent)), "links")
+    links = materialize(_derived(rest, told, sets, percent) if every else links.unionByName(_check(rest, sets, percent)), "links")
     discard(sets)
     return members, links
 

@@ -506,6 +506,53 @@ def test_jaccard_join_gives_every_link(spark):
     assert {r.doc_id: r.n_links for r in ngram_join.link_counts(df).collect()} == {k: counts[k] for k in docs} | {None: 0}
 
 
+@pytest.mark.parametrize("seed", [3, 4])
+def test_links_derived_from_leaders_are_those_of_brute_force(spark, seed):
+    """Groups whose members differ from each other by about the threshold, and drifting chains."""
+    rng = np.random.default_rng(seed)
+    docs = {}
+    for g in range(6):
+        base = [f"g{g}w{x}" for x in range(int(rng.integers(40, 200)))]
+        for _ in range(12):
+            copy = list(base)
+            for at in rng.integers(0, len(copy), rng.integers(0, max(2, len(copy) // 45) + 1)):
+                copy[at] = f"n{rng.integers(0, 3)}" if rng.random() < 0.5 else f"u{len(docs)}"
+            docs[len(docs)] = " ".join(copy)
+            if rng.random() < 0.3:
+                base = copy
+    sets = {k: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for k, t in docs.items() if (w := t.split())}
+    linked = {(a, b) for a in docs for b in docs if a < b and 100 * (x := len(sets[a] & sets[b])) >= 80 * (len(sets[a]) + len(sets[b]) - x)}
+    df = spark.createDataFrame([*docs.items(), (0, docs[0])], "doc_id long, text string").repartition(3)
+    members, links = ngram_join.join(df)
+    of = collections.defaultdict(set)
+    for r in members.collect():
+        of[r.key].add(r.id)
+    got = {(min(x, y), max(x, y)) for r in links.collect() for x in of[r.a] for y in of[r.b]}
+    same = {(x, y) for ids in of.values() for x in ids for y in ids if x < y}
+    assert len(linked) > 50 and got | same == linked
+    assert len(linked) < sum(1 for a in docs for b in docs if a < b and a // 12 == b // 12)
+
+
+def test_pairs_of_one_leader_are_told_by_differences(spark):
+    """Sets are needed only where no common leader tells: without any set, pairs of one leader come out right."""
+    rng = np.random.default_rng(9)
+    lead = np.unique(rng.integers(0, 1 << 62, 200).astype(np.uint64))
+    sets = {0: lead}
+    for k in range(1, 40):
+        gone = rng.random(len(lead)) < rng.uniform(0, 0.12)
+        pool = np.arange(1, 30, dtype=np.uint64)
+        sets[k] = np.union1d(lead[~gone], pool[rng.random(len(pool)) < rng.uniform(0, 0.5)])
+    jaccard = lambda a, b: (x := len(np.intersect1d(a, b)), len(a) + len(b) - x)
+    table = spark.createDataFrame([(k, bytearray(v.tobytes())) for k, v in sets.items()], "key long, tokens binary")
+    told = ngram_join._differences(spark.createDataFrame([(k, 0) for k in sets if k], "a long, b long"), table, 80).cache()
+    followers = sorted(r.key for r in told.collect())
+    assert followers == [k for k in sets if k and 100 * jaccard(sets[k], lead)[0] >= 80 * jaccard(sets[k], lead)[1]]
+    pairs = [(a, b) for a in [0, *followers] for b in followers if a < b]
+    got = {(r.a, r.b) for r in ngram_join._derived(spark.createDataFrame(pairs, "a long, b long"), told, table.limit(0), 80).collect()}
+    want = {(a, b) for a, b in pairs if 100 * jaccard(sets[a], sets[b])[0] >= 80 * jaccard(sets[a], sets[b])[1]}
+    assert got == want and 0 < len(want) < len(pairs)
+
+
 def test_parity_bounds_the_difference():
     rng = np.random.default_rng(5)
     for _ in range(50):
