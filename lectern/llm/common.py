@@ -79,13 +79,19 @@ def discard(df: DataFrame) -> None:
     _remove(df.sparkSession, df._scratch)
 
 
+def parts(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of batch in slices of about `most` bytes, so that what is made of them stays small; none if it is empty."""
+    step = max(1, batch.num_rows * most // max(batch.nbytes, 1))
+    for at in range(0, batch.num_rows, step):
+        yield batch.slice(at, step)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema) -> DataFrame:
-    """mapInArrow for functions of one batch."""
+    """mapInArrow for functions of one batch, which gets a few megabytes of rows at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield fn(batch)
+            yield from map(fn, parts(batch))
 
     return df.mapInArrow(run, schema)
 

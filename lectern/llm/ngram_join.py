@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, map_arrow, materialize, runs, texts
+from .common import discard, map_arrow, materialize, parts, runs, texts
 from .components import connected
 from .hashing import Sums, mix
 
@@ -186,7 +186,7 @@ def _sets(docs: DataFrame, id_col: str, text: str, width: int, key_bits: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, waiting, held = np.zeros(_CELLS, np.int64), [], 0
-        for batch in batches:
+        for batch in (p for whole in batches for p in parts(whole)):
             sizes, keys, seconds = [], [], []
             for t in shingle_sets(batch.column(1).to_pylist(), width):
                 sizes.append(len(t))
@@ -195,18 +195,18 @@ def _sets(docs: DataFrame, id_col: str, text: str, width: int, key_bits: int) ->
                 seconds.append(second)
                 waiting.append((t >> np.uint64(44)).astype(np.int64))
                 held += len(t)
-                if held > 4_000_000:
+                if held > 1_000_000:
                     counts += np.bincount(np.concatenate(waiting), minlength=_CELLS)
                     waiting, held = [], 0
             m = len(sizes)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(seconds, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
         if waiting:
             counts += np.bincount(np.concatenate(waiting), minlength=_CELLS)
-        parts = [k for k in range(_CELLS // _PART) if counts[k * _PART : (k + 1) * _PART].any()]
-        if parts:
-            blobs = [zlib.compress(counts[k * _PART : (k + 1) * _PART].tobytes(), 1) for k in parts]
-            m = len(parts)
-            yield pa.RecordBatch.from_arrays([pa.nulls(m, id_type), *[pa.nulls(m, pa.int64())] * 3, pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], names)
+        filled = [k for k in range(_CELLS // _PART) if counts[k * _PART : (k + 1) * _PART].any()]
+        if filled:
+            blobs = [zlib.compress(counts[k * _PART : (k + 1) * _PART].tobytes(), 1) for k in filled]
+            m = len(filled)
+            yield pa.RecordBatch.from_arrays([pa.nulls(m, id_type), *[pa.nulls(m, pa.int64())] * 3, pa.array(filled, pa.int32()), pa.array(blobs, pa.binary())], names)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -415,7 +415,7 @@ def _open_pairs(lists: DataFrame, comps: DataFrame, sets: DataFrame, percent: in
                     b.append(np.maximum(key[k], key[x]))
                     least.append(np.minimum(shared, need))
                     held += len(k)
-                    if held > 1_000_000:
+                    if held > 250_000:
                         yield _counted(a, b, least)
                         a, b, least, held = [], [], [], 0
             if a:
