@@ -244,3 +244,33 @@ def test_negatives_are_drawn_without_replacement(spark):
     assert len({x for u in range(1, 31) for x in by[u]}) > 200  # 600 draws over 240 items
     assert split.negatives(users, items.limit(0), exclude, 3).count() == 0
     assert [split.prime_from(n) for n in (0, 2, 8, 9, 23, 24, 240)] == [2, 2, 11, 11, 23, 29, 241]
+
+
+def test_a_hot_genre_is_dealt_over_tasks(spark):
+    """Where one genre holds every book, the join by genre is split by size on its hot side; results stay."""
+    books = [(k, [f"a{k % 997}"], ["hot", f"g{k % 40}"], (k % 100) / 100) for k in range(20_000)]
+    meta = spark.createDataFrame(books, "book_id long, authors array<string>, genres array<string>, popularity_norm double").repartition(8)
+    sources = spark.createDataFrame([(u, u * 31 + s, 1.0 + s) for u in range(10) for s in range(3)], "user_id long, source_id long, weight double").repartition(4)
+    blocked = spark.createDataFrame([(0, 5), (1, 7)], "user_id long, book_id long")
+    plain = sorted(map(tuple, hybrid.rough_candidates(sources, meta, blocked, n=20, popular=10).collect()))
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.shuffle.partitions": "16",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20000",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20000",
+    }
+    before = {k: spark.conf.get(k, None) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        out = hybrid.rough_candidates(sources, meta, blocked, n=20, popular=10)
+        got = sorted(map(tuple, out.collect()))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert got == plain and len(got) == 200
+    assert "skew=true" in plan
