@@ -55,6 +55,13 @@ def test_item_cf(spark):
         item_cf.similar(edges, 99)
 
 
+def test_a_book_without_neighbours_gives_no_rows(spark):
+    """Where neighbours are not required, as in cf_08_similar, a book outside the graph has an empty list, as in SQL."""
+    edges = spark.createDataFrame([(1, 3, 0.1, 5)], "book_id long, similar_id long, score double, co_likes long")
+    assert item_cf.similar(edges, 99, required=False).count() == 0
+    assert item_cf.similar(edges, 1, required=False).count() == 1
+
+
 def test_neighbours_are_symmetric(spark):
     edges = item_cf.symmetric(item_cf.damped_cosine(item_cf.pair_counts(item_cf.baskets(views.interactions_dense(spark, SF))), item_cf.like_counts(views.interactions_dense(spark, SF)), 1))
     back = edges.select(F.col("similar_id").alias("book_id"), F.col("book_id").alias("similar_id"), "score")
