@@ -281,3 +281,24 @@ def test_a_hot_genre_is_dealt_over_tasks(spark):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     assert got == plain and len(got) == 200
     assert "skew=true" in plan
+
+
+def test_equal_vectors_are_multiplied_once(spark, monkeypatch):
+    """Items of one vector are one row of a block: a query gets its few best, not the best of every seven items."""
+    monkeypatch.setattr(als, "BLOCK", 7)
+    items = spark.createDataFrame([(k, [float(k % 3), 1.0]) for k in range(300)], "book_id long, factor array<double>")
+    queries = spark.createDataFrame([(1, 0, [1.0, 0.0])], "query long, extra long, factor array<double>")
+    got = sorted((-r.score, r.book_id) for r in als._best_of_blocks(queries, items, 5).collect())
+    assert got == [(-2.0, k) for k in (2, 5, 8, 11, 14)]
+
+
+def test_candidates_meet_profiles_without_a_row_a_pair(spark):
+    """A pair of candidate and source is no row, so what is shuffled grows with candidates and sources alone."""
+    meta = spark.createDataFrame([(k, ["x"], ["a", f"g{k % 3}"], 3.0, 100, "en", 0.5) for k in range(9)], "book_id long, authors array<string>, genres array<string>, average_rating double, page_count int, language string, popularity_norm double")
+    candidates = spark.createDataFrame([(1, k) for k in range(9)] + [(2, 3), (1, 77)], "user_id long, book_id long")
+    sources = spark.createDataFrame([(1, 0, 1.0, 1), (1, 1, 3.0, 2)], "user_id long, source_id long, weight double, source_rank int")
+    out = hybrid.components(candidates, sources, meta)
+    assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {(r.user_id, r.book_id): (r.author, round(r.genre, 9), r.popularity) for r in out.collect()}
+    assert len(got) == 11 and got[2, 3] == got[1, 77] == (0.0, 0.0, 0.0)
+    assert got[1, 0] == (1.0, 0.5, 0.5) and got[1, 1] == (1.0, round((1 / 3 + 3) / 4, 9), 0.5)
