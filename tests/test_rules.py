@@ -1,5 +1,7 @@
 """Hand-computed cases and invariants."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -302,3 +304,27 @@ def test_candidates_meet_profiles_without_a_row_a_pair(spark):
     got = {(r.user_id, r.book_id): (r.author, round(r.genre, 9), r.popularity) for r in out.collect()}
     assert len(got) == 11 and got[2, 3] == got[1, 77] == (0.0, 0.0, 0.0)
     assert got[1, 0] == (1.0, 0.5, 0.5) and got[1, 1] == (1.0, round((1 / 3 + 3) / 4, 9), 0.5)
+
+
+def test_rough_candidates_form_no_row_a_user_and_genre_hit(spark, monkeypatch):
+    """Hits are summed in the task that holds the catalogue; results equal sums written out, with users in several groups."""
+    monkeypatch.setattr(hybrid, "USERS", 2)
+    books = {k: ([f"a{k % 4}"], [f"g{k % 3}", f"h{k % 2}"] if k % 5 else [], k % 7 / 7) for k in range(40)}
+    meta = spark.createDataFrame([(k, *v) for k, v in books.items()], "book_id long, authors array<string>, genres array<string>, popularity_norm double")
+    mine = {u: {(u * 7 + s * 3) % 40: 1.0 + s for s in range(3)} for u in range(6)}
+    gone = {0: {1, 5}, 3: {2}}
+    sources = spark.createDataFrame([(u, b, w) for u, x in mine.items() for b, w in x.items()], "user_id long, source_id long, weight double")
+    blocked = spark.createDataFrame([(u, b) for u, x in gone.items() for b in x], "user_id long, book_id long")
+    out = hybrid.rough_candidates(sources, meta, blocked, n=9, popular=5)
+    assert not re.search(r"HashAggregate\(keys=\[user_id#\d+L?, book_id#", out._jdf.queryExecution().executedPlan().toString())
+    top = sorted(books, key=lambda k: (-books[k][2], -k))[:5]
+    for u, x in mine.items():
+        points = {b: 0.01 * (5 - r) / 5 for r, b in enumerate(top)}
+        for b, w in x.items():
+            for k, (authors, genres, _) in books.items():
+                if authors == books[b][0]:
+                    points[k] = points.get(k, 0) + 3 * w
+                for g in set(genres) & set(books[b][1]):
+                    points[k] = points.get(k, 0) + w / len(books[b][1])
+        expected = sorted((-round(p, 9), k) for k, p in points.items() if k not in gone.get(u, ()))[:9]
+        assert [(-r.rough, r.book_id) for r in sorted(out.where(F.col("user_id") == u).collect(), key=lambda r: r.rough_rank)] == expected
