@@ -3,12 +3,14 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lectern.operators import als, canonical, catalog, evaluate, hybrid, item_cf, ncf, prep, serve, signals, split, store, text
 from lectern.plans import experiments
 from lectern.sources import files, views
+from lectern.sources.arrow import slices
 from lectern.streaming import likes
 
 SF = "/root/testdata/sf0.001"
@@ -328,3 +330,10 @@ def test_rough_candidates_form_no_row_a_user_and_genre_hit(spark, monkeypatch):
                     points[k] = points.get(k, 0) + w / len(books[b][1])
         expected = sorted((-round(p, 9), k) for k, p in points.items() if k not in gone.get(u, ()))[:9]
         assert [(-r.rough, r.book_id) for r in sorted(out.where(F.col("user_id") == u).collect(), key=lambda r: r.rough_rank)] == expected
+
+
+def test_slices_bound_what_python_holds():
+    """A batch of large texts is handed on a few megabytes at a time, whole and in order; an empty one gives nothing."""
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(["x" * (1 << 20)] * 40)], ["id", "text"])
+    parts = list(slices([batch, batch.slice(0, 0)]))
+    assert max(p.num_rows for p in parts) <= 8 and [k for p in parts for k in p.column(0).to_pylist()] == list(range(40))
