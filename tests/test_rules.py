@@ -11,6 +11,7 @@ from lectern.operators import als, canonical, catalog, evaluate, hybrid, item_cf
 from lectern.plans import experiments
 from lectern.sources import files, views
 from lectern.sources.arrow import slices
+from lectern.sources.scratch import written
 from lectern.streaming import likes
 
 SF = "/root/testdata/sf0.001"
@@ -337,3 +338,14 @@ def test_slices_bound_what_python_holds():
     batch = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(["x" * (1 << 20)] * 40)], ["id", "text"])
     parts = list(slices([batch, batch.slice(0, 0)]))
     assert max(p.num_rows for p in parts) <= 8 and [k for p in parts for k in p.column(0).to_pylist()] == list(range(40))
+
+
+def test_a_half_step_reads_written_chunks_without_a_shuffle(spark):
+    """Rows grouped once are solved where they are read; only cut rows' sums are dealt."""
+    entries = spark.createDataFrame([(r, c, 2.0 if (r + c) % 3 else -1.5) for r in range(5) for c in range(4)], "row long, col long, signal double")
+    fixed = spark.createDataFrame([(c, [1.0 + c, 0.5 * c]) for c in range(4)], "id long, factor array<double>")
+    out = als.half_step(written(als.grouped(entries), "chunks"), fixed, 1.0)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    direct = {r.id: r.factor for r in als.half_step(entries, fixed, 1.0).collect()}
+    got = {r.id: r.factor for r in out.collect()}
+    assert set(got) == set(range(5)) and all(np.allclose(got[k], direct[k]) for k in got)
