@@ -333,6 +333,43 @@ def test_rough_candidates_form_no_row_a_user_and_genre_hit(spark, monkeypatch):
         assert [(-r.rough, r.book_id) for r in sorted(out.where(F.col("user_id") == u).collect(), key=lambda r: r.rough_rank)] == expected
 
 
+def _small_shelf(spark):
+    """Forty books with copies and ties, six users, some of their books blocked."""
+    books = {k: ([f"a{k % 4}"], ["", f"g{k % 3}", f"h{k % 2}"] if k % 5 else [], 1 + k % 5, 100 * (k % 4), k % 7 / 7) for k in range(40)}
+    meta = spark.createDataFrame([(k, *v, "en") for k, v in books.items()], "book_id long, authors array<string>, genres array<string>, average_rating long, page_count int, popularity_norm double, language string")
+    mine = {u: {(u * 7 + s * 3) % 40: 1.0 + s for s in range(3)} for u in range(6)}
+    gone = {0: {1, 5}, 3: {2}}
+    sources = spark.createDataFrame([(u, b, w, k + 1) for u, x in mine.items() for k, (b, w) in enumerate(x.items())], "user_id long, source_id long, weight double, source_rank int")
+    blocked = spark.createDataFrame([(u, b) for u, x in gone.items() for b in x], "user_id long, book_id long")
+    return books, mine, gone, sources, meta, blocked
+
+
+def _lists_of(out):
+    got = {}
+    for r in out.orderBy("user_id", "rank").collect():
+        got.setdefault(r.user_id, []).append((-round(r.score, 9), r.book_id))
+    return got
+
+
+def _jaccard(a, b):
+    return len(set(a) & set(b)) / len(set(a) | set(b)) if a and b else 0.0
+
+
+def test_exact_authors_form_no_row_a_user_and_book(spark):
+    books, mine, gone, sources, meta, blocked = _small_shelf(spark)
+    out = hybrid.exact_author_candidates(sources, meta, blocked, n=7)
+    assert not re.search(r"HashAggregate\(keys=\[user_id#\d+L?, book_id#", out._jdf.queryExecution().executedPlan().toString())
+    expected = {}
+    for u, x in mine.items():
+        points = {}
+        for b, w in x.items():
+            for k, v in books.items():
+                if v[0] == books[b][0] and k not in gone.get(u, ()):
+                    points[k] = points.get(k, 0) + w + 0.05 * v[4]
+        expected[u] = sorted((-round(p, 9), k) for k, p in points.items())[:7]
+    assert _lists_of(out) == expected
+
+
 def test_slices_bound_what_python_holds():
     """A batch of large texts is handed on a few megabytes at a time, whole and in order; an empty one gives nothing."""
     batch = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(["x" * (1 << 20)] * 40)], ["id", "text"])
