@@ -370,6 +370,18 @@ def test_exact_authors_form_no_row_a_user_and_book(spark):
     assert _lists_of(out) == expected
 
 
+def test_confident_genres_compare_sets_not_books(spark):
+    """Users and books meet as sets of genres; a user and a book of theirs is no row."""
+    books, mine, gone, sources, meta, blocked = _small_shelf(spark)
+    out = hybrid.confident_genre_candidates(sources, meta, blocked, n=7, least=0.2)
+    assert not re.search(r"HashAggregate\(keys=\[user_id#\d+L?, book_id#", out._jdf.queryExecution().executedPlan().toString())
+    expected = {}
+    for u, x in mine.items():
+        near = {k: sum(w * _jaccard(v[1], books[b][1]) for b, w in x.items()) / sum(x.values()) for k, v in books.items()}
+        expected[u] = sorted((-round(p + 0.02 * books[k][4], 9), k) for k, p in near.items() if p > 0 and round(p, 9) >= 0.2 and k not in gone.get(u, ()))[:7]
+    assert _lists_of(out) == {u: x for u, x in expected.items() if x}
+
+
 def test_slices_bound_what_python_holds():
     """A batch of large texts is handed on a few megabytes at a time, whole and in order; an empty one gives nothing."""
     batch = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(["x" * (1 << 20)] * 40)], ["id", "text"])
