@@ -382,6 +382,29 @@ def test_confident_genres_compare_sets_not_books(spark):
     assert _lists_of(out) == {u: x for u, x in expected.items() if x}
 
 
+@pytest.mark.parametrize("wide", (1, 1000))
+def test_source_neighbours_form_no_row_a_source_and_book(spark, monkeypatch, wide):
+    """Only the best books of a source leave its task, found by bounds over books of equal names; with sources in one group or several."""
+    monkeypatch.setattr(hybrid, "SOURCES", wide)
+    books, mine, gone, sources, meta, blocked = _small_shelf(spark)
+    out = hybrid.source_neighbor_candidates(sources, meta, blocked, top_sources=2, per_source=4)
+    assert not re.search(r"HashAggregate\(keys=\[user_id#\d+L?, source_id#", out._jdf.queryExecution().executedPlan().toString())
+    expected = {}
+    for u, x in mine.items():
+        best = {}
+        for b, w in list(x.items())[:2]:
+            s, near = books[b], []
+            for k, v in books.items():
+                alike = _jaccard(v[1], s[1])
+                if k not in gone.get(u, ()) and (v[0] == s[0] or alike):
+                    page = max(0.0, 1 - abs(v[3] - s[3]) / 1000) if v[3] and s[3] else 0.0
+                    near.append((-round(w * (0.25 * (v[0] == s[0]) + 0.5 * alike + 0.1 * (1 - abs(v[2] - s[2]) / 4) + 0.05 * page + 0.1 * v[4]), 9), k))
+            for p, k in sorted(near)[:4]:
+                best[k] = min(best.get(k, 0), p)
+        expected[u] = sorted((p, k) for k, p in best.items())
+    assert _lists_of(out) == expected
+
+
 def test_slices_bound_what_python_holds():
     """A batch of large texts is handed on a few megabytes at a time, whole and in order; an empty one gives nothing."""
     batch = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(["x" * (1 << 20)] * 40)], ["id", "text"])
