@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.operators import als, canonical, catalog, evaluate, hybrid, item_cf, ncf, prep, serve, signals, split, store, text
-from lectern.plans import experiments
+from lectern.plans import experiments, q_interactions
 from lectern.sources import files, views
 from lectern.sources.arrow import slices
 from lectern.sources.scratch import written
@@ -405,6 +405,35 @@ def test_source_neighbours_form_no_row_a_source_and_book(spark, monkeypatch, wid
     assert _lists_of(out) == expected
 
 
+def test_full_catalogue_ranks_form_no_row_a_user_and_item(spark):
+    """Ranks counted where users meet items equal those of the written grid; only counts of users are shuffled."""
+    rng = np.random.default_rng(3)
+    users = spark.createDataFrame([(u + 50, u) for u in range(12)], "user_id long, user_idx long")
+    items = spark.createDataFrame([(2 * b, b) for b in range(30)], "book_id long, item_idx long")
+    seen = spark.createDataFrame([(u + 50, 2 * b) for u in range(12) for b in range(30) if rng.random() < 0.3], "user_id long, book_id long")
+    hidden = spark.createDataFrame([(u + 50, 2 * int(rng.integers(30))) for u in range(11)], "user_id long, book_id long")
+    scored = lambda df: df.select("user_id", "book_id", ((F.col("user_id") * 31 + F.col("book_id") * 17) % 7).cast("double").alias("score"))
+    out = evaluate.rank_in_catalog(hidden, items, seen, scored)
+    expected = evaluate.rank_among(scored(ncf.full_catalog(users.join(hidden, "user_id", "left_semi"), items, seen, hidden)), hidden)
+    assert sorted(tuple(r) for r in out.select("user_id", "book_id", "rank").collect()) == sorted(tuple(r) for r in expected.select("user_id", "book_id", "rank").collect())
+    net = ncf.Network(12, 30, dim=3, layers=(4, 3))
+    for p in net.parameters:
+        p += rng.normal(0, 0.3, p.shape)
+    net.item[5:9] = net.item[5]  # ties
+    asking = hidden.join(users, "user_id").join(items, "book_id")
+    got = ncf.full_catalog_ranks(asking, seen.join(items, "book_id").select("user_id", "item_idx"), net, chunk=8)
+    grid = ncf.full_catalog(users.join(hidden, "user_id", "left_semi"), items, seen, hidden).join(users, "user_id").join(items, "book_id")
+    expected = evaluate.rank_among(ncf.score(grid, net).withColumn("score", F.round("score", 9)), hidden)
+    assert sorted(tuple(r) for r in got.collect()) == sorted((r.user_id, r["rank"]) for r in expected.collect())
+
+
+def test_training_reads_the_pairs_of_its_users_alone(spark):
+    """Evaluations of the most active users do not carry everybody's pairs along."""
+    _, pairs, hidden, positives = q_interactions._training(spark, SF, 5)
+    assert pairs.select("user_id").distinct().count() == 5 and hidden.count() <= 5
+    assert positives.count() == pairs.count() - hidden.count()
+
+
 def test_slices_bound_what_python_holds():
     """A batch of large texts is handed on a few megabytes at a time, whole and in order; an empty one gives nothing."""
     batch = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(["x" * (1 << 20)] * 40)], ["id", "text"])
