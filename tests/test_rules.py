@@ -434,6 +434,40 @@ def test_training_reads_the_pairs_of_its_users_alone(spark):
     assert positives.count() == pairs.count() - hidden.count()
 
 
+def test_a_catalogue_reaches_python_by_rows_not_by_pairs_of_blocks(spark, monkeypatch):
+    """Queries and vectors are dealt to groups and shards; no row carries a block, so a batch's bytes do not grow with the catalogue."""
+    monkeypatch.setattr(als, "BLOCK", 16)
+    rng = np.random.default_rng(5)
+    items = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(rng.normal(size=(200, 3)))], "book_id long, factor array<double>")
+    queries = items.where("book_id % 5 = 0").selectExpr("book_id AS query", "2 AS extra", "factor")
+    out = als._best_of_blocks(queries, items, 4)
+    assert "Cartesian" not in (plan := out._jdf.queryExecution().executedPlan().toString()) and "NestedLoop" not in plan
+    m = np.array([r.factor for r in items.orderBy("book_id").collect()])
+    got = {}
+    for r in out.collect():
+        got.setdefault(r["query"], []).append((-r.score, r.book_id))
+    for k in range(0, 200, 5):
+        assert [b for _, b in sorted(got[k])[:6]] == np.argsort(-(m @ m[k]), kind="stable")[:6].tolist()
+
+
+def test_hidden_items_are_ranked_without_lists(spark, monkeypatch):
+    """Counted ranks equal the places in top_items, with ties, stored items, unknown users and books; no window ranks candidates."""
+    monkeypatch.setattr(als, "BLOCK", 8)
+    rng = np.random.default_rng(6)
+    vectors = rng.integers(-1, 2, (60, 2)).astype(float)  # many equal ones
+    items = spark.createDataFrame([(3 * k, x.tolist()) for k, x in enumerate(vectors)], "book_id long, factor array<double>")
+    users = spark.createDataFrame([(u, x.tolist()) for u, x in enumerate(rng.integers(-1, 2, (20, 2)).astype(float))], "user_id long, factor array<double>")
+    hidden = [(u, 3 * int(rng.integers(60))) for u in range(20)] + [(77, 3)]
+    hidden[4] = (4, 1000)
+    stored = spark.createDataFrame([(u, 3 * int(b)) for u, h in hidden[:20] for b in rng.choice(60, 6) if 3 * b != h] + [(2, 2000)], "user_id long, book_id long")
+    hidden = spark.createDataFrame(hidden, "user_id long, book_id long")
+    out = als.hidden_ranks(users, items, stored, hidden, 9)
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+    expected = evaluate.hidden_ranks(als.top_items(users, items, stored, 9), hidden)
+    got = sorted((r.user_id, r.book_id, r["rank"] or 0) for r in out.collect())
+    assert got == sorted((r.user_id, r.book_id, r["rank"] or 0) for r in expected.collect()) and any(r for _, _, r in got) and not all(r for _, _, r in got)
+
+
 def test_slices_bound_what_python_holds():
     """A batch of large texts is handed on a few megabytes at a time, whole and in order; an empty one gives nothing."""
     batch = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(["x" * (1 << 20)] * 40)], ["id", "text"])
