@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.operators import als, canonical, catalog, evaluate, hybrid, item_cf, ncf, prep, serve, signals, split, store, text
-from lectern.plans import experiments, q_interactions
+from lectern.plans import experiments, q_interactions, q_signals
 from lectern.sources import files, views
 from lectern.sources.arrow import slices
 from lectern.sources.scratch import written
@@ -468,6 +468,12 @@ def test_hidden_items_are_ranked_without_lists(spark, monkeypatch):
     assert got == sorted((r.user_id, r.book_id, r["rank"] or 0) for r in expected.collect()) and any(r for _, _, r in got) and not all(r for _, _, r in got)
 
 
+def test_signals_are_computed_once(spark):
+    """What is built on the signals reads them as written rows; the joins behind them are not run again for every use."""
+    plan = q_signals._signals(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+
+
 def test_slices_bound_what_python_holds():
     """A batch of large texts is handed on a few megabytes at a time, whole and in order; an empty one gives nothing."""
     batch = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(["x" * (1 << 20)] * 40)], ["id", "text"])
